@@ -11,9 +11,9 @@ with p as (
   select g, max(page_id) as owner from d group by g
 )
 select d.page_id, cast(d.n as bigint) as payload_bytes,
-  list_reduce(list_transform(range(0, 32), i ->
+  list_reduce(list_transform(range(0, 32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-      cast(1 + ((cast('0x' || substr(d.h, cast(1 + 5 * (i // 4) as int), 5) as bigint) >> cast(5 * (3 - i % 4) as int)) & 31) as int), 1)), (a, b) -> a || b) as payload_digest,
+      cast(1 + ((cast('0x' || substr(d.h, cast(1 + 5 * (i // 4) as int), 5) as bigint) >> cast(5 * (3 - i % 4) as int)) & 31) as int), 1)), lambda a, b: a || b) as payload_digest,
   case when d.page_id = o.owner then 'response' else 'revisit' end as record_type,
   case when d.page_id = o.owner then null else o.owner end as refers_to
 from d join o using (g)
