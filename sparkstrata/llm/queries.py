@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import digests, format_examples
+from .decontaminate import find_leaks
 from .scratch import Scratch, bounded_batches
 from .warc import read_back, write_archive
 
@@ -14,10 +17,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))))).alias("t"),
+    )
+    examples = Scratch(spark, "chat").table(format_examples(conversations.unionByName(extra.select("conv_id", "t.*"))), "examples")
+    return digests(examples)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(write_archive(read(spark, sf_dir, "pages"), Scratch(spark, "warc")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_decontaminate": op5_decontaminate,
+    "op7_chat": op7_chat,
     "op8_warc": op8_warc,
 }
