@@ -43,3 +43,63 @@ select conv_id, n_turns, turns_sha256, cast(length(loss) as bigint) as loss_char
   cast(formatted_chars as bigint) as formatted_chars
 from g
 """
+
+ORACLES["op1_mixing"] = r"""
+with recursive counted as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+')) as n,
+    cast('0x' || substr(md5('17:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) % 256 as block
+  from documents
+), sums as (
+  select source, block, sum(n) as tokens from counted group by source, block
+), totals as (
+  select source, sum(tokens) as tokens from sums group by source having sum(tokens) > 0
+), shares as (
+  select list(tokens / total) as q, count(*) as k, any_value(total) as total
+  from totals, (select cast(sum(tokens) as double) as total from totals)
+), entropy(i, low, high) as (
+  select 0, cast(0 as double), cast(1 as double)
+  union all
+  select i + 1, case when h >= 0.97 * ln(k) then mid else low end, case when h >= 0.97 * ln(k) then high else mid end
+  from (
+    select i, low, high, mid, k,
+      -list_sum(list_transform(p, lambda x: x / list_sum(p) * ln(x / list_sum(p)))) as h
+    from (
+      select i, low, high, (low + high) / 2 as mid, k, list_transform(q, lambda x: pow(x, (low + high) / 2)) as p
+      from entropy, shares where i < 60))
+), first_t as (
+  select case when -list_sum(list_transform(q, lambda x: x * ln(x))) >= 0.97 * ln(k) then 1.0 else (select low from entropy where i = 60) end as t, q, k
+  from shares
+), repeats(i, low, high) as (
+  select 0, cast(0 as double), cast(1 as double)
+  union all
+  select i + 1, case when most <= 4 then low else mid end, case when most <= 4 then mid else high end
+  from (
+    select i, low, high, (low + high) / 2 as mid,
+      list_max(list_transform(q, lambda x: pow(x, (low + high) / 2) / x)) / list_sum(list_transform(q, lambda x: pow(x, (low + high) / 2))) as most
+    from repeats, shares where i < 60)
+), solved as (
+  select case when list_max(list_transform(q, lambda x: pow(x, t) / x)) / list_sum(list_transform(q, lambda x: pow(x, t))) > 4
+    then (select high from repeats where i = 60) else t end as t, q
+  from first_t
+), budgets as (
+  select source, tokens, pow(tokens / total, t) / list_sum(list_transform(s.q, lambda x: pow(x, t))) as weight, total
+  from totals, shares, solved s
+), filled as (
+  select *, cast(floor(weight * total + 1e-6) as bigint) as budget from budgets
+), placed as (
+  select s.source, s.block, s.tokens, f.weight, cast(f.budget // f.tokens as int) as epochs,
+    md5('18:' || coalesce(s.source, '') || ':' || s.block) as turn,
+    f.budget % f.tokens - coalesce(sum(s.tokens) over (partition by s.source order by md5('18:' || coalesce(s.source, '') || ':' || s.block), s.block rows between unbounded preceding and 1 preceding), 0) as spare
+  from sums s join filled f on s.source is not distinct from f.source
+), ranked as (
+  select c.doc_id, c.source, cast(c.n as bigint) as n_tokens, coalesce(p.weight, 0) as weight,
+    case when c.n > 0 then coalesce(p.epochs, 0) else 0 end as epochs, p.spare,
+    p.turn || ':' || md5('19:' || coalesce(cast(c.doc_id as varchar), '')) as pos, c.n
+    , sum(c.n) over (partition by c.source, c.block order by md5('19:' || coalesce(cast(c.doc_id as varchar), '')), c.doc_id, c.n rows unbounded preceding) as upto
+  from counted c left join placed p on c.source is not distinct from p.source and c.block = p.block
+)
+select doc_id, source, n_tokens, round(weight, 9) as weight, epochs,
+  case when n > 0 and spare > 0 and upto <= spare then pos end as last_rank,
+  epochs + case when n > 0 and spare > 0 and upto <= spare then 1 else 0 end as copies
+from ranked
+"""

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .chat import digests, format_examples
 from .decontaminate import find_leaks
+from .mixing import mix
 from .scratch import Scratch, bounded_batches
+from .urlrules import judge
 from .warc import read_back, write_archive
 
 
@@ -17,6 +19,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"), Scratch(spark, "mixing")).withColumn("weight", F.round("weight", 9))
+
+
+#: (verdict, host, path) of the query's fixed rules.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A url that ends in a document's number is labelled bad where that document's quality is 0."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    quality = read(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg((F.max("quality") == 0).cast("int").alias("bad"))
+    number = F.regexp_extract("url", r"/(\d{1,18})(?:\.[a-z]+)?/?(?:[?#].*)?$", 1)
+    labelled = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id")).where("doc_id is not null").join(quality, "doc_id").select("url", "bad")
+    return judge(pages, Scratch(spark, "urls"), URL_RULES, labelled)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -38,6 +63,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op4_url_templates": op4_url_templates,
     "op5_decontaminate": op5_decontaminate,
     "op7_chat": op7_chat,
     "op8_warc": op8_warc,
