@@ -103,3 +103,43 @@ select doc_id, source, n_tokens, round(weight, 9) as weight, epochs,
   epochs + case when n > 0 and spare > 0 and upto <= spare then 1 else 0 end as copies
 from ranked
 """
+
+ORACLES["op10_substrings"] = r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') as ws from documents
+), win as (
+  select doc_id, i, array_to_string(ws[i:i + 12], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w)
+), first as (
+  select g, min(doc_id) as earliest from win group by g
+), covered as (
+  select distinct doc_id, unnest(range(i, i + 13)) as p from win join first using (g) where earliest < doc_id
+), words as (
+  select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w
+), kept as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by p) as body from words anti join covered using (doc_id, p) group by doc_id
+)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(body, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""
+
+ORACLES["op2_near_duplicates"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \x09-\x0D]+') as ws from documents
+), s as (
+  select distinct doc_id, case when len(ws) < 4 then array_to_string(ws, ' ') else array_to_string(ws[i:i + 3], ' ') end as g
+  from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 2))) as i from w where len(ws) > 0)
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), links as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all)
+  join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reach(doc_id, node) as (
+  select doc_id, doc_id from documents
+  union
+  select r.doc_id, e.b from reach r join both_ways e on e.a = r.node
+)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d join (select doc_id, min(node) as component_id from reach group by doc_id) c using (doc_id) left join n using (doc_id)
+"""

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .chat import digests, format_examples
 from .decontaminate import find_leaks
 from .mixing import mix
+from .neardup import near_duplicates
 from .scratch import Scratch, bounded_batches
+from .substrings import removal_digests
 from .urlrules import judge
 from .warc import read_back, write_archive
 
@@ -23,6 +25,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), Scratch(spark, "mixing")).withColumn("weight", F.round("weight", 9))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark, "neardup"), shingle_words=4, percent=80)
+
+
 #: (verdict, host, path) of the query's fixed rules.
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -62,10 +69,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(write_archive(read(spark, sf_dir, "pages"), Scratch(spark, "warc")))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return removal_digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_url_templates": op4_url_templates,
     "op5_decontaminate": op5_decontaminate,
     "op7_chat": op7_chat,
     "op8_warc": op8_warc,
+    "op10_substrings": op10_substrings,
 }
