@@ -1,10 +1,588 @@
-"""Queries of the engine's own operators over the driver's tables, with their SQL twins."""
+"""Queries of the engine's own operators over the driver's tables, with their SQL twins.
+
+The driver's tables hold no packages, so each query is an analogue: the operator's semantics on
+columns that have the shape it needs.  ``parts_as_files`` lays parts out as a tree of files:
+type and brand are directories, the name is the file, and names repeat, as libraries do.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from .functions import paths, structure, text
+from .operators import classify, detect, graph, ordering, resolve, summary, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def parts_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    path = F.concat_ws("/", "p_type", "p_brand", F.concat("p_name", F.lit("_"), F.col("p_partkey").cast("string")))
+    origin = F.struct(F.lit("direct").alias("kind"), F.lit(None).cast("string").alias("container"), F.lit(None).cast("string").alias("entry"), F.lit(0).alias("depth"))
+    return p.select("p_partkey", path.alias("id"), F.col("p_name").alias("file_name"), F.lit(None).cast("string").alias("assembly_name"), path.alias("relative_path"), origin.alias("origin"))
+
+
+def part_references(files: DataFrame, n: int) -> DataFrame:
+    """Part i refers to the name of part (7 i + 1) mod n."""
+    wanted = files.select(((F.col("p_partkey") * 7 + 1) % n).alias("k"), F.col("id").alias("source"), F.col("p_partkey").alias("ord"))
+    names = files.select((F.col("p_partkey") % n).alias("k"), F.col("file_name").alias("name"))
+    return wanted.join(names, "k").select("source", F.lit("pe-import").alias("kind"), "name", "ord")
+
+
+NEAREST_SQL = """
+with n as (select count(*) as n from part),
+f as (select p_partkey, p_type || '/' || p_brand || '/' || p_name || '_' || p_partkey as id, upper(p_name) as name, p_name, upper(p_type) as d1, upper(p_brand) as d2 from part),
+r as (select a.p_partkey as ord, a.id as source, a.d1, a.d2, b.p_name as name from f a, n, f b where b.p_partkey % n.n = (a.p_partkey * 7 + 1) % n.n),
+c as (select r.ord, r.source, r.name, f.id as target,
+        case when r.d1 = f.d1 and r.d2 = f.d2 then 2 when r.d1 = f.d1 then 1 else 0 end as shared,
+        count(f.id) over (partition by r.ord) as n
+      from r left join f on f.name = upper(r.name)),
+m as (select *, max(shared) over (partition by ord) as most from c),
+k as (select *, count(*) over (partition by ord) as tied from m where n <= 1 or shared = most),
+p as (select ord, any_value(source) as source, any_value(name) as name,
+        count(case when n <= 1 or tied = 1 or shared = 2 then target end) as survivors,
+        max(case when n <= 1 or tied = 1 or shared = 2 then target end) as target
+      from k group by ord)
+select source, 'pe-import' as kind, case when survivors = 1 then target else name end as target, survivors = 1 as resolved from p
+"""
+
+
+@query(NEAREST_SQL)
+def nearest_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file that each reference means, or its raw name."""
+    files = parts_as_files(spark, sf_dir)
+    n = read(spark, sf_dir, "part").count()
+    return resolve.nearest_candidate(part_references(files, n), files)
+
+
+@query(f"select source, target from ({NEAREST_SQL}) where not resolved")
+def nearest_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unresolved slice."""
+    return nearest_candidate(spark, sf_dir).where("not resolved").select("source", "target")
+
+
+@query("select doc_id, sha256(text) as sha256, cast(strlen(text) as bigint) as bytes from documents")
+def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest and size of each content."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("""
+with p as (select p_partkey, case p_partkey % 14 when 0 then '.jar' when 1 then '.zip' when 2 then '.7z' when 3 then '.pdb' when 4 then '.sqlite' when 5 then '.json' when 6 then '.csproj' when 7 then '.cs' when 8 then '.png' when 9 then '.py' when 10 then '' when 11 then '.qqq' when 12 then '.MSI' else '.dll' end as ext,
+  case when p_partkey % 5 = 0 then 'zip' when p_partkey % 5 = 1 then 'sqlite' when p_partkey % 5 = 2 then 'ole' else '' end as head from part)
+select p_partkey,
+  case when head = 'zip' then 'archive' when ext in ('.jar', '.zip', '.7z') then 'archive' when ext = '.MSI' and head = 'ole' then 'archive' when ext = '.pdb' then 'debug-symbol'
+    when ext = '.sqlite' or head = 'sqlite' then 'database' when ext = '.json' then 'configuration' when ext = '.csproj' then 'project' when ext = '.cs' then 'source-code'
+    when ext = '.png' then 'resource' when ext = '.py' then 'script' else 'unknown' end as category,
+  case when head = 'zip' then case when ext = '.jar' then 'Java archive' else 'ZIP archive' end when ext in ('.jar', '.zip', '.7z') then upper(substr(ext, 2)) || ' archive'
+    when ext = '.MSI' and head = 'ole' then 'Windows Installer package' when ext = '.pdb' then 'Program Database' when ext = '.sqlite' or head = 'sqlite' then 'SQLite/database file'
+    when ext = '.json' then 'JSON configuration' when ext = '.csproj' then 'CSPROJ project' when ext = '.cs' then 'CS source' when ext = '.png' then 'PNG resource' when ext = '.py' then 'PY script'
+    when ext = '' then 'Unknown' else upper(substr(ext, 2)) end as format
+from p
+""")
+def classify_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files whose extension and leading bytes follow from their number."""
+    p = read(spark, sf_dir, "part")
+    ext = F.element_at(F.array(*(F.lit(e) for e in (".jar", ".zip", ".7z", ".pdb", ".sqlite", ".json", ".csproj", ".cs", ".png", ".py", "", ".qqq", ".MSI", ".dll"))), (F.col("p_partkey") % 14 + 1).cast("int"))
+    k = F.col("p_partkey") % 5
+    head = F.when(k == 0, F.lit(bytearray(b"PK\x03\x04"))).when(k == 1, F.lit(bytearray(b"SQLite format 3\0"))).when(k == 2, F.lit(bytearray.fromhex("D0CF11E0A1B11AE1")))
+    return p.select("p_partkey", classify.classify(F.concat(F.lit("lib/part"), ext), head).alias("c")).select("p_partkey", "c.category", "c.format")
+
+
+@query("""
+select count(*) as orders, count(*) filter (where o_orderstatus = 'F') as finished, count(*) filter (where o_orderstatus = 'O') as open,
+  count(*) filter (where o_orderpriority = '1-URGENT') as urgent, count(*) filter (where o_totalprice is null) as unpriced,
+  cast(coalesce(sum(cast(floor(coalesce(o_totalprice, 0)) as bigint)), 0) as bigint) as whole_price from orders
+""")
+def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: one pass of conditional counts and sums that count null as 0."""
+    c = F.col
+    return summary.conditional_counts(read(spark, sf_dir, "orders"), [], {"orders": F.lit(True), "finished": c("o_orderstatus") == "F", "open": c("o_orderstatus") == "O", "urgent": c("o_orderpriority") == "1-URGENT", "unpriced": c("o_totalprice").isNull()}, {"whole_price": F.floor("o_totalprice").cast("long")})
+
+
+@query("""
+with t as (select c_name as path, upper(c_name) as key, c_custkey % 10 <> 3 as retained from customer where c_custkey % 7 <> 0
+  union all select lower(c_name), upper(c_name), true from customer where c_custkey % 5 = 0 and c_custkey % 7 <> 0),
+r as (select o_orderkey as source, case when o_orderkey % 13 = 0 then null when o_orderkey % 4 = 1 then upper(c_name) else c_name end as path, o_orderkey % 11 = 0 as conditional
+  from orders join customer on o_custkey = c_custkey),
+m as (select r.source, r.path, r.conditional, count(t.path) as n,
+    max(case when t.path = r.path then t.path end) as exact_path, bool_or(t.retained) filter (where t.path = r.path) as exact_kept,
+    max(t.path) as any_path, bool_or(t.retained) as any_kept
+  from r left join t on t.key = upper(r.path) group by r.source, r.path, r.conditional)
+select source, path, s as status, case when s = 'resolved' then coalesce(exact_path, any_path) end as target from (
+  select *, case when conditional then 'conditional' when path is null then 'unevaluated' when n = 0 then 'missing' when exact_path is null and n > 1 then 'ambiguous'
+    when not coalesce(exact_kept, any_kept) then 'unevaluated' else 'resolved' end as s from m)
+""")
+def reference_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders refer to customers by name; some customers are missing, doubled, cut off or conditional."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    kept = c.where("c_custkey % 7 <> 0")
+    targets = kept.select(F.col("c_name").alias("path"), (F.col("c_custkey") % 10 != 3).alias("retained")).unionByName(kept.where("c_custkey % 5 = 0").select(F.lower("c_name").alias("path"), F.lit(True).alias("retained")))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey")
+    refs = o.select(k.alias("source"), F.when(k % 13 == 0, None).when(k % 4 == 1, F.upper("c_name")).otherwise(F.col("c_name")).alias("path"), (k % 11 == 0).alias("conditional"))
+    return resolve.reference_status(refs, targets)
+
+
+@query("""
+with d as (select o_orderkey as source, 'pkg' || (o_custkey % 40) as package from orders where o_orderkey % 3 = 0),
+v as (select p_size, p_partkey, 'PKG' || p_size as package, cast(p_partkey as varchar) as version, p_partkey % 2 = 0 as literal, p_partkey % 9 = 0 as conditional from part where p_partkey <= 60),
+m as (select d.source, d.package, count(v.version) as n, coalesce(bool_or(conditional), false) as cond, coalesce(bool_and(literal), false) as lit, max(version) as version
+  from d left join v on v.package = upper(d.package) group by d.source, d.package)
+select source, package, case when n > 0 and not cond and n = 1 and lit then version end as version,
+  case when n = 0 then 'external' when cond then 'conditional' when n = 1 and lit then 'resolved' else 'unevaluated' end as status from m
+""")
+def package_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Central versions looked up without case."""
+    refs = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("source"), F.concat(F.lit("pkg"), (F.col("o_custkey") % 40).cast("string")).alias("package"))
+    k = F.col("p_partkey")
+    central = read(spark, sf_dir, "part").where("p_partkey <= 60").select(F.concat(F.lit("PKG"), F.col("p_size").cast("string")).alias("package"), k.cast("string").alias("version"), (k % 2 == 0).alias("literal"), (k % 9 == 0).alias("conditional"))
+    return resolve.package_versions(refs, central)
+
+
+FILES_SQL = "select p_partkey, p_type || '/' || p_brand || '/' || p_name as path, p_type || '/' || p_brand as d2, p_type as d1 from part"
+
+
+@query(f"""
+with f as ({FILES_SQL}),
+s as (select d2 as dir, p_partkey from f where p_partkey % 10 = 0 union all select d1, p_partkey from f where p_partkey % 50 = 0 union all select '', p_partkey from f where p_partkey = 1),
+one as (select upper(dir) as dir, max(dir) as spelled, count(*) as n from s group by upper(dir) having count(*) = 1),
+l as (select p_partkey, 0 as up, upper(d2) as dir from f union all select p_partkey, 1, upper(d1) from f union all select p_partkey, 2, '' from f)
+select p_partkey as id, arg_min(case when spelled = '' then 'shared.props' else spelled || '/shared.props' end, up) as file, cast(min(up) as int) as levels_up from l join one using (dir) group by p_partkey
+""")
+def nearest_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest directory above with exactly one shared file."""
+    p = read(spark, sf_dir, "part")
+    items = p.select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_type", "p_brand", "p_name").alias("path"))
+    shared = graph.union_all(
+        p.where("p_partkey % 10 = 0").select(F.concat_ws("/", "p_type", "p_brand", F.lit("shared.props")).alias("path")),
+        p.where("p_partkey % 50 = 0").select(F.concat_ws("/", "p_type", F.lit("shared.props")).alias("path")),
+        p.where("p_partkey = 1").select(F.lit("shared.props").alias("path")),
+    )
+    return resolve.nearest_ancestor(items, shared, "shared.props")
+
+
+@query(f"""
+with f as ({FILES_SQL}),
+o as (select upper(d2) as dir, min(p_partkey) as owner, min(p_partkey) % 2 = 0 as planned from f where p_partkey % 3 = 0 group by upper(d2)
+  union all select upper(d1), 1000000 + min(p_partkey), true from f group by upper(d1)),
+l as (select p_partkey, path, upper(d2) as dir from f union all select p_partkey, path, upper(d1) from f),
+m as (select p_partkey, any_value(path) as path, arg_max(struct_pack(owner := owner, planned := planned), length(dir)) as w from l join o using (dir) group by p_partkey)
+select path || '_' || p_partkey as path, cast(w.owner as bigint) as owner from m where w.planned
+""")
+def longest_prefix_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owner of the longest directory above each file."""
+    p = read(spark, sf_dir, "part")
+    files = p.select(F.concat_ws("/", "p_type", "p_brand", F.concat("p_name", F.lit("_"), F.col("p_partkey").cast("string"))).alias("path"))
+    inner = p.where("p_partkey % 3 = 0").groupBy(F.upper(F.concat_ws("/", "p_type", "p_brand")).alias("dir")).agg(F.min("p_partkey").alias("owner")).withColumn("planned", F.col("owner") % 2 == 0)
+    outer = p.groupBy(F.upper("p_type").alias("dir")).agg((F.min("p_partkey") + 1000000).alias("owner")).withColumn("planned", F.lit(True))
+    return resolve.longest_prefix_owner(files, inner.unionByName(outer))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+def semi_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose source was kept."""
+    return read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey", "o_totalprice")
+
+
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
+def anti_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a counterpart."""
+    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("""
+with c as (select 'P' || p_partkey as id, 'managed-assembly' as kind from part where p_partkey % 3 = 0),
+e as (select distinct 'P' || l_partkey as id from lineitem where l_returnflag = 'R')
+select * from c union all select id, 'package-file' from e where id not in (select id from c)
+""")
+def endpoint_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node for every resolved end that has none."""
+    name = lambda c: F.concat(F.lit("P"), F.col(c).cast("string"))
+    components = read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(name("p_partkey").alias("id"), F.lit("managed-assembly").alias("kind"))
+    edges = read(spark, sf_dir, "lineitem").select(name("l_partkey").alias("target"), (F.col("l_returnflag") == "R").alias("resolved"))
+    return resolve.complete_endpoints(components, edges)
+
+
+@query("""
+with i as (select user_id, event_id as section, event_id * 10 as low, event_id * 10 + 5000 + (event_id % 7) * 900 as high from events where event_type = 'purchase'),
+p as (select user_id, event_id as point_id, event_id * 10 + 3 as at from events where event_type <> 'purchase')
+select point_id, section, at - low as within from p join i using (user_id) where at >= low and at < high
+""")
+def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-open intervals that hold a point, by bins."""
+    e, k = read(spark, sf_dir, "events"), F.col("event_id")
+    intervals = e.where("event_type = 'purchase'").select("user_id", k.alias("section"), (k * 10).alias("low"), (k * 10 + 5000 + (k % 7) * 900).alias("high"))
+    points = e.where("event_type <> 'purchase'").select("user_id", k.alias("point_id"), (k * 10 + 3).alias("at"))
+    return resolve.interval_lookup(points, intervals, ["user_id"], "at", width=8192).select("point_id", "section", (F.col("at") - F.col("low")).alias("within"))
+
+
+@query("""
+with r as (select distinct l_suppkey, l_partkey * 100 as low, l_partkey * 100 + cast(l_quantity as bigint) * 40 as high from lineitem where l_linenumber = 1),
+m as (select *, max(high) over (partition by l_suppkey order by low, high rows between unbounded preceding and 1 preceding) as before from r where high > low)
+select l_suppkey, low, high from m where low < before
+""")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: ranges that begin before an earlier one ends."""
+    li = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_suppkey", (F.col("l_partkey") * 100).alias("at"), (F.col("l_quantity").cast("long") * 40).alias("size"))
+    return validate.overlapping_intervals(li, ["l_suppkey"], "at", "size")
+
+
+DETECT_SQL = """
+select page_id, id, name, category, confidence, evidence, ord from (
+  select page_id, 0 as ord, 'secure' as id, 'TLS' as name, 'runtime' as category, 0.9 as confidence, 'scheme' as evidence from pages where starts_with(upper(url), 'HTTPS')
+  union all select page_id, 1, 'blog', 'Blog', 'framework', 0.75, 'host prefix' from pages where contains(url, '://blog.')
+  union all select page_id, 2, 'Blog', 'Weblog', 'framework', 0.75, 'Host Prefix' from pages where contains(url, '://blog.')
+  union all select page_id, 3, 'german', 'German', 'language', 0.8, 'language tag' from pages where contains(html, 'lang="de"')
+  union all select page_id, 4, 'german', 'Deutsch', 'language', 0.95, 'path' from pages where contains(url, '/de/')
+  union all select page_id, 5, 'tracked', 'Tracking', 'toolchain', 0.6, 'query string' from pages where contains(url, 'utm_'))
+"""
+
+
+def _page_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url, html = F.col("url"), F.col("html")
+    host = F.contains(url, F.lit("://blog."))
+    rules = [
+        detect.Rule("secure", "TLS", "runtime", 0.9, "scheme", F.startswith(F.upper(url), F.lit("HTTPS"))),
+        detect.Rule("blog", "Blog", "framework", 0.75, "host prefix", host),
+        detect.Rule("Blog", "Weblog", "framework", 0.75, "Host Prefix", host),
+        detect.Rule("german", "German", "language", 0.8, "language tag", F.contains(html, F.lit('lang="de"'))),
+        detect.Rule("german", "Deutsch", "language", 0.95, "path", F.contains(url, F.lit("/de/"))),
+        detect.Rule("tracked", "Tracking", "toolchain", 0.6, "query string", F.contains(url, F.lit("utm_"))),
+    ]
+    # The rule's place in the list, not among those that hold.
+    order = F.create_map(*(F.lit(v) for i, r in enumerate(rules) for v in (r.name, i)))
+    return read(spark, sf_dir, "pages").select("page_id", F.inline(detect.findings(rules))).withColumn("ord", order[F.col("name")])
+
+
+@query(DETECT_SQL)
+def detect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over each page."""
+    return _page_detections(spark, sf_dir)
+
+
+@query(f"""
+with d as ({DETECT_SQL}),
+e as (select page_id, upper(id) as k, upper(evidence) as e, arg_min(evidence, ord) as t from d group by all)
+select d.page_id, arg_min(id, ord) as id, arg_max(name, struct_pack(c := confidence, o := -ord)) as name, arg_max(category, struct_pack(c := confidence, o := -ord)) as category, max(confidence) as confidence,
+  (select string_agg(t, '|' order by e) from e where e.page_id = d.page_id and e.k = upper(d.id)) as evidence
+from d group by d.page_id, upper(d.id)
+""")
+def detect_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings merged by id without case."""
+    return detect.merge(_page_detections(spark, sf_dir), ["page_id"], "ord").withColumn("evidence", F.array_join("evidence", "|"))
+
+
+@query("""
+with w as (select event_id, case when event_id % 2 = 0 then upper(event_type) else event_type end as warning from events)
+select min(event_id) as event_id, arg_min(warning, event_id) as warning from w group by upper(warning)
+""")
+def distinct_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct without case, keeping the first spelling and place."""
+    e = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("warning"))
+    return ordering.distinct_first(e, [text.fold(F.col("warning"))], "event_id", ["warning"])
+
+
+@query("""
+with c as (select o_orderpriority, o_custkey % 50 as code, count(*) as n from orders group by all)
+select o_orderpriority, code, n, row_number() over (partition by o_orderpriority order by n desc, code) as rn from c qualify rn <= 10
+""")
+def error_histogram_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent codes of each group."""
+    o = read(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_custkey") % 50).alias("code"))
+    return summary.histogram_top(o, ["o_orderpriority"], "code", 10)
+
+
+@query("""
+select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderstatus = 'P', o_orderkey) as rn from orders qualify rn <= 3
+""")
+def topn_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of each group, one kind last, else in place."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
+    return ordering.top_per_group(o, ["o_custkey"], [F.col("o_orderstatus") == "P", F.col("o_orderkey")], 3).drop("o_orderstatus")
+
+
+@query("""
+with w as (select o_custkey, o_orderkey, 'order ' || o_orderkey as message, row_number() over (partition by o_custkey order by o_orderkey) as rn, count(*) over (partition by o_custkey) as n from orders)
+select o_custkey, cast(rn as int) as position, message from w where rn <= 5
+union all select distinct o_custkey, 6, (n - 5) || ' more' from w where n > 5
+""")
+def ordered_prefix_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first messages of each group and a count of the rest."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("message"))
+    return ordering.cap_with_overflow(o, ["o_custkey"], "o_orderkey", "message", 5)
+
+
+@query("""
+select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as rn, count(*) over (partition by o_custkey) > 4 as truncated from orders qualify rn <= 4
+""")
+def cap_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: a cap that shows."""
+    return ordering.cap_with_flag(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], [F.col("o_orderkey")], 4)
+
+
+@query("""
+with recursive o as (select o_custkey, o_orderkey, cast(floor(o_totalprice) as bigint) as cost, row_number() over (partition by o_custkey order by o_orderkey) as rn from orders),
+g(o_custkey, rn, o_orderkey, cost, spent, kept) as (
+  select o_custkey, rn, o_orderkey, cost, case when cost <= 300000 then cost else 0 end, cost <= 300000 from o where rn = 1
+  union all select o.o_custkey, o.rn, o.o_orderkey, o.cost, case when g.spent + o.cost <= 300000 then g.spent + o.cost else g.spent end, g.spent + o.cost <= 300000
+  from g join o on o.o_custkey = g.o_custkey and o.rn = g.rn + 1)
+select o_custkey, o_orderkey, cost from g where kept
+""")
+def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: rows that fit are kept, those that don't are skipped."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").cast("long").alias("cost"))
+    return ordering.greedy_budget(o, ["o_custkey"], ["o_orderkey"], "cost", 300_000)
+
+
+@query("""
+with r as (select o_custkey, o_orderkey, cast(floor(o_totalprice) as bigint) as cost from orders where floor(o_totalprice) <= 250000),
+s as (select *, cast(sum(cost) over (partition by o_custkey order by o_orderkey rows unbounded preceding) as bigint) as running from r)
+select * from s where running <= 900000
+""")
+def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows until the budget is spent; oversize ones are left out and spend nothing."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").cast("long").alias("cost"))
+    return ordering.prefix_budget(o, ["o_custkey"], [F.col("o_orderkey")], "cost", 900_000, 250_000)
+
+
+@query("select k as path, count(*) as n from (select unnest(json_keys(props)) as k from events) group by k")
+def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Property paths of JSON texts, without values."""
+    e = read(spark, sf_dir, "events").select(structure.json_structure(F.col("props")).alias("s"))
+    return e.select(F.explode("s.paths").alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("select upper(p_name) as name, count(*) as n from part group by upper(p_name) having count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that more than one file has."""
+    return validate.duplicate_keys(read(spark, sf_dir, "part"), [text.fold(F.col("p_name")).alias("name")])
+
+
+@query("""
+select l_orderkey, count(distinct (l_returnflag, l_linestatus)) = 1 and (not bool_or(l_tax > 0.05) or (count(*) = 1 and count(l_partkey) = 1)) as ok from lineitem group by l_orderkey
+""")
+def identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: one classification a site."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_partkey", (F.col("l_tax") > 0.05).alias("tail"))
+    return validate.one_classification(li, ["l_orderkey"], ["l_returnflag", "l_linestatus"], "l_partkey", "tail")
+
+
+@query("""
+with n as (select o_custkey, count(*) as n from orders group by o_custkey)
+select c_custkey, coalesce(n, 0) <= 10 as bounded, coalesce(n, 0) = 10 or (c_custkey % 2 = 0 and coalesce(n, 0) <= 10) as ok from customer left join n on o_custkey = c_custkey
+""")
+def count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: declared counts against rows."""
+    declared = read(spark, sf_dir, "customer").select("c_custkey", F.lit(10).alias("declared_count"), (F.col("c_custkey") % 2 == 0).alias("truncated"))
+    return validate.consistent_counts(declared, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("""
+with recursive i as (select p_partkey as id, case when p_partkey > 1 then p_partkey // 2 end as parent, p_size % 10 <> 0 as ok from part),
+up(id, at, parent, depth, ok) as (select id, id, parent, 0, ok from i union all select u.id, i.id, i.parent, u.depth + 1, u.ok and i.ok from up u join i on u.parent = i.id)
+select id, max(case when parent is null then at end) as root, cast(max(depth) as int) as depth, coalesce(bool_or(case when parent is null then ok end), false) as complete from up group by id
+""")
+def owner_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of owners above each item."""
+    k = F.col("p_partkey")
+    items = read(spark, sf_dir, "part").select(k.alias("id"), F.when(k > 1, F.floor(k / 2).cast("long")).alias("parent"), (F.col("p_size") % 10 != 0).alias("ok"))
+    return graph.owner_chain(items, 64)
+
+
+CYCLE_SQL = """
+with recursive e as (select n_nationkey as src, (n_nationkey * 3 + n_regionkey) % 25 as dst from nation union all select n_nationkey, (n_nationkey + 5) % 25 from nation where n_nationkey % 4 = 0),
+w(src, dst, hops) as (select distinct src, dst, 1 from e union select w.src, e.dst, w.hops + 1 from w join e on w.dst = e.src where w.hops < 12 and w.src <> w.dst)
+"""
+
+
+def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = read(spark, sf_dir, "nation"), F.col("n_nationkey")
+    return n.select(k.alias("src"), ((k * 3 + F.col("n_regionkey")) % 25).alias("dst")).unionByName(n.where("n_nationkey % 4 = 0").select(k.alias("src"), ((k + 5) % 25).alias("dst")))
+
+
+@query(CYCLE_SQL + "select distinct src as node from w where src = dst")
+def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes on a cycle of at most 12 edges."""
+    return graph.cyclic_nodes(_nation_edges(spark, sf_dir), 12)
+
+
+@query(CYCLE_SQL + ", b as (select n_nationkey as node, n_nationkey = 7 as incomplete from nation) select node, incomplete or node in (select src from w where dst in (select node from b where incomplete)) as incomplete from b")
+def incomplete_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incompleteness carried to all that depend on it."""
+    nodes = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), (F.col("n_nationkey") == 7).alias("incomplete"))
+    return graph.incomplete_closure(nodes, _nation_edges(spark, sf_dir), 12)
+
+
+@query("""
+with recursive l as (select p_partkey, 'L' || p_partkey as path, case when p_partkey % 9 = 0 then 'F' || p_partkey when p_partkey % 9 = 1 then 'gone' else 'L' || (p_partkey - 1) end as target from part where p_partkey <= 200),
+f as (select 'F' || p_partkey as path from part where p_partkey <= 200 and p_partkey % 2 = 0),
+w(path, at, hops) as (select path, target, 1 from l union all select w.path, l.target, w.hops + 1 from w join l on w.at = l.path where w.hops < 40)
+select path, final, cast(hops as int) as hops, case when final in (select path from f) then 'resolved' when hops >= 40 then 'cycle' else 'missing' end as status
+from (select path, arg_max(at, hops) as final, max(hops) as hops from w group by path)
+""")
+def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links followed to a file."""
+    p, k = read(spark, sf_dir, "part").where("p_partkey <= 200"), F.col("p_partkey")
+    at = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    links = p.select(at("L", k).alias("path"), F.when(k % 9 == 0, at("F", k)).when(k % 9 == 1, "gone").otherwise(at("L", k - 1)).alias("target"))
+    return graph.resolve_links(links, p.where("p_partkey % 2 = 0").select(at("F", k).alias("path"), F.lit("file").alias("kind")))
+
+
+@query("""
+select conv_id, turn, role, lead(turn) over w as callee, case when lead(turn) over w is null then 'unresolved' else 'resolved' end as status from conversations window w as (partition by conv_id order by turn)
+""")
+def caller_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge from each turn to the next; the last has no target."""
+    nxt = F.lead("turn").over(W.partitionBy("conv_id").orderBy("turn"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", nxt.alias("callee")).withColumn("status", F.when(F.col("callee").isNull(), "unresolved").otherwise("resolved"))
+
+
+@query("""
+with r as (select user_id, event_id * 2 as ord, 1 as step, event_id from events where event_id < 2000 union all select user_id, event_id * 2 + 1 + (event_id % 3) * 1000, -1, event_id from events where event_id < 2000),
+d as (select *, sum(step) over (partition by user_id order by ord, step rows unbounded preceding) as depth from r)
+select user_id, ord, cast(depth as int) as depth from d where step = 1
+""")
+def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth by a running sum over start and end records."""
+    e, k = read(spark, sf_dir, "events").where("event_id < 2000"), F.col("event_id")
+    r = e.select("user_id", (k * 2).alias("ord"), F.lit(1).alias("step")).unionByName(e.select("user_id", (k * 2 + 1 + (k % 3) * 1000).alias("ord"), F.lit(-1).alias("step")))
+    w = W.partitionBy("user_id").orderBy("ord", "step").rowsBetween(W.unboundedPreceding, 0)
+    return r.withColumn("depth", F.sum("step").over(w).cast("int")).where("step = 1").select("user_id", "ord", "depth")
+
+
+@query("""
+with r as (select conv_id, turn * 2 as ord, 'start' as kind from conversations union all select conv_id, case when turn % 2 = 0 then 100000 - turn else turn * 2 + 1 end, 'end' from conversations),
+d as (select *, sum(case when kind = 'start' then 1 else -1 end) over (partition by conv_id order by ord rows unbounded preceding) as depth from r),
+s as (select * from d where kind = 'start'),
+p as (select a.conv_id, a.ord, a.depth, max(b.ord) as parent from s a left join s b on b.conv_id = a.conv_id and b.depth = a.depth - 1 and b.ord < a.ord group by all)
+select p.conv_id, p.ord, cast(p.depth as int) as depth, p.parent, (select count(*) from p q where q.conv_id = p.conv_id and q.parent = p.ord) as children from p
+""")
+def element_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parent, depth and children of nested elements."""
+    c, t = read(spark, sf_dir, "conversations"), F.col("turn")
+    r = c.select("conv_id", (t * 2).alias("ord"), F.lit("start").alias("kind")).unionByName(c.select("conv_id", F.when(t % 2 == 0, 100000 - t).otherwise(t * 2 + 1).alias("ord"), F.lit("end").alias("kind")))
+    return graph.element_tree(r, ["conv_id"], "ord", "kind")
+
+
+@query("select vec_id, i as position, round(cast(v as double), 6) as component from (select vec_id, unnest(embedding) as v, unnest(range(0, len(embedding))) as i from embeddings where vec_id % 10 = 0)")
+def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U4: a nested list as rows with their places."""
+    e = read(spark, sf_dir, "embeddings").where("vec_id % 10 = 0")
+    return e.select("vec_id", F.posexplode("embedding").alias("position", "v")).select("vec_id", F.col("position").cast("long"), F.round(F.col("v").cast("double"), 6).alias("component"))
+
+
+@query("select l_partkey, count(*) as edges, count(distinct l_suppkey) as suppliers, cast(sum(l_quantity) as bigint) as quantity from lineitem group by l_partkey")
+def dependency_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The degree of each target."""
+    return read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("edges"), F.count_distinct("l_suppkey").alias("suppliers"), F.sum("l_quantity").cast("long").alias("quantity"))
+
+
+@query("""
+select 'customer' as kind, c_custkey as id, c_name as name, cast(null as varchar) as brand from customer union all select 'supplier', s_suppkey, s_name, null from supplier union all select 'part', p_partkey, p_name, p_brand from part
+""")
+def union_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of several producers in one table; what one lacks is null."""
+    kind = lambda k: F.lit(k).alias("kind")
+    return graph.union_all(
+        read(spark, sf_dir, "customer").select(kind("customer"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name")),
+        read(spark, sf_dir, "supplier").select(kind("supplier"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")),
+        read(spark, sf_dir, "part").select(kind("part"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand")),
+    )
+
+
+@query("""
+with e as (select p_partkey, case p_partkey % 3 when 0 then 'int' when 1 then 'string' else 'byte' end as type, case when p_partkey % 4 = 0 then '-' || p_size when p_partkey % 4 = 1 then '0x' || p_size else cast(p_size as varchar) end as literal from part)
+select p_partkey, case when type in ('int', 'byte') and regexp_full_match(literal, '-?[0-9]{1,20}') then literal end as value from e
+""")
+def enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of integral type that are integers."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    kind = F.when(k % 3 == 0, "int").when(k % 3 == 1, "string").otherwise("byte")
+    literal = F.when(k % 4 == 0, F.concat(F.lit("-"), size)).when(k % 4 == 1, F.concat(F.lit("0x"), size)).otherwise(size)
+    return read(spark, sf_dir, "part").select("p_partkey", text.integral_value(kind, literal).alias("value"))
+
+
+@query("""
+with e as (select p_brand, p_size, p_partkey, p_name || '_' || p_partkey as name from part)
+select p_brand, p_partkey, p_size, first(name) over w as canonical, row_number() over w > 1 as is_alias from e window w as (partition by p_brand, p_size order by p_partkey)
+""")
+def alias_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first variant of a value, and its aliases."""
+    e = read(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", F.concat("p_name", F.lit("_"), F.col("p_partkey").cast("string")).alias("name"))
+    return summary.alias_duplicates(e, ["p_brand"], "p_size", "name", "p_partkey").drop("name")
+
+
+@query("""
+select p_partkey, case p_partkey % 4 when 0 then p_type || '/x/y' when 1 then p_type || '/y' when 2 then 'y' else null end as resolved from part
+""")
+def path_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-functions: a relative path seen from type/brand; what leaves the root is null."""
+    k = F.col("p_partkey")
+    relative = F.when(k % 4 == 0, "..\\x/./y").when(k % 4 == 1, "../y").when(k % 4 == 2, "../../y").otherwise("../../../y")
+    # Slashes inside a type's name would be directories of their own; there are none.
+    return read(spark, sf_dir, "part").select("p_partkey", paths.resolve(F.concat_ws("/", "p_type", "p_brand"), relative).alias("resolved"))
+
+
+@query(r"""
+select doc_id, regexp_replace(regexp_replace(text, '([\\|`*_\[\]<>])', '\\\1', 'g'), '[\r\n]+', ' ', 'g') as cell from documents
+""")
+def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: texts escaped for a table cell."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.markdown_cell(F.col("text")).alias("cell"))
+
+
+@query("""
+with t as (select p_partkey as token, case when p_partkey % 3 <> 0 then (p_partkey // 3) * 3 end as parent, p_partkey,
+    case p_partkey % 3 when 0 then [p_brand] when 1 then [p_brand, p_name] else [p_name] end as own from part),
+g as (select t.token, t.parent, case when t.parent is null then t.own else list_concat(case when t.token % 5 = 0 then [] else p.own end, t.own) end as generics from t left join t p on p.token = t.parent)
+select c.token, c.parent as declaring_token from g c join g o on o.token = c.parent where c.generics[1:len(o.generics)] = o.generics
+""")
+def generic_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners of nested types whose generic scope fits."""
+    k = F.col("p_partkey")
+    own = F.when(k % 3 == 0, F.array("p_brand")).when(k % 3 == 1, F.array("p_brand", "p_name")).otherwise(F.array("p_name"))
+    t = read(spark, sf_dir, "part").select(k.alias("token"), F.when(k % 3 != 0, F.floor(k / 3).cast("long") * 3).alias("declaring_token"), own.alias("own"))
+    up = t.select(F.col("token").alias("declaring_token"), F.col("own").alias("above"))
+    none = F.array().cast("array<string>")
+    scoped = t.join(up, "declaring_token", "left").select("token", "declaring_token", F.when(F.col("declaring_token").isNull(), F.col("own")).otherwise(F.concat(F.when(F.col("token") % 5 == 0, none).otherwise(F.coalesce("above", none)), "own")).alias("generics"))
+    return resolve.nested_owner(scoped)
+
+
+@query("""
+select c_custkey, case when c_acctbal >= 1048576 then printf('%.1f MiB', c_acctbal / 1048576) when floor(abs(c_acctbal)) >= 1024 then printf('%.1f KiB', floor(abs(c_acctbal)) / 1024) else cast(cast(floor(abs(c_acctbal)) as bigint) as varchar) || ' B' end as size from customer
+""")
+def size_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Math functions: sizes in units."""
+    return read(spark, sf_dir, "customer").select("c_custkey", text.byte_units(F.floor(F.abs("c_acctbal")).cast("long")).alias("size"))
+
+
+@query("""
+with a as (select distinct p_brand as dir, p_name as name from part), d as (select upper(name) as key, dir from a where dir in ('Brand#11', 'Brand#12', 'Brand#13'))
+select key, count(*) as n, string_agg(dir, ',' order by dir) as members from d group by key
+""")
+def index_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name and the places that have it."""
+    d = read(spark, sf_dir, "part").select("p_brand", "p_name").distinct().where(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"))
+    return summary.index_members(d, text.fold(F.col("p_name")), "p_brand").withColumn("members", F.array_join("members", ","))
+
+

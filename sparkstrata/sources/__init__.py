@@ -1 +1 @@
-""""""
+"""Readers that turn files and archives into tables."""

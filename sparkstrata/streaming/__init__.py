@@ -1 +1 @@
-""""""
+"""File arrival as a stream."""
