@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
+from .ann import nearest
 from .chat import digests, format_examples
 from .decontaminate import find_leaks
 from .mixing import mix
@@ -30,6 +32,16 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark, "neardup"), shingle_words=4, percent=80)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose crc32(doc_id) mod 5 is not 0 and scores every row."""
+    bounded_batches(spark)
+    documents = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    machine = toxicity.train(documents, read(spark, sf_dir, "labels"), "toxic", usable=~held_out)
+    scored = toxicity.score(documents, machine)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 #: (verdict, host, path) of the query's fixed rules.
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -54,6 +66,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, Scratch(spark, "ann"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -69,6 +85,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(write_archive(read(spark, sf_dir, "pages"), Scratch(spark, "warc")))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its site, its source and language are its path."""
+    bounded_batches(spark)
+    documents = read(spark, sf_dir, "documents")
+    model = quality.train(documents, read(spark, sf_dir, "labels"))
+    return quality.judge(documents, model, Scratch(spark, "quality"), columns=("doc_id", "source"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return removal_digests(read(spark, sf_dir, "documents"))
@@ -77,9 +101,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_toxicity": op3_toxicity,
     "op4_url_templates": op4_url_templates,
     "op5_decontaminate": op5_decontaminate,
+    "op6_neighbours": op6_neighbours,
     "op7_chat": op7_chat,
     "op8_warc": op8_warc,
+    "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
 }

@@ -72,12 +72,14 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-def spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end and row of every word, in order."""
+def spans(raw: np.ndarray, at: np.ndarray, dark: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and row of every word, in order.  dark: which bytes are part of words, if
+    not those outside the white space."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, none
-    dark = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    if dark is None:
+        dark = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[at] = True
     begins = dark.copy()
