@@ -137,6 +137,28 @@ def fit_router(x: np.ndarray, parts: int, neighbours: int = 16, hidden: int = 12
     return model
 
 
+def calibrated_probes(x: np.ndarray, parts: int, k: int, target_recall: float, seed: int = 11) -> tuple[Router, int]:
+    """A router, and how many of its parts a query must look into for ``target_recall``.
+
+    A router fitted without a quarter of the sample is asked for that quarter's nearest k among all
+    the sample; the answer holds for vectors that a router has not seen.  Where neighbours keep to
+    few parts that is a few probes; where vectors have no structure it is most of them.
+    """
+    if len(x) < 4 * k or parts < 2:
+        return fit_router(x, parts), parts
+    asked = np.zeros(len(x), bool)
+    asked[np.random.default_rng(seed).permutation(len(x))[: len(x) // 4]] = True
+    trial = fit_router(x[~asked], parts)
+    logits = trial.logits(x)
+    part = logits.argmax(axis=1)
+    place = np.empty_like(logits, dtype=np.int64)
+    np.put_along_axis(place, np.argsort(-logits, axis=1, kind="stable"), np.arange(parts)[None, :].repeat(len(x), 0), axis=1)
+    some = np.flatnonzero(asked)
+    found = place[some][np.arange(len(some))[:, None], part[neighbour_graph(x, k)[some]]]
+    share = np.cumsum(np.bincount(found.ravel(), minlength=parts)) / found.size
+    return fit_router(x, parts), int(np.searchsorted(share, target_recall) + 1)
+
+
 def usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda v: v != 0)
@@ -147,10 +169,11 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
-def nearest(embeddings: DataFrame, query: Column, scratch: Scratch, k: int = 10, parts: int | None = None, probes: int = 8, least_candidates: int = 4096, sample_rows: int = SAMPLE_ROWS, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+def nearest(embeddings: DataFrame, query: Column, scratch: Scratch, k: int = 10, parts: int | None = None, probes: int | None = None, target_recall: float = 0.96, least_candidates: int = 4096, sample_rows: int = SAMPLE_ROWS, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of the k nearest found for every row
     for which ``query`` (over vec_id) holds.  Each query is routed to its ``probes`` most probable
-    parts, and further until those hold ``least_candidates`` rows."""
+    parts (as many as the sample shows to be needed for ``target_recall``, if None), and further
+    until those hold ``least_candidates`` rows."""
     sc = embeddings.sparkSession.sparkContext
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     sample = rows.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id", "embedding").limit(sample_rows).select("vec_id", "embedding").toArrow()
@@ -163,13 +186,15 @@ def nearest(embeddings: DataFrame, query: Column, scratch: Scratch, k: int = 10,
         parts = 1 << max(3, min(8, round(np.log2(max(1, rows.count() / ROWS_PER_PART)))))
     while parts > 1 and len(x) < 32 * parts:
         parts //= 2
-    shared = sc.broadcast(fit_router(x, parts))
+    model, needed = calibrated_probes(x, parts, k, target_recall)
+    probes = min(parts, needed if probes is None else probes)
+    shared = sc.broadcast((model.mean, model.scale, model.w1, model.b1, model.w2, model.b2))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            logits = shared.value.logits(_vectors(batch.column(1)))
+            logits = Router(*shared.value).logits(_vectors(batch.column(1)))
             order = np.argsort(-logits, axis=1, kind="stable").astype(np.int32)
             asked = batch.column(2).to_numpy(zero_copy_only=False)
             ranked = [order[i] if asked[i] else None for i in range(len(order))]

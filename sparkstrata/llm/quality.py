@@ -131,10 +131,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", usabl
 
 def evidence(model: ShapeClassifier, spark: SparkSession) -> Callable[..., Column]:
     """A function of a text column: the document's own log-odds of being good."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.mean, model.scale, model.weights))
 
     def margin(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        classifier, codes = shared.value, byte_codes(lower=False)
+        classifier, codes = ShapeClassifier(*shared.value), byte_codes(lower=False)
         for texts in batches:
             out = [np.zeros(0)]
             for _, raw, at in chunks(pa.array(texts, pa.large_string())):

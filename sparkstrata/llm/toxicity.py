@@ -70,7 +70,7 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit_machine(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 150, rate: float = 0.05, decay: float = 1e-3, min_rows: int = 3, min_z: float = 3.0, seed: int = 7) -> FactorizationMachine:
+def fit_machine(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 80, rate: float = 0.05, decay: float = 0.3, min_rows: int = 3, min_z: float = 4.0, seed: int = 7) -> FactorizationMachine:
     """Fit on the terms (row, bucket) of labelled rows."""
     n, size = len(label), 1 << bits
     positive = int(label.sum())
@@ -133,10 +133,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable:
 
 def score(documents: DataFrame, machine: FactorizationMachine, bits: int = BITS) -> DataFrame:
     """doc_id, score of every row."""
-    shared = documents.sparkSession.sparkContext.broadcast(machine)
+    shared = documents.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.factors))  # plain arrays: workers need no class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, codes = shared.value, byte_codes(lower=True)
+        model, codes = FactorizationMachine(*shared.value), byte_codes(lower=True)
         for batch in batches:
             out = [np.zeros(0)]
             for _, raw, at in chunks(batch.column(1)):
