@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,17 +162,17 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, error_rate: float = E
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, max_pass_chars: int = MAX_PASS_CHARS) -> DataFrame:
     """The documents, whole and unshuffled, in which no item is found."""
-    import pandas as pd
-
     sc = documents.sparkSession.sparkContext
-    for items in _passes(benchmark, max_pass_chars):
-        shared = sc.broadcast(items)
 
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
+    def clean_of(shared) -> Callable:
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             matcher = Matcher(shared.value, error_rate)
             for texts in batches:
                 yield pd.Series([not matcher.search(normalise(t), first_only=True) for t in texts], dtype=bool)
 
         clean.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        documents = documents.where(F.pandas_udf(clean, "boolean")(F.col("text")))
+        return F.pandas_udf(clean, "boolean")
+
+    for items in _passes(benchmark, max_pass_chars):
+        documents = documents.where(clean_of(sc.broadcast(items))(F.col("text")))
     return documents

@@ -11,9 +11,9 @@ order, and inside a block the documents in a seeded order.  Whole epochs come fi
 is cut where the budget ends, inside one block.  So only (source, block) sums are ever ordered as
 a whole (sources x blocks rows), and document order is needed in the one cut block of a source.
 
-Defined results: a null source is a source of its own; null and blank texts have no tokens and are
-never drawn; documents that tie or share an id are ordered by id, then kept together; an
-empty table gives no rows; extra columns are ignored by ``mix`` and kept by ``realise``.
+Defined results: a null source is a source of its own; null and blank texts and rows with a null id
+have no tokens and are never drawn; rows that share an id are drawn as often as the one drawn
+most; an empty table gives no rows; extra columns are ignored by ``mix`` and kept by ``realise``.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def mix(documents: DataFrame, scratch: Scratch, min_entropy: float = 0.97, max_r
     drawn in the cut epoch if it ends within the budget.  The whole table is counted; no
     document is left out of the result, and those never drawn have copies 0.
     """
-    counted = scratch.table(documents.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")), "tokens")
+    counted = scratch.table(documents.select("doc_id", "source", F.when(F.col("doc_id").isNotNull(), token_count(F.col("text"))).otherwise(F.lit(0).cast("long")).alias("n_tokens")), "tokens")
     keyed = counted.withColumn("block", F.conv(F.substring(_order(seed, F.col("doc_id")), 1, 8), 16, 10).cast("long") % blocks)
     sums = scratch.table(keyed.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
     totals = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"))
@@ -130,8 +130,12 @@ def mix(documents: DataFrame, scratch: Scratch, min_entropy: float = 0.97, max_r
     return whole.unionByName(part).withColumn("copies", F.col("epochs") + F.col("last_rank").isNotNull().cast("int"))
 
 
-def realise(documents: DataFrame, drawn: DataFrame) -> DataFrame:
-    """The mixed rows: each document's columns once for every time it is drawn, with epoch (from 0).
-    Documents are joined to their draws by doc_id; ids must be unique."""
-    draws = drawn.where("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))
-    return documents.join(draws, "doc_id")
+def realise(documents: DataFrame, drawn: DataFrame, seed: int = 17, blocks: int = 256) -> DataFrame:
+    """The mixed rows: row (a struct of the document's columns), epoch (from 0) and position, the text by
+    which the rows of an epoch are ordered: blocks as they are permuted, then documents in a block."""
+    often = drawn.where("copies > 0").groupBy("doc_id").agg(F.max(F.struct("copies", "last_rank", "epochs")).alias("d")).select("doc_id", "d.*")
+    draws = often.select("doc_id", "last_rank", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))
+    joined = documents.select("doc_id", F.col("source").alias("_source"), F.struct("*").alias("row")).join(draws, "doc_id")
+    block = F.conv(F.substring(_order(seed, F.col("doc_id")), 1, 8), 16, 10).cast("long") % blocks
+    order = F.concat_ws(":", _order(seed + 3, F.col("epoch"), F.col("_source"), block), _order(seed + 4, F.col("epoch"), F.col("doc_id")))
+    return joined.select("row", "epoch", order.alias("position"))

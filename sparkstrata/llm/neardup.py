@@ -319,6 +319,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, shingle_words: int =
     left = stars.join(sets, "cid").select(F.col("cid").alias("a"), F.col("leader").alias("b"), F.col("regs").alias("regs_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("cid").alias("b"), F.col("regs").alias("regs_b"), F.col("shingles").alias("set_b"))
     tested = left.join(right, "b").select("a", "b", "regs_a", "regs_b", "set_a", "set_b")
+    scratch.sweep()
     links = scratch.table(tested.mapInArrow(_verify_pairs(percent), "a long, b long"), "links")
     found = scratch.table(components(links, scratch), "components")
     # Buckets that hold several components: all pairs between those, in blocks inside tasks.
@@ -330,7 +331,9 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, shingle_words: int =
     full = dealt.join(sets, "cid").select("key", "i", "j", "block", "band", "cid", "component", "regs", "shingles")
     more = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare_blocks(percent), "a long, b long")
     joined = scratch.table(more, "links").unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    final = components(joined, scratch)
+    final = scratch.table(components(joined, scratch), "final")
+    scratch.drop(shared, stars, sets, links, found)
+    scratch.sweep()
     named = classes.select("fp1", "fp2", "n_shingles", "cid").join(final.withColumnRenamed("node", "cid"), "cid", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "cid").alias("class_component"))
     out = rows.drop("regs").join(named, ["fp1", "fp2", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))

@@ -161,23 +161,22 @@ def _strength(groups: DataFrame, good: str, n: str, parent: Column, least: float
 
 
 def judge(documents: DataFrame, model: ShapeClassifier, scratch: Scratch, site: str = "source", path: tuple[str, ...] = ("source", "lang"), keep_at: float = KEEP_AT, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """The documents' ``columns`` (all, if None) with evidence, site_rate, path_rate, score and keep."""
-    spark = documents.sparkSession
+    """row (a struct of the documents' ``columns``, all if None), evidence, site_rate, path_rate, score, keep."""
     key = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in path))
     site_key = F.coalesce(F.col(site).cast("string"), F.lit("\x00"))
-    own = evidence(model, spark)(F.coalesce("text", F.lit("")))
-    base = documents.select(*(columns or documents.columns), own.alias("_evidence"), site_key.alias("_site"), key.alias("_path"))
-    p = 1 / (1 + F.exp(-F.col("_evidence")))
-    paths = scratch.table(documents.select(own.alias("_evidence"), site_key.alias("_site"), key.alias("_path")).groupBy("_site", "_path").agg(F.count("*").alias("_n"), F.sum(p).alias("_good")), "paths")
-    sites = paths.groupBy("_site").agg(F.sum("_n").alias("_site_n"), F.sum("_good").alias("_site_good"))
-    total = sites.agg(F.coalesce(F.sum("_site_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_site_good"), F.lit(0.0)).alias("good")).first()
+    own = evidence(model, documents.sparkSession)(F.coalesce("text", F.lit("")))
+    base = documents.select(F.struct(*(columns or ["*"])).alias("row"), own.alias("evidence"), site_key.alias("site"), key.alias("path"))
+    p = 1 / (1 + F.exp(-F.col("evidence")))
+    paths = documents.select(own.alias("evidence"), site_key.alias("site"), key.alias("path")).groupBy("site", "path").agg(F.count("*").alias("n"), F.sum(p).alias("good"))
+    paths = scratch.table(paths, "paths")
+    sites = paths.groupBy("site").agg(F.sum("n").alias("site_n"), F.sum("good").alias("site_good"))
+    total = sites.agg(F.coalesce(F.sum("site_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("site_good"), F.lit(0.0)).alias("good")).first()
     mean = (total.good + 0.5) / (total.n + 1.0)
-    site_strength = _strength(sites, "_site_good", "_site_n", F.lit(mean))
-    rated = paths.join(sites.select("_site", ((F.col("_site_good") + site_strength * mean) / (F.col("_site_n") + site_strength)).alias("_site_rate")), "_site")
-    rated = scratch.table(rated, "rates")
-    path_strength = _strength(rated, "_good", "_n", F.col("_site_rate"))
-    joined = base.join(rated, ["_site", "_path"])
-    path_rate = (F.col("_good") - p + path_strength * F.col("_site_rate")) / (F.col("_n") - 1 + path_strength)
+    site_strength = _strength(sites, "site_good", "site_n", F.lit(mean))
+    shrunk = sites.select("site", ((F.col("site_good") + site_strength * mean) / (F.col("site_n") + site_strength)).alias("site_rate"))
+    rated = scratch.table(paths.join(shrunk, "site"), "rates")
+    path_strength = _strength(rated, "good", "n", F.col("site_rate"))
+    path_rate = (F.col("good") - p + path_strength * F.col("site_rate")) / (F.col("n") - 1 + path_strength)
     bounded = F.least(F.greatest(path_rate, F.lit(1e-6)), F.lit(1 - 1e-6))
-    posterior = 1 / (1 + F.exp(-(F.col("_evidence") + _logit(bounded) - float(np.log(mean / (1 - mean))))))
-    return joined.select(*(columns or documents.columns), F.col("_evidence").alias("evidence"), F.col("_site_rate").alias("site_rate"), path_rate.alias("path_rate"), posterior.alias("score"), (posterior >= keep_at).alias("keep"))
+    posterior = 1 / (1 + F.exp(-(F.col("evidence") + _logit(bounded) - float(np.log(mean / (1 - mean))))))
+    return base.join(rated, ["site", "path"]).select("row", "evidence", "site_rate", path_rate.alias("path_rate"), posterior.alias("score"), (posterior >= keep_at).alias("keep"))

@@ -90,7 +90,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     documents = read(spark, sf_dir, "documents")
     model = quality.train(documents, read(spark, sf_dir, "labels"))
-    return quality.judge(documents, model, Scratch(spark, "quality"), columns=("doc_id", "source"))
+    return quality.judge(documents, model, Scratch(spark, "quality"), columns=("doc_id", "source")).select("row.*", "evidence", "site_rate", "path_rate", "score", "keep")
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

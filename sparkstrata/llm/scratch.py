@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,10 +23,13 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables under one fresh folder; ``drop`` removes those no longer read."""
+    """Parquet tables under one fresh folder; ``drop`` removes those no longer read, ``remove`` all."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        Scratch.made.append(self)
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -41,11 +45,30 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table._scratch_path)
+
+    def remove(self) -> None:
+        self._delete(self.base)
+        if self in Scratch.made:
+            Scratch.made.remove(self)
+
+    def sweep(self) -> None:
+        """Spark keeps the shuffle files of a finished query until the driver collects the objects that
+        stand for it; ask for that, so that a chain of steps does not hold all its shuffles at once."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+def remove_all(spark: SparkSession) -> None:
+    """Remove the scratch tables of steps whose results have been written."""
+    for scratch in list(Scratch.made):
+        scratch.remove()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:

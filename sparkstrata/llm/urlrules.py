@@ -14,7 +14,8 @@ Each level is an aggregation with map-side merging on counted shapes and is writ
 scratch folder, so neither a hot host nor lost executors cost more than their shapes.
 
 Defined results: a null url, or one without ``://``, has empty host and path and the verdict of
-the template of that empty host; null labels are no labels; an empty table gives no rows.
+the template of that empty host; null labels are no labels; without any label nothing is
+rejected by purity; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -98,7 +99,7 @@ def templates(urls: DataFrame, scratch: Scratch, max_depth: int = 4, min_share:
     of = t.groupBy("host", "prefix").agg(F.sum("labelled").alias("t_labelled"), F.sum("bad").alias("t_bad"))
     hosts = t.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("bad").alias("h_bad"))
     total = t.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
-    prior = ((total.bad or 0) + 0.5) / ((total.labelled or 0) + 1.0)
+    prior = ((total.bad or 0) + 0.5) / ((total.labelled or 0) + 2.0)
     host_rate = (F.col("h_bad") + host_weight * prior) / (F.col("h_labelled") + host_weight)
     rate = (F.col("t_bad") + template_weight * host_rate) / (F.col("t_labelled") + template_weight)
     rates = of.join(hosts, "host").select("host", "prefix", rate.alias("bad_rate"))
