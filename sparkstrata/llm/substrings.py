@@ -11,6 +11,9 @@ segments go, sorted by anchor, to tasks that cut the stream into shards of about
 ``shard_words`` words, build the compressed FM-index of a shard, stream its segments through
 backward search and report the intervals of windows that an earlier document has.
 
+Rows that copy the whole text of an earlier document are set apart first (on digests); their windows are
+all that text's, so only one copy is indexed and searched.
+
 An anchor with more than ``hot_rows`` segments (a passage that very many documents share) would
 make too large a shard; its segments are cut into single windows instead, equal windows are merged
 before the shuffle, keeping the smallest doc_id, and go through the same index by the window's own
@@ -24,11 +27,14 @@ nothing; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +67,10 @@ def _segments(raw: np.ndarray, at: np.ndarray, codes: np.ndarray, window: int, a
     """Of a run of rows: row, anchor, ordinal within the row, first word within the row and number
     of windows of every segment."""
     start, end, doc = spans(raw, at)
+    return _segments_of(start, end, doc, raw, codes, window, anchor_words)
+
+
+def _segments_of(start: np.ndarray, end: np.ndarray, doc: np.ndarray, raw: np.ndarray, codes: np.ndarray, window: int, anchor_words: int):
     word = hashes(raw, start, end, codes)
     inside, anchor = _row_windows(doc, word, window, anchor_words)
     if not len(inside):
@@ -77,15 +87,21 @@ def _segments(raw: np.ndarray, at: np.ndarray, codes: np.ndarray, window: int, a
     return row, anchor[first], ordinal, inside[first] - word_zero, count
 
 
+def _originals(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.filter(pa.compute.and_(pa.compute.is_valid(batch.column(0)), pa.compute.is_null(batch.column(4))))
+
+
 def _anchors(window: int, anchor_words: int, with_place: bool):
-    """mapInArrow: (doc_id, text_key, text) to one row a segment: anchor, doc_id[, place]; the
-    place packs the ordinal and 32 bits of the text's hash.  Without it, equal anchors of a document are sent once."""
+    """mapInArrow: (doc_id, text_key, text, carried, copy) to one row a segment: anchor, doc_id[, place]; the
+    place packs the ordinal and 32 bits of the text's hash.  Without it, equal anchors of a document are
+    sent once.  Copies and rows without an id are passed over here, not by a filter: with the same
+    columns and rows before every use, Spark shuffles the texts once and reuses the exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = byte_codes(lower=False)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            batch = _originals(batch)
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for base, raw, at in chunks(batch.column(2)):
                 row, anchor, ordinal, _, _ = _segments(raw, at, codes, window, anchor_words)
                 if with_place:
@@ -101,42 +117,53 @@ def _anchors(window: int, anchor_words: int, with_place: bool):
     return run
 
 
+def _gather(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """The byte ranges [low, high) as a binary array."""
+    size = high - low
+    at = np.append(0, np.cumsum(size))
+    data = raw[np.repeat(low - at[:-1], size) + np.arange(at[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+
+
 SEGMENTS = "shard long, doc_id long, text_key long, start int, words binary"
 
 
 def _cut(window: int, anchor_words: int, hot: bool):
-    """mapInArrow: (doc_id, text_key, text, ordinals) to the words of the segments named; hot ones
+    """mapInArrow: (doc_id, text_key, text, carried, copy, ordinals) to the words of the segments named; hot ones
     (ordinals below zero: -1 - ordinal) window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = byte_codes(lower=False)
         for batch in batches:
-            mask = pa.compute.is_valid(batch.column(3))
-            batch = batch.filter(mask)
+            batch = _originals(batch)
+            batch = batch.filter(pa.compute.is_valid(batch.column(5)))
             if not batch.num_rows:
                 continue
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts, wanted = batch.column(2), batch.column(3)
+            texts, wanted = batch.column(2), batch.column(5)
             for base, raw, at in chunks(texts):
-                row, anchor, ordinal, first, count = _segments(raw, at, codes, window, anchor_words)
+                start, end, doc = spans(raw, at)
+                row, anchor, ordinal, first, count = _segments_of(start, end, doc, raw, codes, window, anchor_words)
                 edge = np.searchsorted(row, np.arange(len(at)))
-                out: list[tuple] = []
-                for r in range(len(at) - 1):
-                    some = wanted[base + r].values.to_numpy(zero_copy_only=False)
-                    some = -1 - some[some < 0] if hot else some[some >= 0]
-                    if not len(some):
-                        continue
-                    words = raw[at[r] : at[r + 1]].tobytes().split()
-                    one = (int(ids[base + r]), int(keys[base + r]))
-                    for s in edge[r] + some:
-                        a, n = int(first[s]), int(count[s])
-                        if hot:
-                            out += [(0, *one, i, b" ".join(words[i : i + window])) for i in range(a, a + n)]
-                        else:
-                            out.append((int(anchor[s : s + 1].view(np.int64)[0]), *one, a, b" ".join(words[a : a + n + window - 1])))
-                if out:
-                    columns = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "doc_id", "text_key", "start", "words"])
+                part = wanted.slice(base, len(at) - 1)
+                some = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                of = np.repeat(np.arange(len(at) - 1), np.diff(part.offsets.to_numpy()))
+                here = some < 0 if hot else some >= 0
+                some, of = some[here], of[here]
+                if not len(some):
+                    continue
+                s = edge[of] + (-1 - some if hot else some)
+                a, n = first[s], count[s]
+                shard = anchor[s].view(np.int64)
+                if hot:  # every window by itself
+                    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    a, of, shard, n = np.repeat(a, n) + within, np.repeat(of, n), np.repeat(shard, n), np.ones(n.sum(), np.int64)
+                word = np.searchsorted(doc, of) + a
+                low, high = start[word], end[word + n + window - 2]
+                data = _gather(raw, low, high)
+                if hot:  # windows are merged by their bytes, so white space is made one space
+                    data = pa.array([b" ".join(x.split()) for x in data.to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[base + of]), pa.array(keys[base + of]), pa.array(a.astype(np.int32)), data], names=["shard", "doc_id", "text_key", "start", "words"])
 
     return run
 
@@ -219,16 +246,24 @@ def _search_windows(window: int, shard_words: int):
     return run
 
 
+def _copies(keyed: DataFrame) -> DataFrame:
+    """doc_id, text_key, copy (true) of rows whose whole text a smaller doc_id has; found on digests, merged
+    before the shuffle."""
+    ids = keyed.where("doc_id is not null and text is not null").select("doc_id", "text_key", F.unhex(F.md5("text")).alias("digest"))
+    first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    return ids.join(first, "digest").where("doc_id > first").select("doc_id", "text_key").distinct().withColumn("copy", F.lit(True))
+
+
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS, shard_words: int = SHARD_WORDS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, text_key, spans (array of struct(start, stop) in words, that may overlap) of the rows
-    of ``keyed`` (doc_id, text_key, text) that have words to remove."""
-    known = keyed.where("doc_id is not null")
-    places = known.mapInArrow(_anchors(window, anchor_words, True), "anchor long, doc_id long, place long")
-    shared = known.mapInArrow(_anchors(window, anchor_words, False), "anchor long, doc_id long").groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows")).where("low < high").select("anchor", (F.col("rows") > hot_rows).alias("hot"))
+    of ``keyed`` (doc_id, text_key, text, carried, copy) that have words to remove.  Rows marked as copies of a
+    whole earlier text are neither indexed nor streamed: every window of theirs is that text's."""
+    places = keyed.mapInArrow(_anchors(window, anchor_words, True), "anchor long, doc_id long, place long")
+    shared = keyed.mapInArrow(_anchors(window, anchor_words, False), "anchor long, doc_id long").groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows")).where("low < high").select("anchor", (F.col("rows") > hot_rows).alias("hot"))
     ordinal = F.shiftright("place", 32).cast("int")
     named = places.join(shared, "anchor").select("doc_id", F.col("place").bitwiseAND(0xFFFFFFFF).alias("text_key"), F.when(F.col("hot"), -1 - ordinal).otherwise(ordinal).alias("o"))
     wanted = named.groupBy("doc_id", "text_key").agg(F.collect_list("o").alias("ordinals"))
-    texts = keyed.join(wanted, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "ordinals")
+    texts = keyed.join(wanted, ["doc_id", "text_key"], "left")
     cold = texts.mapInArrow(_cut(window, anchor_words, False), SEGMENTS)
     cold = cold.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(window, shard_words), "doc_id long, text_key long, start int, stop int")
     hot = texts.mapInArrow(_cut(window, anchor_words, True), SEGMENTS).select("doc_id", "text_key", "start", "words")
@@ -238,11 +273,16 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor_words: int = A
     return cold.unionByName(hot).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("text_key"), "text")
+def _keyed(documents: DataFrame, carry: list[str]) -> DataFrame:
+    """doc_id, text_key, text, carried (struct of the columns named), copy."""
+    carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(True)
+    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("text_key"), "text", carried.alias("carried"))
+    return plain.join(_copies(plain.drop("carried")), ["doc_id", "text_key"], "left")
 
 
-def _kept_mask(n: int, spans) -> np.ndarray:
+def _kept_mask(n: int, spans, copy: bool, window: int) -> np.ndarray:
+    if copy:
+        return np.full(n, n < window)
     edge = np.zeros(n + 1, np.int64)
     if spans is not None:
         flat = spans.values
@@ -253,57 +293,59 @@ def _kept_mask(n: int, spans) -> np.ndarray:
 
 def removal_digests(documents: DataFrame, **parameters) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) of every row."""
+    window = parameters.get("window", WINDOW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, digests = [], [], []
-            for text, found in zip(batch.column(1), batch.column(2), strict=True):
+            for text, found, copy in zip(batch.column(2), batch.column(5), batch.column(4).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
                 n = len(words)
-                if found.is_valid:
-                    mask = _kept_mask(n, found)
+                if found.is_valid or copy:
+                    mask = _kept_mask(n, found, copy, window)
                     words = list(compress(words, mask.tolist()))
                 sizes.append(n)
                 removed.append(n - len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    keyed = _keyed(documents)
-    marked = keyed.join(repeated_spans(keyed, **parameters), ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
-    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    keyed = _keyed(documents, [])
+    return keyed.join(repeated_spans(keyed, **parameters), ["doc_id", "text_key"], "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(documents: DataFrame, **parameters) -> DataFrame:
     """The documents with repeated passages cut out; texts without any stay as they are, to the byte.
     A cut takes the white space after its words too; n_chars, if there, is counted again."""
-    import pandas as pd
-
-    def cut(texts: pd.Series, marks: pd.Series) -> pd.Series:
-        import re
+    window = parameters.get("window", WINDOW)
 
+    def cut(texts: pd.Series, marks: pd.Series, copies: pd.Series) -> pd.Series:
         word = re.compile(rb"[^\x20\x09-\x0d]+")
         out = []
-        for text, found in zip(texts, marks, strict=True):
-            if text is None or found is None or not len(found):
+        for text, found, copy in zip(texts, marks, copies, strict=True):
+            if text is None or (not copy and (found is None or not len(found))):
                 out.append(text)
                 continue
             raw = text.encode()
             begins = [m.start() for m in word.finditer(raw)]
-            edge = np.zeros(len(begins) + 1, np.int64)
-            for s in found:
-                edge[min(s["start"], len(begins))] += 1
-                edge[min(s["stop"], len(begins))] -= 1
-            keep = np.cumsum(edge[:-1]) == 0
+            if copy:
+                keep = [len(begins) < window] * len(begins)
+            else:
+                edge = np.zeros(len(begins) + 1, np.int64)
+                for s in found:
+                    edge[min(s["start"], len(begins))] += 1
+                    edge[min(s["stop"], len(begins))] -= 1
+                keep = np.cumsum(edge[:-1]) == 0
             stops = [*begins[1:], len(raw)]
-            lead = raw[: begins[0]] if begins else b""
+            lead = raw[: begins[0]] if begins else raw
             out.append((lead + b"".join(raw[a:b] for a, b, k in zip(begins, stops, keep, strict=True) if k)).decode())
         return pd.Series(out, dtype=object)
 
-    cut.__annotations__ = {"texts": pd.Series, "marks": pd.Series, "return": pd.Series}
-    found = repeated_spans(_keyed(documents), **parameters).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "spans")
-    key = F.xxhash64("text").bitwiseAND(0xFFFFFFFF)
-    joined = documents.join(found, (F.col("doc_id") == F.col("_d")) & (key == F.col("_k")), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.pandas_udf(cut, "string")("text", "spans"))
-    columns = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in documents.columns else {})
-    named = joined.withColumn("_text", text)
-    return named.select(*(F.col("_text").alias("text") if c == "text" else F.coalesce(F.length("_text"), F.col("n_chars")).cast("long").alias("n_chars") if c == "n_chars" and "n_chars" in columns else F.col(c) for c in documents.columns))
+    cut.__annotations__ = {"texts": pd.Series, "marks": pd.Series, "copies": pd.Series, "return": pd.Series}
+    # The struct travels whole through every use of the texts, so that all share one exchange.
+    keyed = _keyed(documents, [c for c in documents.columns if c != "text"])
+    joined = keyed.join(repeated_spans(keyed, **parameters), ["doc_id", "text_key"], "left")
+    copy = F.coalesce("copy", F.lit(False))
+    touched = copy | F.col("spans").isNotNull()
+    made = joined.select("carried", F.when(touched, F.pandas_udf(cut, "string")("text", "spans", copy)).otherwise(F.col("text")).alias("text"), touched.alias("touched"))
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("touched"), F.length("text").cast("long")).otherwise(F.col("carried.n_chars")) if "n_chars" in documents.columns else None}
+    return made.select(*((changed[c] if c in changed else F.col(f"carried.`{c}`")).alias(c) for c in documents.columns))
