@@ -71,7 +71,7 @@ def remove_all(spark: SparkSession) -> None:
         scratch.remove()
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows, so that a worker holds a few MB of text at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
