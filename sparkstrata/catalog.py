@@ -225,8 +225,8 @@ def endpoint_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with i as (select user_id, event_id as section, event_id * 10 as low, event_id * 10 + 5000 + (event_id % 7) * 900 as high from events where event_type = 'purchase'),
-p as (select user_id, event_id as point_id, event_id * 10 + 3 as at from events where event_type <> 'purchase')
-select point_id, section, at - low as within from p join i using (user_id) where at >= low and at < high
+p as (select user_id, event_id as point_id, event_id * 10 + 3 as spot from events where event_type <> 'purchase')
+select point_id, section, spot - low as within from p join i using (user_id) where spot >= low and spot < high
 """)
 def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-open intervals that hold a point, by bins."""
@@ -248,7 +248,7 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DETECT_SQL = """
-select page_id, id, name, category, confidence, evidence, ord from (
+select page_id, id, name, category, cast(confidence as double) as confidence, evidence, ord from (
   select page_id, 0 as ord, 'secure' as id, 'TLS' as name, 'runtime' as category, 0.9 as confidence, 'scheme' as evidence from pages where starts_with(upper(url), 'HTTPS')
   union all select page_id, 1, 'blog', 'Blog', 'framework', 0.75, 'host prefix' from pages where contains(url, '://blog.')
   union all select page_id, 2, 'Blog', 'Weblog', 'framework', 0.75, 'Host Prefix' from pages where contains(url, '://blog.')
@@ -281,11 +281,11 @@ def detect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with d as ({DETECT_SQL}),
-e as (select page_id, upper(id) as k, upper(evidence) as e, arg_min(evidence, ord) as t from d group by all)
-select d.page_id, arg_min(id, ord) as id, arg_max(name, struct_pack(c := confidence, o := -ord)) as name, arg_max(category, struct_pack(c := confidence, o := -ord)) as category, max(confidence) as confidence,
-  (select string_agg(t, '|' order by e) from e where e.page_id = d.page_id and e.k = upper(d.id)) as evidence
-from d group by d.page_id, upper(d.id)
+with d as (select *, upper(id) as k from ({DETECT_SQL})),
+e as (select page_id, k, upper(evidence) as e, arg_min(evidence, ord) as t from d group by page_id, k, upper(evidence)),
+f as (select page_id, k, string_agg(t, '|' order by e) as evidence from e group by page_id, k),
+g as (select page_id, k, arg_min(id, ord) as id, arg_max(name, struct_pack(c := confidence, o := -ord)) as name, arg_max(category, struct_pack(c := confidence, o := -ord)) as category, max(confidence) as confidence from d group by page_id, k)
+select g.page_id, g.id, g.name, g.category, g.confidence, f.evidence from g join f using (page_id, k)
 """)
 def detect_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings merged by id without case."""
@@ -399,8 +399,8 @@ def count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with recursive i as (select p_partkey as id, case when p_partkey > 1 then p_partkey // 2 end as parent, p_size % 10 <> 0 as ok from part),
-up(id, at, parent, depth, ok) as (select id, id, parent, 0, ok from i union all select u.id, i.id, i.parent, u.depth + 1, u.ok and i.ok from up u join i on u.parent = i.id)
-select id, max(case when parent is null then at end) as root, cast(max(depth) as int) as depth, coalesce(bool_or(case when parent is null then ok end), false) as complete from up group by id
+up(id, here, parent, depth, ok) as (select id, id, parent, 0, ok from i union all select u.id, i.id, i.parent, u.depth + 1, u.ok and i.ok from up u join i on u.parent = i.id)
+select id, max(case when parent is null then here end) as root, cast(max(depth) as int) as depth, coalesce(bool_or(case when parent is null then ok end), false) as complete from up group by id
 """)
 def owner_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of owners above each item."""
@@ -436,9 +436,9 @@ def incomplete_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 with recursive l as (select p_partkey, 'L' || p_partkey as path, case when p_partkey % 9 = 0 then 'F' || p_partkey when p_partkey % 9 = 1 then 'gone' else 'L' || (p_partkey - 1) end as target from part where p_partkey <= 200),
 f as (select 'F' || p_partkey as path from part where p_partkey <= 200 and p_partkey % 2 = 0),
-w(path, at, hops) as (select path, target, 1 from l union all select w.path, l.target, w.hops + 1 from w join l on w.at = l.path where w.hops < 40)
+w(path, here, hops) as (select path, target, 1 from l union all select w.path, l.target, w.hops + 1 from w join l on w.here = l.path where w.hops < 40)
 select path, final, cast(hops as int) as hops, case when final in (select path from f) then 'resolved' when hops >= 40 then 'cycle' else 'missing' end as status
-from (select path, arg_max(at, hops) as final, max(hops) as hops from w group by path)
+from (select path, arg_max(here, hops) as final, max(hops) as hops from w group by path)
 """)
 def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links followed to a file."""

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lazy import arrow_function
+
 SHAPE = "struct<status:string,root:string,paths:array<string>,properties:int,truncated:boolean>"
 # Bounds on one text.
 MAX_BYTES, MAX_DEPTH, MAX_NODES, MAX_PROPERTIES, MAX_PATHS, MAX_PATH_CHARS = 1 << 20, 32, 20_000, 10_000, 200, 512
@@ -134,12 +136,12 @@ def xml_paths(text: str | None) -> dict:
     return _result("parsed", root[0] if root else None, paths, count)
 
 
-@F.pandas_udf(SHAPE)
+@arrow_function(SHAPE)
 def json_structure(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([json_paths(t) for t in texts], columns=["status", "root", "paths", "properties", "truncated"])
 
 
-@F.pandas_udf(SHAPE)
+@arrow_function(SHAPE)
 def xml_structure(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([xml_paths(t) for t in texts], columns=["status", "root", "paths", "properties", "truncated"])
 

@@ -23,13 +23,26 @@ def origin(kind: str, container: Column | None = None, entry: Column | None = No
     return F.struct(F.lit(kind).alias("kind"), (container if container is not None else none).alias("container"), (entry if entry is not None else none).alias("entry"), (depth if depth is not None else F.lit(0)).cast("int").alias("depth"))
 
 
+def _empty_files(spark: SparkSession, base: str) -> DataFrame:
+    """Paths of files without content, which Spark's file sources pass over.  They are listed on the
+    driver; an input has at most some ten thousand files."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    found, files = [], root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    while files.hasNext():
+        status = files.next()
+        if status.getLen() == 0:
+            found.append((status.getPath().toString(),))
+    return spark.createDataFrame(found, "path string")
+
+
 def scan(spark: SparkSession, root: str, source_mode: bool = False, excluded: list[str] | None = None, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Id, relative_path, file_name, size, content, origin of the files below ``root``.
 
     The size bound reaches the file listing; in source mode files below excluded directories go.
     """
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(F.col("length") <= max_file_bytes)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(F.col("length") <= max_file_bytes).select("path", "length", "content")
+    raw = raw.unionByName(_empty_files(spark, base).select("path", F.lit(0).cast("long").alias("length"), F.lit(bytearray()).alias("content")))
     # Paths come as URIs; what follows the root's own last name is the logical path.
     tail = base.rsplit("/", 1)[-1]
     path = F.expr(f"substring_index(path, '/{tail}/', -1)")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lazy import arrow_function
+
 CALL = "struct<caller:string,site:string,target:string,indirect:boolean,tail:boolean>"
 NATIVE = f"struct<status:string,error:string,version:int,function_count:int,truncated:boolean,functions:array<struct<name:string,address:string,signature:string,external:boolean>>,calls:array<{CALL}>,calls_truncated:boolean>"
 PSEUDOCODE = "struct<status:string,error:string,input_sha256:string,complete:boolean,rows:array<struct<address:string,status:string,code:string>>>"
@@ -122,7 +124,7 @@ def read_native(text: str | None) -> dict:
         return out | {"error": str(e)}
 
 
-@F.pandas_udf(NATIVE)
+@arrow_function(NATIVE)
 def native_document(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_native(t) for t in texts], columns=["status", "error", "version", "function_count", "truncated", "functions", "calls", "calls_truncated"])
 
@@ -167,7 +169,7 @@ def read_pseudocode(text: str | None) -> dict:
         return out | {"error": str(e)}
 
 
-@F.pandas_udf(PSEUDOCODE)
+@arrow_function(PSEUDOCODE)
 def pseudocode_document(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_pseudocode(t) for t in texts], columns=["status", "error", "input_sha256", "complete", "rows"])
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lazy import arrow_function
 from ..functions.paths import directory, extension, resolve, stem
 from ..functions.text import fold, is_literal
 from ..operators.resolve import nearest_ancestor, package_versions, reference_status
@@ -121,7 +122,7 @@ def read_declarations(path: str, content: bytes | None) -> dict:
     return {"status": "read", "error": None, "items": items}
 
 
-@F.pandas_udf(DECLARATIONS)
+@arrow_function(DECLARATIONS)
 def declarations(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_declarations(p, c if c is None else bytes(c)) for p, c in zip(paths, contents, strict=True)], columns=["status", "error", "items"])
 
