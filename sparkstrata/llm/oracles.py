@@ -143,3 +143,82 @@ with recursive w as (
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
 from documents d join (select doc_id, min(node) as component_id from reach group by doc_id) c using (doc_id) left join n using (doc_id)
 """
+
+ORACLES["op6_neighbours"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), d as (
+  select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(c.e, q.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id
+)
+select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as int) as rank, vec_id, score from d
+qualify row_number() over (partition by query_id order by score, vec_id) <= 10
+"""
+
+
+def _url_oracle(depth: int = 4) -> str:
+    """The path-template tree, level by level, as SQL."""
+    parts = f"""
+with recursive raw as (
+  select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*(/[^?#]*)', 1) as path, url,
+    regexp_extract(coalesce(url, ''), '/([0-9]{{1,18}})(?:\\.[a-z]+)?/?(?:[?#].*)?$', 1) as number
+  from pages
+), cut as (
+  select *, list_transform(string_split(path, '/')[2:], lambda s: regexp_replace(case when regexp_full_match(s, '[0-9a-fA-F-]{{8,}}') and regexp_matches(s, '[0-9]') and regexp_matches(s, '[a-fA-F]') then '{{h}}' else s end, '[0-9]+', '{{n}}', 'g')) as segs
+  from raw
+), shaped as (
+  select *, case when path = '' then cast([] as varchar[]) when len(segs) > {depth} then list_concat(segs[1:{depth}], ['**']) else segs end as shape from cut
+), quality as (
+  select doc_id, case when max(quality) = 0 then 1 else 0 end as bad from labels where quality is not null and doc_id is not null group by doc_id
+), seen as (
+  select host, shape, cast(null as int) as bad from shaped
+  union all select host, shape, q.bad from shaped s join quality q on s.number <> '' and cast(s.number as bigint) = q.doc_id
+), t0 as (
+  select host, shape, count(*) as n, count(bad) as labelled, cast(coalesce(sum(bad), 0) as bigint) as bad, '' as prefix from seen group by host, shape
+)"""
+    for d in range(1, depth + 2):
+        was = f"t{d - 1}"
+        parts += f"""
+, leaf{d} as (
+  select host, prefix, shape[{d}] as seg, case when len(shape) > {d} then shape[{d + 1}] else '$' end as child, sum(n) as n, sum(labelled) as labelled, sum(bad) as bad
+  from {was} where len(shape) >= {d} group by all
+), node{d} as (select host, prefix, seg, sum(n) as n, sum(labelled) as labelled, sum(bad) as bad from leaf{d} group by all
+), sib{d} as (select host, prefix, count(*) as k, sum(n) as all_n, sum(labelled) as all_labelled, sum(bad) as all_bad from node{d} group by all
+), pool{d} as (select host, prefix, child, sum(n) as pool_n from leaf{d} group by all
+), kinds{d} as (select host, prefix, count(*) as kinds from pool{d} group by all
+), far{d} as (
+  select l.host, l.prefix, l.seg, (sum(abs(l.n / s.n - p.pool_n / b.all_n) - p.pool_n / b.all_n) + 1) / 2 as distance,
+    any_value(s.n) as n, any_value(s.labelled) as labelled, any_value(s.bad) as bad, any_value(b.k) as k, any_value(kinds) as kinds, any_value(all_n) as all_n, any_value(all_labelled) as all_labelled, any_value(all_bad) as all_bad
+  from leaf{d} l join pool{d} p using (host, prefix, child) join node{d} s on s.host = l.host and s.prefix = l.prefix and s.seg = l.seg join sib{d} b on b.host = l.host and b.prefix = l.prefix join kinds{d} x on x.host = l.host and x.prefix = l.prefix
+  group by all
+), wild{d} as (
+  select host, prefix, seg, k > 1 and seg <> '**' and ((k > 32 and n < all_n * 0.01) or (distance <= sqrt((ln(40) + kinds * ln(2)) / (2 * n))
+    and (labelled = 0 or abs(bad / labelled - all_bad / all_labelled) <= sqrt(ln(40) / (2 * labelled))))) as wild
+  from far{d}
+), t{d} as (
+  select t.host, t.shape, t.n, t.labelled, t.bad, case when len(t.shape) < {d} then t.prefix else t.prefix || '/' || case when w.wild then '*' else t.shape[{d}] end end as prefix
+  from {was} t left join wild{d} w on w.host = t.host and w.prefix = t.prefix and len(t.shape) >= {d} and w.seg = t.shape[{d}]
+)"""
+    last = f"t{depth + 1}"
+    return (
+        parts
+        + f"""
+, prior as (select (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(labelled), 0) + 2.0) as prior from {last}
+), hosts as (select host, (sum(bad) + 10.0 * any_value(prior)) / (sum(labelled) + 10.0) as host_rate from {last}, prior group by host
+), rates as (select host, prefix, (sum(bad) + 10.0 * any_value(host_rate)) / (sum(labelled) + 10.0) as bad_rate from {last} join hosts using (host) group by host, prefix
+), rules(verdict, rule_host, rule_path) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), tree as (select t.host, t.shape, t.prefix as template, r.bad_rate from {last} t join rates r using (host, prefix)
+), judged as (
+  select s.page_id, s.host, s.path, t.template, t.bad_rate,
+    (select arg_max(struct_pack(rule := rule_host || rule_path, verdict := r.verdict), length(rule_host || rule_path)) from rules r
+     where (s.host = rule_host or ends_with(s.host, '.' || rule_host)) and starts_with(s.path, rule_path)) as r
+  from shaped s join tree t on t.host = s.host and t.shape = s.shape
+)
+select page_id, host, path, r.rule as rule, coalesce(r.verdict, case when bad_rate >= 0.5 then 'block' else 'allow' end) as verdict, template, round(bad_rate, 9) as bad_rate from judged
+"""
+    )
+
+
+ORACLES["op4_url_templates"] = _url_oracle()

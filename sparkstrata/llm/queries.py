@@ -58,7 +58,7 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = read(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg((F.max("quality") == 0).cast("int").alias("bad"))
     number = F.regexp_extract("url", r"/(\d{1,18})(?:\.[a-z]+)?/?(?:[?#].*)?$", 1)
     labelled = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id")).where("doc_id is not null").join(quality, "doc_id").select("url", "bad")
-    return judge(pages, Scratch(spark, "urls"), URL_RULES, labelled)
+    return judge(pages, Scratch(spark, "urls"), URL_RULES, labelled).withColumn("bad_rate", F.round("bad_rate", 9))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
