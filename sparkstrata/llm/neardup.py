@@ -10,9 +10,11 @@ and the 10 bits that follow.  Empty buckets are registers too: they agree where
   bands of 16 registers, sets of under 12 only those.  A shingle that differs spoils one band at
   most, so up to 124 shingles a link at the threshold always shares one; above, the chance that
   none of the bands agrees is under 1e-6.
+* Buckets are split by set size, since only sets of like size can be linked, and small ones are
+  thinned on registers alone; only what is left has its full sets made.
 * In a bucket all members are first compared with its smallest member only; what that leaves apart
   is compared in blocks, inside tasks, pair by pair.  Pairs pass the collision-corrected Jaccard
-  estimate of their registers, six deviations wide, and are then verified on full sets.
+  estimate of their registers, five deviations wide, and are then verified on full sets.
 * Links join into components; each class, and each row of it, has the smallest doc_id reachable.
 
 Tasks return at most as many links as they have members (a spanning forest), so a group of
@@ -42,6 +44,8 @@ BANDS, WIDE_BANDS = 32, 8
 #: From the HyperMinHash paper: expected accidental register matches of two large equal sets are so many times buckets / 2**mantissa.
 COLLISIONS = 0.169919487159739
 BLOCK = 4096
+#: Buckets up to this size are compared on registers before any set is made.
+SMALL = 64
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,21 +100,36 @@ def band_keys(regs: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the estimated Jaccard similarity of register rows, corrected for accidental matches,
-    and the sizes allow ``threshold``; six standard deviations wide."""
+    and the sizes allow ``threshold``; five standard deviations wide."""
     hits = ((a == b) & (a != 0)).sum(axis=-1)
     filled = np.maximum(((a | b) != 0).sum(axis=-1), 1)
     ratio = na / nb
     chance = COLLISIONS * BUCKETS / 2**MANTISSA_BITS * 4 * ratio / (1 + ratio) ** 2
     estimate = (hits - chance) / filled
-    slack = 6 * np.sqrt(threshold * (1 - threshold) / filled)
+    slack = 5 * np.sqrt(threshold * (1 - threshold) / filled)
     return (estimate >= threshold - slack) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
 
 
+def thin(regs: np.ndarray) -> np.ndarray:
+    """rows x 64 bytes: 4 bits of each register (0 where it is empty), enough to tell most unlike pairs apart."""
+    code = np.where(regs == 0, np.uint8(0), (mix(regs.astype(np.uint64)) % np.uint64(15)).astype(np.uint8) + np.uint8(1))
+    return code[:, 0::2] | (code[:, 1::2] << np.uint8(4))
+
+
+def thin_plausible(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """As ``plausible``, on thin registers, of which one in 15 agrees by accident."""
+    low_a, low_b, high_a, high_b = a & 15, b & 15, a >> 4, b >> 4
+    hits = ((low_a == low_b) & (low_a != 0)).sum(axis=1) + ((high_a == high_b) & (high_a != 0)).sum(axis=1)
+    filled = np.maximum(((low_a | low_b) != 0).sum(axis=1) + ((high_a | high_b) != 0).sum(axis=1), 1)
+    estimate = (hits / filled - 1 / 15) * (15 / 14)
+    return estimate >= threshold - 5.4 * np.sqrt(threshold * (1 - threshold) / filled)
+
+
 def linked(common: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (na + nb - common)
 
 
-SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, regs binary"
+SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, regs binary, thin binary"
 
 
 def _fingerprints(owner: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +142,12 @@ def _fingerprints(owner: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.n
     return out[0], out[1]
 
 
+def _packed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    at = np.arange(len(rows) + 1) * rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def sketch(documents: DataFrame, shingle_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = byte_codes(lower=True)
@@ -132,9 +157,8 @@ def sketch(documents: DataFrame, shingle_words: int) -> DataFrame:
                 owner, value = shingle_sets(raw, at, codes, shingle_words)
                 fp1, fp2 = _fingerprints(owner, value, rows)
                 regs = registers(owner, value, rows)
-                packed = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1) * BUCKETS * 2).astype(np.int32)), pa.py_buffer(regs)])
                 n = np.bincount(owner, minlength=rows).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, rows), pa.array(n), pa.array(fp1), pa.array(fp2), packed], names=["doc_id", "n_shingles", "fp1", "fp2", "regs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, rows), pa.array(n), pa.array(fp1), pa.array(fp2), _packed(regs), _packed(thin(regs))], names=["doc_id", "n_shingles", "fp1", "fp2", "regs", "thin"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
 
@@ -152,17 +176,17 @@ def _bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, n, regs) to one row for each band that a class has: key, band, cid."""
+    """(cid, n, regs) to one row for each band that a class has: key, band, cid, n."""
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = band_keys(_matrix(batch.column(2)), batch.column(1).to_numpy())
         row, band = np.nonzero(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), pa.array(band.astype(np.int8)), batch.column(0).take(pa.array(row))], names=["key", "band", "cid"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), pa.array(band.astype(np.int8)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["key", "band", "cid", "n"])
 
 
 def _sets(shingle_words: int):
-    """(cid, fp1, fp2, text) to cid, shingles (sorted 64-bit hashes, packed) where the text is the class's."""
+    """(cid, fp1, fp2, text) to cid, regs, shingles (sorted 64-bit hashes, packed) where the text is the class's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = byte_codes(lower=True)
@@ -176,7 +200,7 @@ def _sets(shingle_words: int):
                 edge = (np.searchsorted(owner, np.arange(rows + 1)) * 8).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(edge), pa.py_buffer(value)])
                 keep = pa.array(same)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), packed.filter(keep)], names=["cid", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), _packed(registers(owner, value, rows)).filter(keep), packed.filter(keep)], names=["cid", "regs", "shingles"])
 
     return run
 
@@ -240,61 +264,100 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: int, rows: int) -> Itera
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _compare_blocks(percent: int):
-    """(key, i, j, block, band, cid, component, regs, shingles) sorted by key, i, j to links (a, b)
-    between components: all pairs of a bucket (i = j), or those of its blocks i and j.
+def _flag_small(percent: int):
+    """(key, band, late, cid, n, thin) sorted by key to (key, band, late, cid) of members that have a partner of
+    like size in their bucket that their thin registers allow."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches, 1, 4096):
+            key, late, n = part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False), part.column(4).to_numpy()
+            bits = np.frombuffer(_bytes(part.column(5))[0], np.uint8).reshape(-1, BUCKETS // 2)
+            marked = np.zeros(len(key), bool)
+            for d in range(1, len(key)):
+                a = np.flatnonzero(key[d:] == key[:-d])
+                if not len(a):
+                    break
+                b = a + d
+                near = (np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b])) & ~(late[a] & late[b])
+                a, b = a[near], b[near]
+                good = thin_plausible(bits[a], bits[b], percent / 100)
+                marked[a[good]] = True
+                marked[b[good]] = True
+            yield part.filter(pa.array(marked)).select(range(4))
+
+    return run
 
-    A pair that shares several bands is compared in one of them only, chosen by its ids.
-    """
+
+MEMBERS = "key long, i int, j int, block int, band byte, late boolean, cid long, component long"
+
+
+def _plausible_pairs(part: pa.RecordBatch, regs: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows x and the later rows y of x's bucket that may be links between components: all of a bucket
+    (i = j), or those of its blocks i and j.  A pair that shares several bands is met in one of
+    them only, chosen by its ids, and in the lower of two size classes (not where both are late)."""
+    key, bi, bj, block, band, late, cid, component = (part.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+    keys = band_keys(regs, n)
+    spin = (mix(cid.view(np.uint64)) >> np.uint64(8)).astype(np.int64)
+    new = np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1)
+    for a, b in zip(new, np.append(new[1:], len(key)), strict=True):
+        if b - a < 2 or component[a:b].min() == component[a:b].max():
+            continue
+        two = bi[a] != bj[a]
+        for x in range(a, b - 1):
+            y = np.arange(x + 1, b)
+            y = y[(component[y] != component[x]) & ~(late[y] & late[x]) & (np.minimum(n[y], n[x]) * 100 >= percent * np.maximum(n[y], n[x]))]
+            if two:
+                y = y[block[y] != block[x]]
+            if len(y):
+                y = y[plausible(regs[x], regs[y], n[x], n[y], percent / 100)]
+            if len(y):
+                common = (keys[y] == keys[x]) & (keys[x] != 0)
+                turn = (np.arange(keys.shape[1])[None, :] - ((spin[x] + spin[y]) % keys.shape[1])[:, None]) % keys.shape[1]
+                y = y[np.where(common, turn, 1 << 20).argmin(axis=1) == band[x]]
+            if len(y):
+                yield x, y
+
+
+def _flag_members(percent: int):
+    """MEMBERS, n, regs sorted by key, i, j to the MEMBERS that have a plausible partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, 3, 2048):
-            key, bi, bj, block, band, cid, component = (part.column(i).to_numpy() for i in range(7))
-            regs = _matrix(part.column(7))
-            data, edge = _bytes(part.column(8))
+            marked = np.zeros(part.num_rows, bool)
+            for x, y in _plausible_pairs(part, _matrix(part.column(9)), part.column(8).to_numpy(), percent):
+                marked[x] = True
+                marked[y] = True
+            yield part.filter(pa.array(marked)).select(range(8))
+
+    return run
+
+
+def _link_members(percent: int):
+    """MEMBERS, regs, shingles sorted by key, i, j to verified links (a, b) between components; no more
+    than a spanning forest of those that a task sees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches, 3, 2048):
+            data, edge = _bytes(part.column(9))
             sets, edge = np.frombuffer(data, np.uint64), edge // 8
-            n = np.diff(edge)
-            keys = band_keys(regs, n)
-            spin = (mix(cid.view(np.uint64)) >> np.uint64(8)).astype(np.int64)
-            new = np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1)
-            stops = np.append(new[1:], len(key))
+            n, component = np.diff(edge), part.column(7).to_numpy()
             parent: dict[int, int] = {}
             links: list[tuple[int, int]] = []
-            for a, b in zip(new, stops, strict=True):
-                if b - a < 2 or component[a:b].min() == component[a:b].max():
+            for x, y in _plausible_pairs(part, _matrix(part.column(8)), n, percent):
+                root = _find(parent, int(component[x]))
+                y = np.array([v for v in y if _find(parent, int(component[v])) != root], np.int64)
+                if not len(y):
                     continue
-                two = bi[a] != bj[a]
-                for x in range(a, b - 1):
-                    y = np.arange(x + 1, b)
-                    y = y[component[y] != component[x]]
-                    if two:
-                        y = y[block[y] != block[x]]
-                    y = y[np.minimum(n[y], n[x]) * 100 >= percent * np.maximum(n[y], n[x])]
-                    if not len(y):
-                        continue
-                    y = y[plausible(regs[x], regs[y], n[x], n[y], percent / 100)]
-                    if not len(y):
-                        continue
-                    common = (keys[y] == keys[x]) & (keys[x] != 0)
-                    turn = (np.arange(keys.shape[1])[None, :] - ((spin[x] + spin[y]) % keys.shape[1])[:, None]) % keys.shape[1]
-                    chosen = np.where(common, turn, 1 << 20).argmin(axis=1)
-                    y = y[chosen == band[x]]
-                    root = _find(parent, int(component[x]))
-                    y = np.array([v for v in y if _find(parent, int(component[v])) != root], np.int64)
-                    if not len(y):
-                        continue
-                    mine = sets[edge[x] : edge[x + 1]]
-                    size = n[y]
-                    flat = np.repeat(edge[y] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-                    other = sets[flat]
-                    at = np.searchsorted(mine, other)
-                    at[at == len(mine)] = 0
-                    shared = np.add.reduceat((mine[at] == other).astype(np.int64), np.append(0, np.cumsum(size)[:-1]))
-                    for v in y[linked(shared, n[x], size, percent)]:
-                        one, other_root = _find(parent, int(component[x])), _find(parent, int(component[v]))
-                        if one != other_root:
-                            parent[other_root] = one
-                            links.append((int(component[x]), int(component[v])))
+                mine, size = sets[edge[x] : edge[x + 1]], n[y]
+                first = np.append(0, np.cumsum(size)[:-1])
+                other = sets[np.repeat(edge[y] - first, size) + np.arange(size.sum())]
+                at = np.searchsorted(mine, other)
+                at[at == len(mine)] = 0
+                shared = np.add.reduceat((mine[at] == other).astype(np.int64), first)
+                for v in y[linked(shared, n[x], size, percent)]:
+                    one, two = _find(parent, int(component[x])), _find(parent, int(component[v]))
+                    if one != two:
+                        parent[two] = one
+                        links.append((int(component[x]), int(component[v])))
             left, right = zip(*links, strict=True) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
@@ -305,36 +368,52 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, shingle_words: int =
     """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, of every row."""
     rows = scratch.table(sketch(documents, shingle_words), "sketches")
     usable = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.table(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("regs").alias("regs")), "classes")
-    keys = classes.select("cid", "n_shingles", "regs").mapInArrow(_keys, "key long, band byte, cid long")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("leader")).where("size > 1")
-    shared = scratch.table(keys.join(buckets, "key"), "shared")
+    classes = scratch.table(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("regs").alias("regs"), F.first("thin").alias("thin")), "classes")
+    keys = classes.select("cid", "n_shingles", "regs").mapInArrow(_keys, "key long, band byte, cid long, n long")
+    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key")
+    # Only sets of like size can be linked: buckets are split by size, each set in its class and the next.
+    like = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
+    place = F.explode(F.array(F.struct(like.alias("like"), F.lit(False).alias("late")), F.struct((like + 1).alias("like"), F.lit(True).alias("late")))).alias("s")
+    split = scratch.table(shared.select("key", "band", "cid", "n", place).select(F.xxhash64("key", "s.like").alias("key"), "band", "s.late", "cid", "n"), "shared")
+    scratch.sweep()
+    # A bucket of late members only repeats one of the class below.
+    sizes = split.groupBy("key").agg(F.count("*").alias("size"), F.bool_and("late").alias("again")).where("size > 1 and not again").select("key", "size")
+    rows_of = scratch.table(split.join(sizes, "key"), "buckets")
+    # Members of small buckets without a plausible partner leave; large buckets are kept whole for now.
+    small = rows_of.where(F.col("size") <= SMALL).join(classes.select("cid", "thin"), "cid").select("key", "band", "late", "cid", "n", "thin")
+    kept = small.repartition("key").sortWithinPartitions("key").mapInArrow(_flag_small(percent), "key long, band byte, late boolean, cid long")
+    marked = scratch.table(kept.unionByName(rows_of.where(F.col("size") > SMALL).select("key", "band", "late", "cid")), "marked")
+    scratch.drop(split, rows_of)
     # Every class against the smallest member that it shares most buckets with.
-    votes = shared.where("cid <> leader").groupBy("cid", "leader").count()
+    leaders = marked.groupBy("key").agg(F.min("cid").alias("leader"))
+    votes = marked.join(leaders, "key").where("cid <> leader").groupBy("cid", "leader").count()
     stars = votes.groupBy("cid").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    stars = scratch.table(stars, "stars")
-    involved = shared.select("cid").distinct().join(classes.select("cid", "fp1", "fp2"), "cid")
+    involved = marked.select("cid").distinct().join(classes.select("cid", "fp1", "fp2"), "cid")
     texts = documents.select(F.col("doc_id").cast("long").alias("cid"), "text").join(involved, "cid").select("cid", "fp1", "fp2", "text")
-    sets = scratch.table(texts.mapInArrow(_sets(shingle_words), "cid long, shingles binary").join(classes.select("cid", "regs"), "cid"), "sets")
+    sets = scratch.table(texts.mapInArrow(_sets(shingle_words), "cid long, regs binary, shingles binary"), "sets")
+    scratch.sweep()
     left = stars.join(sets, "cid").select(F.col("cid").alias("a"), F.col("leader").alias("b"), F.col("regs").alias("regs_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("cid").alias("b"), F.col("regs").alias("regs_b"), F.col("shingles").alias("set_b"))
     tested = left.join(right, "b").select("a", "b", "regs_a", "regs_b", "set_a", "set_b")
-    scratch.sweep()
     links = scratch.table(tested.mapInArrow(_verify_pairs(percent), "a long, b long"), "links")
     found = scratch.table(components(links, scratch), "components")
     # Buckets that hold several components: all pairs between those, in blocks inside tasks.
-    placed = shared.select("key", "band", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    placed = marked.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     open_ = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = placed.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "cid", "component")
-    full = dealt.join(sets, "cid").select("key", "i", "j", "block", "band", "cid", "component", "regs", "shingles")
-    more = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare_blocks(percent), "a long, b long")
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "late", "cid", "component")
+    # First on registers alone; only members with a plausible partner are sent with their sets.
+    sketched = dealt.join(classes.select("cid", "n_shingles", "regs"), "cid").select("key", "i", "j", "block", "band", "late", "cid", "component", "n_shingles", "regs")
+    together = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    flagged = scratch.table(together(sketched).mapInArrow(_flag_members(percent), MEMBERS), "flagged")
+    full = flagged.join(sets, "cid").select("key", "i", "j", "block", "band", "late", "cid", "component", "regs", "shingles")
+    more = together(full).mapInArrow(_link_members(percent), "a long, b long")
     joined = scratch.table(more, "links").unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
     final = scratch.table(components(joined, scratch), "final")
-    scratch.drop(shared, stars, sets, links, found)
+    scratch.drop(marked, sets, links, found, flagged)
     scratch.sweep()
     named = classes.select("fp1", "fp2", "n_shingles", "cid").join(final.withColumnRenamed("node", "cid"), "cid", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "cid").alias("class_component"))
-    out = rows.drop("regs").join(named, ["fp1", "fp2", "n_shingles"], "left")
+    out = rows.drop("regs", "thin").join(named, ["fp1", "fp2", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
