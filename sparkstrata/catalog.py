@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from .functions import paths, structure, text
 from .operators import classify, detect, graph, ordering, resolve, summary, validate
+from .sources import native, resources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -586,3 +587,185 @@ def index_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.index_members(d, text.fold(F.col("p_name")), "p_brand").withColumn("members", F.array_join("members", ","))
 
 
+
+
+@query("""
+with d as (select distinct 'S' || (l_partkey % 400) as symbol, 'P' || (l_suppkey % 7) as project from lineitem where l_partkey % 400 < 250 and l_linenumber = 1),
+p as (select symbol, count(distinct project) as n, min(project) as project from d group by symbol),
+c as (select o_orderkey as id, 'P' || (o_custkey % 7) as source_project, case when o_orderkey % 9 <> 0 then 'S' || (o_orderkey % 400) end as symbol from orders)
+select id, source_project, symbol, case when n = 1 then project end as target_project,
+  case when symbol is null then 'unresolved' when n is null then 'external' when n > 1 then 'ambiguous' else 'resolved-source' end as status
+from c left join p using (symbol)
+""")
+def call_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by the projects that declare their symbol."""
+    named = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    d = read(spark, sf_dir, "lineitem").where("l_partkey % 400 < 250 and l_linenumber = 1").select(named("S", F.col("l_partkey") % 400).alias("symbol"), named("P", F.col("l_suppkey") % 7).alias("project"))
+    k = F.col("o_orderkey")
+    c = read(spark, sf_dir, "orders").select(k.alias("id"), named("P", F.col("o_custkey") % 7).alias("source_project"), F.when(k % 9 != 0, named("S", k % 400)).alias("symbol"))
+    return resolve.call_status(c, d)
+
+
+@query("""
+select distinct o_custkey as source, o_custkey % 50 as target from orders where o_orderstatus = 'F' and o_custkey % 50 in (select s_suppkey from supplier where s_suppkey % 2 = 0)
+""")
+def project_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved references to planned projects, once each."""
+    status = F.when(F.col("o_orderstatus") == "F", "resolved").otherwise("missing")
+    refs = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_custkey") % 50).alias("target"), F.lit("project-reference").alias("kind"), status.alias("status"))
+    return resolve.project_dependencies(refs, read(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("project")))
+
+
+@query("""
+with f as (select p_brand as type, case when p_partkey % 7 = 0 then '<' || p_name || '>k__BackingField' when p_partkey % 11 = 0 then 'value__' else p_name end as name, p_partkey from part)
+select type, name, p_partkey from f where not contains(name, '<') and name <> 'value__' and (type, name) not in (select p_brand, p_name from part where p_size < 10)
+""")
+def field_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that are emitted."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.when(k % 7 == 0, F.concat(F.lit("<"), "p_name", F.lit(">k__BackingField"))).when(k % 11 == 0, "value__").otherwise(F.col("p_name"))
+    return resolve.field_names(p.select(F.col("p_brand").alias("type"), name.alias("name"), "p_partkey"), p.where("p_size < 10").select(F.col("p_brand").alias("type"), F.col("p_name").alias("name")))
+
+
+@query("""
+with m as (select p_partkey, case p_partkey % 5 when 0 then 'get_' || p_size when 1 then 'Run' || p_size when 2 then 'N.IX.set_Y' when 3 then 'op_Add' else 'N.IX.Go' end as name from part)
+select p_partkey, name, not regexp_matches(name, '^(get|set|add|remove|op)_') as by_raw_name, not regexp_matches(string_split(name, '.')[-1], '^(get|set|add|remove|op)_') as by_last_segment from m
+""")
+def method_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accessors by the raw name and by what follows the last dot."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    name = F.when(k % 5 == 0, F.concat(F.lit("get_"), size)).when(k % 5 == 1, F.concat(F.lit("Run"), size)).when(k % 5 == 2, "N.IX.set_Y").when(k % 5 == 3, "op_Add").otherwise("N.IX.Go")
+    m = read(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    return m.select("*", (~text.is_accessor(F.col("name"))).alias("by_raw_name"), (~text.is_accessor(text.last_segment(F.col("name")))).alias("by_last_segment"))
+
+
+@query("""
+with k as (select o_custkey as section, o_orderkey as key_ord, (o_orderkey * 37) % 1000 as position from orders),
+j as (select section, key_ord, 5000 + position as low from k),
+w as (select *, lead(low) over (partition by section order by key_ord) as nxt, lag(low) over (partition by section order by key_ord) as before from j)
+select section, key_ord, low, coalesce(nxt, 6000) as high, (before is null or low > before) and low >= 5000 and low < 6000 as ok from w
+""")
+def deferred_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value ranges from one key's position to the next one's."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("section"), F.col("o_orderkey").alias("key_ord"), ((F.col("o_orderkey") * 37) % 1000).alias("position"))
+    sections = o.select("section").distinct().select("section", F.lit(5000).cast("long").alias("content_start"), F.lit(6000).cast("long").alias("content_end"))
+    return resources.deferred_ranges(o, sections)
+
+
+@query("""
+select p_brand, p_partkey, p_size * 1000 + p_partkey as position, coalesce(lead(p_size * 1000 + p_partkey) over (partition by p_brand order by p_size * 1000 + p_partkey), 99999999) as stop from part
+""")
+def entry_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entry ends where the next one in position begins."""
+    p = read(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_size") * 1000 + F.col("p_partkey")).alias("position"), F.lit(99999999).cast("long").alias("limit"))
+    return resources.entry_ends(p, "p_brand").drop("limit")
+
+
+@query("""
+with recursive e as (select distinct n_nationkey as src, n_nationkey // 2 as dst from nation where n_nationkey > 0 union select n_nationkey, n_nationkey // 3 from nation where n_nationkey > 3),
+d(node, here, depth) as (select src, dst, 1 from e union select d.node, e.dst, d.depth + 1 from d join e on d.here = e.src where d.depth < 12)
+select n_nationkey as node, cast(coalesce(max(depth), 0) as int) as layer from nation left join d on node = n_nationkey group by n_nationkey
+""")
+def dependency_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: the order in which nodes can be built."""
+    n, k = read(spark, sf_dir, "nation"), F.col("n_nationkey")
+    edges = n.where("n_nationkey > 0").select(k.cast("long").alias("src"), F.floor(k / 2).alias("dst")).union(n.where("n_nationkey > 3").select(k.cast("long"), F.floor(k / 3))).distinct()
+    return graph.dependency_layers(n.select(k.cast("long").alias("node")), edges, 12).select(F.col("node").cast("int"), "layer")
+
+
+@query("""
+with f as (select p_brand, case when p_partkey % 6 = 0 then p_type else p_type || '/' || p_name end as path, p_partkey from part)
+select p_brand, path, p_partkey from f x where exists (select 1 from f y where y.p_brand = x.p_brand and starts_with(upper(y.path), upper(x.path) || '/'))
+""")
+def path_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9: paths that are a file and a directory above another."""
+    path = F.when(F.col("p_partkey") % 6 == 0, F.col("p_type")).otherwise(F.concat("p_type", F.lit("/"), "p_name"))
+    return validate.file_directory_conflicts(read(spark, sf_dir, "part").select("p_brand", path.alias("path"), "p_partkey"), ["p_brand"], "path")
+
+
+@query("""
+with r as (select event_id, case event_id % 4 when 0 then props when 1 then '{"a":1,"a":2}' when 2 then '{"a":' else '{"a":[1,{"b":null}]}' end as body, event_id % 4 as kind from events)
+select event_id, kind in (0, 3) and body is not null as ok from r
+""")
+def strict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: JSON that repeats a property, or is none, is refused."""
+    k = F.col("event_id") % 4
+    body = F.when(k == 0, F.col("props")).when(k == 1, '{"a":1,"a":2}').when(k == 2, '{"a":').otherwise('{"a":[1,{"b":null}]}')
+    return read(spark, sf_dir, "events").select("event_id", validate.strict_json(body).isNotNull().alias("ok"))
+
+
+@query("""
+with r as (select o_custkey, o_orderkey, sha256(case when o_orderkey % 3 = 0 then 'stale' else cast(o_custkey as varchar) end) as digest from orders), i as (select c_custkey, sha256(cast(c_custkey as varchar)) as digest from customer)
+select o_custkey, o_orderkey, digest from r where exists (select 1 from i where c_custkey = o_custkey and i.digest = r.digest)
+""")
+def same_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results made from another input are dropped."""
+    own = F.col("o_custkey").cast("string")
+    r = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.sha2(F.when(F.col("o_orderkey") % 3 == 0, "stale").otherwise(own), 256).alias("digest"))
+    i = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("digest"))
+    return validate.same_input(r, i, "o_custkey", "digest")
+
+
+@query("""
+with c as (select o_orderkey, o_custkey % 5 as caller, case when o_orderkey % 6 <> 0 then o_custkey % 3 end as target, o_orderkey % 4 = 0 as indirect, o_orderkey % 2 = 0 as tail, 2 + o_orderkey % 2 as version from orders)
+select o_orderkey, (not tail or (not indirect and target is not null and coalesce(target <> caller, false))) and version >= 3 as ok from c
+""")
+def tail_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6: what a tail call may be, and which versions have the field."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    ok = validate.tail_call_rule(k % 4 == 0, k % 2 == 0, c % 5, F.when(k % 6 != 0, c % 3), 2 + k % 2)
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+@query("""
+with f as (select o_orderkey as site, o_custkey as caller, case when o_orderkey % 5 <> 0 then o_custkey + 1 end as target from orders),
+n as (select c_custkey as address, c_name || ' (' || c_custkey || ')' as shown from customer)
+select site, f.caller, f.target, coalesce(a.shown, cast(f.caller as varchar)) as caller_shown, coalesce(b.shown, cast(f.target as varchar), 'unresolved') as target_shown
+from f left join n a on a.address = f.caller left join n b on b.address = f.target
+""")
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses shown by name; unknown targets by a label."""
+    k = F.col("o_custkey")
+    calls = read(spark, sf_dir, "orders").select(F.lit(0).alias("id"), F.col("o_orderkey").alias("site"), k.alias("caller"), F.when(F.col("o_orderkey") % 5 != 0, k + 1).alias("target"))
+    functions = read(spark, sf_dir, "customer").select(F.lit(0).alias("id"), F.col("c_custkey").alias("address"), F.col("c_name").alias("name"))
+    return native.display_names(calls, functions).drop("id")
+
+
+@query("""
+with n as (select p_partkey, case when p_partkey % 2 = 0 then upper(p_name) else p_name end as name from part)
+select p_partkey, count(*) over (partition by upper(name)) > 1 as duplicate, case when count(*) over (partition by upper(name)) > 1 then 'project_' || p_partkey else name end as name from n
+""")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that are not unique without case are replaced."""
+    n = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"))
+    return summary.unique_names(n, "name", "p_partkey", F.concat(F.lit("project_"), F.col("p_partkey").cast("string")))
+
+
+@query("""
+with p as (select p_partkey, case p_partkey % 8 when 0 then 'net8.0' when 1 then '$(X)' when 2 then ' ' when 3 then 'a;b' when 4 then 'CON' when 5 then 'a.' when 6 then 'src/OBJ/x.cs' else 'src/obj' end as v from part)
+select p_partkey, trim(v) <> '' and not regexp_matches(v, '[$@%*?;]') as literal, v not in (' ', 'CON', 'a.', 'src/OBJ/x.cs', 'src/obj') as portable, v = 'src/OBJ/x.cs' as excluded from p
+""")
+def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """excluded directories, literals and portable segments."""
+    samples = F.array(*(F.lit(x) for x in ("net8.0", "$(X)", " ", "a;b", "CON", "a.", "src/OBJ/x.cs", "src/obj")))
+    v = read(spark, sf_dir, "part").select("p_partkey", F.element_at(samples, (F.col("p_partkey") % 8 + 1).cast("int")).alias("v"))
+    return v.select("p_partkey", text.is_literal(F.col("v")).alias("literal"), text.is_portable_segment(F.col("v")).alias("portable"), paths.has_excluded_directory(F.col("v"), ["obj"]).alias("excluded"))
+
+
+@query("""
+select doc_id, left(source, 1) || '.' || lang as name, row_number() over (order by upper(source), source, lang, doc_id) as position from documents qualify position <= 500
+""")
+def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows in the canonical order, with their places."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    first = d.orderBy(text.fold(F.col("source")), "source", "lang", "doc_id").limit(500)
+    place = F.row_number().over(W.orderBy(text.fold(F.col("source")), "source", "lang", "doc_id"))  # at most 500 rows
+    return first.select("doc_id", F.concat(F.substring("source", 1, 1), F.lit("."), "lang").alias("name"), place.cast("long").alias("position"))
+
+
+@query("""
+select doc_id, case when length(text) <= 512 then regexp_replace(text, '[\p{Cc}\p{Cf}]', '�', 'g') else left(regexp_replace(text, '[\p{Cc}\p{Cf}]', '�', 'g'), 494) || '…#' || left(sha256(text), 16) end as bounded from documents
+""")
+def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control characters escaped, long texts cut with a digest."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.bounded_text(F.col("text")).alias("bounded"))

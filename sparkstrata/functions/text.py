@@ -63,7 +63,7 @@ def cascade(*rules: tuple[Column, Column], otherwise: Column) -> Column:
 
 def bounded_text(value: Column, longest: int = 512) -> Column:
     """Control and format characters escaped; longer text cut, with a digest of the whole."""
-    shown = F.regexp_replace(value, r"[\p{Cc}\p{Cf}  ]", "�")
+    shown = F.regexp_replace(value, r"[\p{Cc}\p{Cf}\u2028\u2029]", "�")
     mark = F.concat(F.lit("…#"), F.substring(F.sha2(value, 256), 1, 16))
     return F.when(F.length(shown) <= longest, shown).otherwise(F.concat(F.substring(shown, 1, longest - 18), mark))
 

@@ -129,3 +129,23 @@ def complete_endpoints(components: DataFrame, edges: DataFrame, kind: str = "pac
     """The components (id, kind) and one more for every resolved target (target) that has none."""
     missing = edges.where("resolved").select(F.col("target").alias("id")).distinct().join(components.select("id"), "id", "left_anti")
     return components.select("id", "kind").unionByName(missing.withColumn("kind", F.lit(kind)))
+
+
+def call_status(calls: DataFrame, declarations: DataFrame) -> DataFrame:
+    """Calls (id, source_project, symbol) with target_project and status by the declarations (symbol,
+    project) of their symbol: one project resolves, several are ambiguous, none is external; a call
+    without a symbol is unresolved.  Declarations are merged by symbol before the join."""
+    per = declarations.groupBy("symbol").agg(F.count_distinct("project").alias("projects"), F.min("project").alias("project"))
+    status = F.when(F.col("symbol").isNull(), "unresolved").when(F.col("projects").isNull(), "external").when(F.col("projects") > 1, "ambiguous").otherwise("resolved-source")
+    return calls.join(per, "symbol", "left").select("id", "source_project", "symbol", F.when(status == "resolved-source", F.col("project")).alias("target_project"), status.alias("status"))
+
+
+def project_dependencies(references: DataFrame, planned: DataFrame) -> DataFrame:
+    """Resolved project references (source, target, kind, status) whose target is planned (project), once each."""
+    return references.where("status = 'resolved' and kind = 'project-reference'").join(planned.select(F.col("project").alias("target")), "target", "left_semi").select("source", "target").distinct()
+
+
+def field_names(fields: DataFrame, events: DataFrame) -> DataFrame:
+    """Fields (type, name) that are not generated, not an enumeration's value and not also an event's."""
+    plain = fields.where(~F.contains("name", F.lit("<")) & ~F.contains("name", F.lit(">")) & (F.col("name") != "value__"))
+    return plain.join(events.select("type", "name"), ["type", "name"], "left_anti")

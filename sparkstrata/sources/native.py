@@ -142,10 +142,10 @@ def calls_table(documents: DataFrame) -> DataFrame:
 
 def display_names(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Calls with shown caller and target: ``name (address)``, or a label where the target is unknown."""
-    shown = functions.select("id", F.col("address"), F.concat("name", F.lit(" ("), "address", F.lit(")")).alias("shown"))
+    shown = functions.select("id", F.col("address"), F.concat("name", F.lit(" ("), F.col("address").cast("string"), F.lit(")")).alias("shown"))
     at = lambda c: shown.withColumnRenamed("address", c).withColumnRenamed("shown", f"{c}_shown")
     out = calls.join(at("caller"), ["id", "caller"], "left").join(at("target"), ["id", "target"], "left")
-    return out.withColumn("caller_shown", F.coalesce("caller_shown", "caller")).withColumn("target_shown", F.coalesce("target_shown", "target", F.lit("unresolved")))
+    return out.withColumn("caller_shown", F.coalesce("caller_shown", F.col("caller").cast("string"))).withColumn("target_shown", F.coalesce("target_shown", F.col("target").cast("string"), F.lit("unresolved")))
 
 
 def unresolved_calls() -> Column:
