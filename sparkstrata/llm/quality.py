@@ -142,7 +142,8 @@ def evidence(model: ShapeClassifier, spark: SparkSession) -> Callable[..., Colum
             yield pd.Series(np.concatenate(out))
 
     margin.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(margin, "double")
+    # Declared so that Spark computes it once a row, not again in every expression or filter over it.
+    return F.pandas_udf(margin, "double").asNondeterministic()
 
 
 def _logit(p: Column) -> Column:
