@@ -61,6 +61,11 @@ def read_input(spark: SparkSession, path: str, options: Options) -> tuple[DataFr
         rows = entries.select(F.col("path").alias("id"), F.col("path").alias("relative_path"), "size", "content", files.origin("zip", F.col("container"), F.col("path")).alias("origin"))
     else:
         rows = files.scan(spark, path, options.source_mode, max_file_bytes=options.max_file_bytes).drop("file_name")
+        if path.lower().endswith(".exe"):  # S9: an executable's own library beside it
+            beside = files.scan(spark, path.rstrip("/").rpartition("/")[0] or ".", max_file_bytes=options.max_file_bytes).where(~F.contains("relative_path", F.lit("/")))
+            host = path.rstrip("/").rpartition("/")[2]
+            own = files.app_host_sidecars(beside).where(F.col("host") == host).select("id")
+            rows = rows.unionByName(beside.drop("file_name").join(own, "id", "left_semi"))
     require_budget(rows.select("size"), "size", options.max_files, options.max_total_bytes)
     expanded, containers = archives.expand_nested(rows, options.max_archive_depth) if options.max_archive_depth else (rows, None)
     return expanded, containers

@@ -45,7 +45,8 @@ def scan(spark: SparkSession, root: str, source_mode: bool = False, excluded: li
     raw = raw.unionByName(_empty_files(spark, base).select("path", F.lit(0).cast("long").alias("length"), F.lit(bytearray()).alias("content")))
     # Paths come as URIs; what follows the root's own last name is the logical path.
     tail = base.rsplit("/", 1)[-1]
-    path = F.expr(f"substring_index(path, '/{tail}/', -1)")
+    inside = F.contains("path", F.lit(f"/{tail}/"))
+    path = F.when(inside, F.substring_index("path", f"/{tail}/", -1)).otherwise(F.substring_index("path", "/", -1))
     out = raw.select(path.alias("relative_path"), F.col("length").alias("size"), "content")
     if source_mode:
         out = out.where(~has_excluded_directory(F.col("relative_path"), excluded or EXCLUDED_DIRECTORIES))

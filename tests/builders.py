@@ -49,14 +49,35 @@ class _Heap:
         return at
 
 
-def metadata_bytes(assembly: str, references: list[str], types: list[tuple[str, str, list[tuple[str, int]]]], nested: list[tuple[int, int]] = ()) -> bytes:
-    """types: (namespace, name, [(method, rva)]); nested: (child row, owner row)."""
+def metadata_bytes(assembly: str, references: list[str], types: list[tuple[str, str, list[tuple[str, int]]]], nested: list[tuple[int, int]] = (), rich: dict[int, dict] | None = None, outside: list[tuple[str, str]] = ()) -> bytes:
+    """types: (namespace, name, [(method, rva)]); nested: (child row, owner row); outside: referenced types.
+    rich: by type row, flags, extends (coded), fields [(name, signature, constant or None)] and shapes, by
+    method name (flags, signature, parameter names)."""
     strings = _Heap()
-    tables: dict[int, list[bytes]] = {0: [struct.pack("<HHHHH", 0, strings.add("m.dll"), 0, 0, 0)], 2: [], 6: [], 32: [], 35: [], 41: []}
-    for namespace, name, methods in types:
-        tables[2].append(struct.pack("<IHHHHH", 1, strings.add(name), strings.add(namespace) if namespace else 0, 0, 1, len(tables[6]) + 1))
+    blobs = b"\0"
+
+    def blob(data: bytes) -> int:
+        nonlocal blobs
+        at = len(blobs)
+        blobs += bytes([len(data)]) + data
+        return at
+
+    tables: dict[int, list[bytes]] = {t: [] for t in (0, 1, 2, 4, 6, 8, 11, 32, 35, 41)}
+    tables[0].append(struct.pack("<HHHHH", 0, strings.add("m.dll"), 0, 0, 0))
+    for space, name in outside:
+        tables[1].append(struct.pack("<HHH", 0, strings.add(name), strings.add(space)))
+    for row, (namespace, name, methods) in enumerate(types, 1):
+        more = (rich or {}).get(row, {})
+        tables[2].append(struct.pack("<IHHHHH", more.get("flags", 1), strings.add(name), strings.add(namespace) if namespace else 0, more.get("extends", 0), len(tables[4]) + 1, len(tables[6]) + 1))
+        for field, signature, constant in more.get("fields", []):
+            tables[4].append(struct.pack("<HHH", 6, strings.add(field), blob(signature)))
+            if constant is not None:
+                tables[11].append(struct.pack("<HHH", constant[0], len(tables[4]) << 2, blob(constant[1])))
         for method, rva in methods:
-            tables[6].append(struct.pack("<IHHHHH", rva, 0, 0x10, strings.add(method), 0, 1))
+            flags, signature, names = more.get("shapes", {}).get(method, (0x10, b"", []))
+            tables[6].append(struct.pack("<IHHHHH", rva, 0, flags, strings.add(method), blob(signature) if signature else 0, len(tables[8]) + 1))
+            for k, parameter in enumerate(names, 1):
+                tables[8].append(struct.pack("<HHH", 0, k, strings.add(parameter)))
     tables[32].append(struct.pack("<IHHHHIHHH", 0, 1, 0, 0, 0, 0, 0, strings.add(assembly), 0))
     for r in references:
         tables[35].append(struct.pack("<HHHHIHHHH", 1, 0, 0, 0, 0, 0, strings.add(r), 0, 0))
@@ -65,14 +86,16 @@ def metadata_bytes(assembly: str, references: list[str], types: list[tuple[str,
     present = [t for t in sorted(tables) if tables[t]]
     valid = sum(1 << t for t in present)
     stream = struct.pack("<IBBBBQQ", 0, 2, 0, 0, 1, valid, 0) + b"".join(struct.pack("<I", len(tables[t])) for t in present) + b"".join(b"".join(tables[t]) for t in present)
-    stream += b"\0" * (-len(stream) % 4)
-    heap = strings.data + b"\0" * (-len(strings.data) % 4)
+    heaps = [(b"#~\0\0", stream), (b"#Strings\0\0\0\0", strings.data), (b"#Blob\0\0\0", blobs)]
     version = b"v4.0.30319\0\0"
-    root = struct.pack("<IHHII", 0x424A5342, 1, 1, 0, len(version)) + version + struct.pack("<HH", 0, 2)
-    headers = 8 + 4 + 8 + 12
-    first = len(root) + headers
-    root += struct.pack("<II", first, len(stream)) + b"#~\0\0" + struct.pack("<II", first + len(stream), len(heap)) + b"#Strings\0\0\0\0"
-    return root + stream + heap
+    root = struct.pack("<IHHII", 0x424A5342, 1, 1, 0, len(version)) + version + struct.pack("<HH", 0, len(heaps))
+    at = len(root) + sum(8 + len(n) for n, _ in heaps)
+    body = b""
+    for name, data in heaps:
+        data += b"\0" * (-len(data) % 4)
+        root += struct.pack("<II", at + len(body), len(data)) + name
+        body += data
+    return root + body
 
 
 def image_bytes(imports: list[str] = (), library: bool = False, managed: dict | None = None, bodies: list[bytes] = (), sections: list[str] = (".text",), entry_token: int = 1, tail: bytes = b"") -> bytes:

@@ -3,11 +3,13 @@ import os
 
 import pytest
 
+from sparkstrata.__main__ import main
 from sparkstrata.plans import analysis, report, skeletons
+from sparkstrata.sources import images
 from sparkstrata.streaming import arrivals
 
 from .builders import asar_of, image_bytes, zip_bytes
-from .test_sources import APP, LIB, managed
+from .test_sources import APP, LIB, RICH, TINY, managed
 
 
 def package(folder):
@@ -145,3 +147,30 @@ def test_stream_of_files(spark, tmp_path):
     q = arrivals.counts_by_window(files).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.category, r.files) for r in spark.table("counts").collect()} == {("configuration", 2), ("resource", 1)}
+
+
+def test_skeletons_of_an_image(spark, tmp_path):
+    (tmp_path / "Shapes.dll").write_bytes(image_bytes(managed=RICH, bodies=[TINY], library=True))
+    a = analysis.analyze(spark, str(tmp_path))
+    made = {r.path: r.content for r in skeletons.skeletons(images.skeleton_types(a.images, a.files), "rust").collect()}
+    text = made["Shapes.rs"]
+    assert "#[repr(u8)]\npub enum Color {\n    Red = 7,\n}" in text and "pub trait IRun {\n    fn Go(&self);\n}" in text
+    assert "pub items: Vec<String>," in text and "pub fn Make(first: *mut u8, second: i32, arg2: M0) -> StringBuilder { unimplemented!() }" in text
+
+
+def test_a_single_executable_brings_its_library(spark, tmp_path):
+    for name in ("App.exe", "App.dll", "App.runtimeconfig.json", "Other.dll"):
+        (tmp_path / name).write_bytes(b"x")
+    a = analysis.analyze(spark, str(tmp_path / "App.exe"))
+    assert sorted(r.id for r in a.files.collect()) == ["App.dll", "App.exe"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    package(tmp_path / "in")
+    arguments = ["analyze", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--skeleton", "go"]
+    assert main(arguments) == 0 and "9 files" in capsys.readouterr().out
+    assert (tmp_path / "out/report.md").exists() and json.loads((tmp_path / "out/package.json").read_text())["summary"]["types"] == 3
+    assert (tmp_path / "out/go/My_Lib.go").exists() and main(arguments) == 3
+    with pytest.raises(SystemExit) as e:
+        main(["analyze", "x", "--output", "y", "--inventory", "--skeleton", "go"])
+    assert e.value.code == 2

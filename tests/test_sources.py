@@ -133,6 +133,33 @@ def test_managed_image():
     assert images.read_image(managed(), with_code=False)["calls"] == []
 
 
+RICH = {
+    "assembly": "Shapes",
+    "references": [],
+    "types": [("", "<Module>", []), ("N", "Color", []), ("N", "IRun", [("Go", 0)]), ("N", "Box`1", [("Make", None), ("Odd", None)])],
+    "outside": [("System", "Enum"), ("System.Text", "StringBuilder")],
+    "rich": {
+        2: {"extends": 1 << 2 | 1, "fields": [("value__", b"\x06\x05", None), ("Red", b"\x06\x11\x08", (5, b"\x07"))]},
+        3: {"flags": 0x21, "shapes": {"Go": (0x400, b"\x20\x00\x01", [])}},
+        4: {
+            "fields": [("items", b"\x06\x1d\x0e", None), ("grid", b"\x06\x14\x08\x02\x00\x00", None), ("own", b"\x06\x15\x12\x10\x01\x13\x00", None), ("bad", b"\x06\x77", None)],
+            "shapes": {"Make": (0x10, b"\x00\x03\x12\x09\x0f\x05\x10\x08\x1e\x00", ["first", "second"]), "Odd": (0, b"\x20\x01\x01", [])},
+        },
+    },
+}
+
+
+def test_shapes_of_types():
+    r = images.read_image(image_bytes(managed=RICH, bodies=[TINY]))
+    by = {t["name"]: t for t in r["types"]}
+    assert (by["Color"]["kind"], by["IRun"]["kind"], by["Box`1"]["kind"]) == ("enum", "interface", "class")
+    assert [(f["name"], f["type"], f["constant"]) for f in by["Color"]["fields"]] == [("value__", "byte", None), ("Red", "N.Color", "7")]
+    assert [(f["name"], f["type"]) for f in by["Box`1"]["fields"]] == [("items", "string[]"), ("grid", "int[,]"), ("own", "N.Box<T0>"), ("bad", "object")]
+    make, odd = by["Box`1"]["methods"]
+    assert (make["return_type"], make["is_static"], [(p["name"], p["type"]) for p in make["parameters"]]) == ("System.Text.StringBuilder", True, [("first", "byte*"), ("second", "ref int"), ("", "M0")])
+    assert (odd["return_type"], r["truncated"], r["error"]) == ("object", True, None)
+
+
 def test_a_body_that_cannot_be_read_gives_no_edges():
     data = image_bytes(managed={"assembly": "a", "references": [], "types": [("", "T", [("Good", 0), ("Bad", 1)])]}, bodies=[TINY, BROKEN])
     r = images.read_image(data)
