@@ -570,7 +570,7 @@ def generic_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select c_custkey, case when c_acctbal >= 1048576 then printf('%.1f MiB', c_acctbal / 1048576) when floor(abs(c_acctbal)) >= 1024 then printf('%.1f KiB', floor(abs(c_acctbal)) / 1024) else cast(cast(floor(abs(c_acctbal)) as bigint) as varchar) || ' B' end as size from customer
+select c_custkey, case when c_acctbal >= 1048576 then printf('%.1f MiB', round(c_acctbal / 1048576, 1)) when floor(abs(c_acctbal)) >= 1024 then printf('%.1f KiB', round(floor(abs(c_acctbal)) / 1024, 1)) else cast(cast(floor(abs(c_acctbal)) as bigint) as varchar) || ' B' end as size from customer
 """)
 def size_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Math functions: sizes in units."""
@@ -653,11 +653,11 @@ def deferred_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select p_brand, p_partkey, p_size * 1000 + p_partkey as position, coalesce(lead(p_size * 1000 + p_partkey) over (partition by p_brand order by p_size * 1000 + p_partkey), 99999999) as stop from part
+select p_brand, p_partkey, p_size * 1000000 + p_partkey as position, coalesce(lead(p_size * 1000000 + p_partkey) over (partition by p_brand order by p_size * 1000000 + p_partkey), 99999999) as stop from part
 """)
 def entry_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An entry ends where the next one in position begins."""
-    p = read(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_size") * 1000 + F.col("p_partkey")).alias("position"), F.lit(99999999).cast("long").alias("limit"))
+    p = read(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_size") * 1000000 + F.col("p_partkey")).alias("position"), F.lit(99999999).cast("long").alias("limit"))
     return resources.entry_ends(p, "p_brand").drop("limit")
 
 
@@ -763,7 +763,7 @@ def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_id", F.concat(F.substring("source", 1, 1), F.lit("."), "lang").alias("name"), place.cast("long").alias("position"))
 
 
-@query("""
+@query(r"""
 select doc_id, case when length(text) <= 512 then regexp_replace(text, '[\p{Cc}\p{Cf}]', '�', 'g') else left(regexp_replace(text, '[\p{Cc}\p{Cf}]', '�', 'g'), 494) || '…#' || left(sha256(text), 16) end as bounded from documents
 """)
 def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:

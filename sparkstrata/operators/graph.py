@@ -1,31 +1,49 @@
 """Recursion over graphs: reachability, cycles, dependency order, owner chains, links and trees.
 
-Edges are (src, dst).  Reachability advances a frontier by a join a round and keeps only new pairs, so a
-round costs its frontier; graphs here (projects, types, links) are bounded per run by the
-reference's own limits, and every operator takes a ``run`` column set to keep runs apart.
+Edges are (src, dst).  Chains, where each item has one successor (owners, links), are recursive queries;
+graphs advance a frontier by a join a round and keep only new pairs, so a round costs its frontier.
 """
 
 from __future__ import annotations
 
 import functools
+import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows, checkpointed in ``spark.checkpoint.dir``, so a later round's plan does not hold the earlier
+    ones.  Only in local mode may that folder be unset; then one is made."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="strata-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def reachable(edges: DataFrame, max_hops: int) -> DataFrame:
-    """src, dst, hops (the fewest) of every pair joined by 1 to ``max_hops`` edges, by recursive SQL."""
-    spark = edges.sparkSession
-    edges.select("src", "dst").distinct().createOrReplaceTempView("_strata_edges")
-    paths = spark.sql(
-        f"""WITH RECURSIVE walk(src, dst, hops) MAX RECURSION LEVEL {max_hops + 1} AS (
-              SELECT src, dst, 1 FROM _strata_edges
-              UNION ALL
-              SELECT w.src, e.dst, w.hops + 1 FROM walk w JOIN _strata_edges e ON w.dst = e.src WHERE w.hops < {max_hops} AND w.src <> w.dst)
-            SELECT src, dst, min(hops) AS hops FROM walk GROUP BY src, dst"""
-    )
-    return paths
+    """src, dst, hops (the fewest) of every pair joined by 1 to ``max_hops`` edges.
+
+    Each round joins the pairs found last to the edges and keeps those not known yet, so a round costs its
+    frontier and many paths between two nodes cost no more than one.
+    """
+    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct()
+    step = _cut(step)
+    found = [_cut(edges.select("src", "dst").distinct().withColumn("hops", F.lit(1)))]
+    for hops in range(2, max_hops + 1):
+        known = functools.reduce(DataFrame.unionByName, found)
+        fresh = _cut(found[-1].join(step, "dst").select("src", F.col("next").alias("dst")).distinct().join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
+        if fresh.isEmpty():
+            break
+        found.append(fresh)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def cyclic_nodes(edges: DataFrame, max_hops: int) -> DataFrame:
@@ -103,19 +121,20 @@ def element_tree(records: DataFrame, group: list[str], ord: str, kind: str, star
 
 def dependency_layers(nodes: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
     """G1: the order in which nodes can be built: layer 0 depends on nothing, a node lies one above the
-    highest it depends on; nodes on cycles have no layer."""
-    spark = nodes.sparkSession
-    free = acyclic_edges(edges, max_hops).where("not cyclic").select("src", "dst")
-    free.createOrReplaceTempView("_strata_layers")
-    deep = spark.sql(
-        f"""WITH RECURSIVE down(node, at, depth) MAX RECURSION LEVEL {max_hops + 1} AS (
-              SELECT src, dst, 1 FROM _strata_layers
-              UNION ALL
-              SELECT d.node, e.dst, d.depth + 1 FROM down d JOIN _strata_layers e ON d.at = e.src WHERE d.depth < {max_hops})
-            SELECT node, max(depth) AS layer FROM down GROUP BY node"""
-    )
-    looped = cyclic_nodes(edges, max_hops).withColumn("loop", F.lit(True))
-    return nodes.select("node").join(deep, "node", "left").join(looped, "node", "left").select("node", F.when(F.col("loop").isNull(), F.coalesce("layer", F.lit(0))).cast("int").alias("layer"))
+    highest it depends on; nodes on cycles have no layer.  Layers rise round by round until none moves."""
+    pairs = reachable(edges, max_hops)
+    back = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+    free = _cut(edges.where("src <> dst").select("src", "dst").distinct().join(back, ["src", "dst"], "left_anti"))
+    layers = nodes.select("node").distinct().withColumn("layer", F.lit(0))
+    for _ in range(max_hops):
+        above = free.join(layers.select(F.col("node").alias("dst"), "layer"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("layer") + 1).alias("up"))
+        after = _cut(layers.join(above, "node", "left").select("node", "layer", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("now")))
+        moved = not after.where("now > layer").isEmpty()
+        layers = after.select("node", F.col("now").alias("layer"))
+        if not moved:
+            break
+    looped = pairs.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop")).distinct()
+    return layers.join(looped, "node", "left").select("node", F.when(F.col("loop").isNull(), F.col("layer")).cast("int").alias("layer"))
 
 
 def union_all(*tables: DataFrame) -> DataFrame:
