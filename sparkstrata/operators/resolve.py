@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..functions.paths import ancestors, common_prefix, directory, directory_segments
+from ..functions.paths import ancestors, directory, directory_segments
 from ..functions.text import fold
 
 
+def _prefixes(path: Column) -> Column:
+    """Folded directories above a path with their depth: array of struct(depth, prefix), the root first."""
+    parts = F.transform(directory_segments(path), fold)
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.when(k > 0, F.slice(parts, 1, F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<string>")), "/").alias("prefix")))
+
+
 def nearest_candidate(refs: DataFrame, files: DataFrame) -> DataFrame:
     """Which file each reference means.
 
@@ -18,31 +23,49 @@ def nearest_candidate(refs: DataFrame, files: DataFrame) -> DataFrame:
 
     One candidate by name is taken.  Of several those in the source's own archive are preferred, then
     those that share most leading directories with it, then those in its very directory; anything
-    but one survivor leaves the reference unresolved, its target the raw name.  Both sides shuffle on
-    the folded name; candidates are ranked by windows over one reference.
+    but one survivor leaves the reference unresolved, its target the raw name.
+
+    References never meet their candidates one by one: a name that a third of all files bear would give
+    the square of them.  Candidates are counted under every directory above them, by name and scope (the
+    package, or one archive), merged before the shuffle; a reference looks up the directories above
+    its own, and the deepest that holds a candidate decides.
     Returns source, kind, target, resolved, the first of edges equal without case.
     """
-    build = files.select(F.col("id").alias("c_id"), F.col("relative_path").alias("c_path"), F.col("origin").alias("c_origin"), "file_name", "assembly_name")
-    named = build.select("c_id", "c_path", "c_origin", F.inline(F.array(
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    box = lambda o: F.when(~blank(F.col(f"{o}.container")), F.concat(F.coalesce(fold(F.col(f"{o}.kind")), F.lit("")), F.lit("\x00"), fold(F.col(f"{o}.container"))))
+    inner = F.when(blank(F.col("origin.entry")), F.col("relative_path")).otherwise(F.col("origin.entry"))
+    scopes = F.filter(F.array(F.struct(F.lit("").alias("scope"), F.col("relative_path").alias("at")), F.when(box("origin").isNotNull(), F.struct(box("origin").alias("scope"), inner.alias("at")))), lambda x: x.isNotNull())
+    named = F.inline(F.array(
         F.struct(F.lit("pe-import").alias("kind"), fold(F.col("file_name")).alias("key")),
         F.struct(F.lit("assembly-reference").alias("kind"), F.when(F.trim("assembly_name") != "", fold(F.col("assembly_name"))).alias("key")),
-    ))).where("key is not null")
-    here = files.select(F.col("id").alias("source"), F.col("relative_path").alias("s_path"), F.col("origin").alias("s_origin"))
-    cand = refs.withColumn("key", fold(F.col("name"))).join(here, "source", "left").join(named, ["kind", "key"], "left")
-    one = W.partitionBy("source", "kind", "name", "ord")
-    held = lambda o: F.coalesce(F.trim(F.col(f"{o}.container")), F.lit("")) != ""
-    same = F.coalesce(held("s_origin") & held("c_origin") & (fold(F.col("s_origin.kind")) == fold(F.col("c_origin.kind"))) & (fold(F.col("s_origin.container")) == fold(F.col("c_origin.container"))), F.lit(False))
-    cand = cand.withColumn("n", F.count("c_id").over(one)).withColumn("same", same).withColumn("within", F.max("same").over(one))
-    near = cand.where((F.col("n") <= 1) | F.col("same") | ~F.col("within"))
-    ranked = lambda side: F.when(F.col("within") & (F.coalesce(F.trim(F.col(f"{side}_origin.entry")), F.lit("")) != ""), F.col(f"{side}_origin.entry")).otherwise(F.col(f"{side}_path"))
-    near = near.withColumn("s_dir", directory_segments(ranked("s"))).withColumn("c_dir", directory_segments(ranked("c")))
-    near = near.withColumn("shared", common_prefix("s_dir", "c_dir")).withColumn("most", F.max("shared").over(one))
-    near = near.where((F.col("n") <= 1) | (F.col("shared") == F.col("most"))).withColumn("tied", F.count("c_id").over(one))
-    alike = (F.size("s_dir") == F.size("c_dir")) & (F.col("shared") == F.size("s_dir"))
-    near = near.withColumn("left", (F.col("n") <= 1) | (F.col("tied") == 1) | alike)
-    picked = near.groupBy("source", "kind", "name", "ord").agg(F.count_if(F.col("left") & F.col("c_id").isNotNull()).alias("survivors"), F.max(F.when(F.col("left"), F.col("c_id"))).alias("c_id"))
-    resolved = F.col("survivors") == 1
-    edges = picked.select("source", "kind", "ord", F.when(resolved, F.col("c_id")).otherwise(F.col("name")).alias("target"), resolved.alias("resolved"))
+    ))
+    build = files.select("id", F.explode(scopes).alias("s"), "file_name", "assembly_name").select("id", "s.scope", "s.at", named).where("key is not null")
+    under = build.select("kind", "key", "scope", "id", F.size(directory_segments(F.col("at"))).alias("deep"), F.explode(_prefixes(F.col("at"))).alias("p"))
+    held = under.groupBy("kind", "key", "scope", "p.prefix").agg(
+        F.count("*").alias("n"),
+        F.min("id").alias("id"),
+        F.count_if(F.col("deep") == F.col("p.depth")).alias("n_here"),
+        F.min(F.when(F.col("deep") == F.col("p.depth"), F.col("id"))).alias("id_here"),
+    )
+    here = files.select(F.col("id").alias("source"), F.explode(scopes).alias("s")).select("source", "s.scope", F.size(directory_segments(F.col("s.at"))).alias("own_depth"), _prefixes(F.col("s.at")).alias("ps"))
+    none = F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("prefix")))
+    looked = refs.withColumn("key", fold(F.col("name"))).join(here, "source", "left").select("source", "kind", "name", "ord", "key", F.coalesce("scope", F.lit("")).alias("scope"), F.coalesce("own_depth", F.lit(0)).alias("own_depth"), F.explode(F.coalesce("ps", none)).alias("p"))
+    found = looked.select("*", "p.depth", "p.prefix").drop("p").join(held, ["kind", "key", "scope", "prefix"], "left")
+    # A scope's root says how many candidates it has; its deepest directory with any decides.
+    best = found.groupBy("source", "kind", "name", "ord", "scope", "own_depth").agg(
+        F.max(F.when(F.col("depth") == 0, F.coalesce("n", F.lit(0)))).alias("total"),
+        F.max(F.when(F.col("n") > 0, F.struct("depth", "n", "id", "n_here", "id_here"))).alias("b"),
+    )
+    exact = (F.col("b.depth") == F.col("own_depth")) & (F.col("b.n_here") == 1)
+    chosen = F.when(F.col("b.n") == 1, F.col("b.id")).when(exact, F.col("b.id_here"))
+    row = F.struct(chosen.alias("id"))
+    picked = best.groupBy("source", "kind", "name", "ord").agg(
+        F.max(F.when(F.col("scope") == "", F.col("total"))).alias("total"),
+        F.max(F.when(F.col("scope") == "", F.struct(F.col("b.n").alias("n"), F.col("b.id").alias("any"), row.alias("r")))).alias("wide"),
+        F.max(F.when((F.col("scope") != "") & (F.col("total") > 0), F.struct(F.col("b.n").alias("n"), row.alias("r")))).alias("near"),
+    )
+    target = F.when(F.col("total") <= 1, F.col("wide.any")).when(F.col("near").isNotNull(), F.col("near.r.id")).otherwise(F.col("wide.r.id"))
+    edges = picked.withColumn("c_id", target).select("source", "kind", "ord", F.coalesce("c_id", "name").alias("target"), F.col("c_id").isNotNull().alias("resolved"))
     first = edges.groupBy(fold(F.col("source")).alias("s"), "kind", fold(F.col("target")).alias("t")).agg(F.min(F.struct("ord", "source", "target", "resolved")).alias("e"))
     return first.select("e.source", "kind", "e.target", "e.resolved")
 
