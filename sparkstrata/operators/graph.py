@@ -1,7 +1,7 @@
 """Recursion over graphs: reachability, cycles, dependency order, owner chains, links and trees.
 
-Edges are (src, dst).  Chains, where each item has one successor (owners, links), are recursive queries;
-graphs advance a frontier by a join a round and keep only new pairs, so a round costs its frontier.
+Edges are (src, dst).  Chains of owners, each with one successor, are recursive queries; links and
+graphs advance a frontier by a join a round; graphs keep only new pairs, so a round costs its frontier.
 """
 
 from __future__ import annotations
@@ -82,16 +82,20 @@ def owner_chain(items: DataFrame, max_depth: int) -> DataFrame:
 
 def resolve_links(links: DataFrame, nodes: DataFrame, max_hops: int = 40) -> DataFrame:
     """Links (path, target) followed to a node (path, kind) that is no link: path, final, hops, status
-    (resolved, missing or cycle)."""
-    spark = links.sparkSession
-    links.select("path", "target").createOrReplaceTempView("_strata_links")
-    walked = spark.sql(
-        f"""WITH RECURSIVE walk(path, at, hops) MAX RECURSION LEVEL {max_hops + 1} AS (
-              SELECT path, target, 1 FROM _strata_links
-              UNION ALL
-              SELECT w.path, l.target, w.hops + 1 FROM walk w JOIN _strata_links l ON w.at = l.path WHERE w.hops < {max_hops})
-            SELECT path, max_by(at, hops) AS final, max(hops) AS hops FROM walk GROUP BY path"""
-    )
+    (resolved, missing or cycle).  All links advance by a join a round and leave where they end, so
+    neither their number nor a limit on the rows of recursive queries bounds the result."""
+    step = _cut(links.select(F.col("path").alias("at"), F.col("target").alias("next")))
+    front, ended = links.select("path", F.col("target").alias("at"), F.lit(1).alias("hops")), []
+    for hops in range(1, max_hops + 1):
+        if hops == max_hops:
+            ended.append(front)
+            break
+        on = _cut(front.join(step.withColumn("more", F.lit(True)), "at", "left"))
+        ended.append(on.where("more is null").select("path", "at", "hops"))
+        front = on.where("more").select("path", F.col("next").alias("at"), F.lit(hops + 1).alias("hops"))
+        if front.isEmpty():
+            break
+    walked = functools.reduce(DataFrame.unionByName, ended).groupBy("path").agg(F.max_by("at", "hops").alias("final"), F.max("hops").alias("hops"))
     real = nodes.where("kind <> 'link'").select(F.col("path").alias("final"), F.lit(True).alias("real"))
     status = F.when(F.col("real"), "resolved").when(F.col("hops") >= max_hops, "cycle").otherwise("missing")
     return walked.join(real, "final", "left").select("path", "final", "hops", status.alias("status"))
