@@ -12,6 +12,7 @@ TABLES = "part orders lineitem events embeddings".split()
 #: What to leave out of each twin.
 CUTS = {
     "link_resolution": {"where p_partkey <= 200 and": "where", " where p_partkey <= 200": ""},
+    "tree_depth": {" where event_id < 2000": ""},
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are not here")
