@@ -154,9 +154,9 @@ select source, package, case when n > 0 and not cond and n = 1 and lit then vers
 """)
 def package_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Central versions looked up without case."""
-    refs = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("source"), F.concat(F.lit("pkg"), (F.col("o_custkey") % 40).cast("string")).alias("package"))
+    refs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), F.concat(F.lit("pkg"), (F.col("o_custkey") % 40).cast("string")).alias("package"))
     k = F.col("p_partkey")
-    central = read(spark, sf_dir, "part").where("p_partkey <= 60").select(F.concat(F.lit("PKG"), F.col("p_size").cast("string")).alias("package"), k.cast("string").alias("version"), (k % 2 == 0).alias("literal"), (k % 9 == 0).alias("conditional"))
+    central = read(spark, sf_dir, "part").select(F.concat(F.lit("PKG"), F.col("p_size").cast("string")).alias("package"), k.cast("string").alias("version"), (k % 2 == 0).alias("literal"), (k % 9 == 0).alias("conditional"))
     return resolve.package_versions(refs, central)
 
 

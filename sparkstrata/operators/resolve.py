@@ -93,9 +93,11 @@ def reference_status(refs: DataFrame, targets: DataFrame) -> DataFrame:
 def package_versions(refs: DataFrame, central: DataFrame) -> DataFrame:
     """The version of each package reference (source, package), from declarations (package, version,
     literal, conditional): a single literal one is resolved, any conditional makes it conditional,
-    anything else unevaluated, none external."""
-    c = central.select(fold(F.col("package")).alias("key"), "version", "literal", "conditional")
-    per = refs.withColumn("key", fold(F.col("package"))).join(c, "key", "left").groupBy("source", "package").agg(F.count("version").alias("n"), F.coalesce(F.bool_or("conditional"), F.lit(False)).alias("cond"), F.coalesce(F.bool_and("literal"), F.lit(False)).alias("lit"), F.max("version").alias("v"))
+    anything else unevaluated, none external.  Declarations are merged by package before the join."""
+    key = fold(F.col("package"))
+    per = central.groupBy(key.alias("key")).agg(F.count("version").alias("n"), F.bool_or("conditional").alias("cond"), F.bool_and("literal").alias("lit"), F.max("version").alias("v"))
+    named = refs.groupBy("source", "package").agg(F.count("*").alias("times")).withColumn("key", key).join(per, "key", "left")
+    per = named.select("source", "package", (F.col("times") * F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("cond", F.lit(False)).alias("cond"), F.coalesce("lit", F.lit(False)).alias("lit"), "v")
     status = F.when(F.col("n") == 0, "external").when(F.col("cond"), "conditional").when((F.col("n") == 1) & F.col("lit"), "resolved").otherwise("unevaluated")
     return per.select("source", "package", F.when(status == "resolved", F.col("v")).alias("version"), status.alias("status"))
 

@@ -12,6 +12,7 @@ TABLES = "part orders lineitem events embeddings".split()
 #: What to leave out of each twin.
 CUTS = {
     "link_resolution": {"where p_partkey <= 200 and": "where", " where p_partkey <= 200": ""},
+    "package_versions": {" where o_orderkey % 3 = 0": "", " where p_partkey <= 60": ""},
     "tree_depth": {" where event_id < 2000": ""},
 }
 
