@@ -6,14 +6,17 @@ row in its most probable part and routes each query to its most probable ones; t
 ranked by exact distance.
 
 The model is fitted on at most ``sample_rows`` rows, chosen by the hash of their ids, and its size is
-fixed by the dimension and the count of parts.  Every row is indexed.  A part is dealt out in blocks
+fixed by the dimension and the count of parts.  Every row is indexed.  A part is dealt out in tiles
 of ``block_rows`` rows and ``query_rows`` queries, so a part with a third of all rows takes more
-tasks, not a larger one; each returns the nearest k of a query, merged by one small window.
+tasks, not a larger one; a vector is copied once for each tile of the other side.  A tile returns the
+nearest k of its queries, merged by a window whose limit Spark also applies before the shuffle.
+The count of parts grows with the rows up to a thirty-second of the sample.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components or have another
 length than most of the sample take no part, as query or candidate; rows with the query's id are not
 its candidates, and of queries with one id the first by vector counts; ties go to the smaller
-vec_id; with fewer than k candidates all are returned; an empty table gives no rows.
+vec_id; with fewer than k candidates all are returned; extra columns are ignored, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -169,7 +172,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
-def nearest(embeddings: DataFrame, query: Column, scratch: Scratch, k: int = 10, parts: int | None = None, probes: int | None = None, target_recall: float = 0.96, least_candidates: int = 4096, sample_rows: int = SAMPLE_ROWS, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+def nearest(embeddings: DataFrame, query: Column, scratch: Scratch, k: int = 10, parts: int | None = None, probes: int | None = None, target_recall: float = 0.96, least_candidates: int = 4096, sample_rows: int = SAMPLE_ROWS, block_rows: int = 16384, query_rows: int = 16384) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of the k nearest found for every row
     for which ``query`` (over vec_id) holds.  Each query is routed to its ``probes`` most probable
     parts (as many as the sample shows to be needed for ``target_recall``, if None), and further
@@ -183,7 +186,7 @@ def nearest(embeddings: DataFrame, query: Column, scratch: Scratch, k: int = 10,
     x = np.stack([np.asarray(v.as_py()) for v in lists if len(v) == dim]) if len(lists) else np.zeros((0, 1))
     rows = rows.where(F.size("embedding") == dim)
     if parts is None:
-        parts = 1 << max(3, min(8, round(np.log2(max(1, rows.count() / ROWS_PER_PART)))))
+        parts = 1 << max(3, round(np.log2(max(1, rows.count() / ROWS_PER_PART))))
     while parts > 1 and len(x) < 32 * parts:
         parts //= 2
     model, needed = calibrated_probes(x, parts, k, target_recall)
@@ -203,10 +206,22 @@ def nearest(embeddings: DataFrame, query: Column, scratch: Scratch, k: int = 10,
     asked = F.coalesce(query, F.lit(False))
     placed = scratch.table(rows.select("vec_id", "embedding", asked.alias("asked")).mapInArrow(place, "vec_id long, embedding array<double>, part int, ranked array<int>"), "placed")
     held = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a part
-    sizes_of = F.create_map(*(F.lit(v) for p in range(parts) for v in (p, held.get(p, 0))))
+    held_of = np.array([held.get(p, 0) for p in range(parts)])
     queries = placed.where("ranked is not null").groupBy("vec_id").agg(F.min(F.struct("embedding", "ranked")).alias("q")).select("vec_id", "q.*")
-    before = F.transform(F.sequence(F.lit(1), F.size("ranked")), lambda i: F.struct(F.element_at("ranked", i).alias("part"), F.when(i > probes, F.aggregate(F.slice("ranked", 1, i - 1), F.lit(0).cast("long"), lambda t, p: t + sizes_of[p].cast("long"))).otherwise(F.lit(-1).cast("long")).alias("upto")))
-    routed = queries.select("vec_id", "embedding", F.explode(F.filter(before, lambda b: b["upto"] < least_candidates)).alias("b")).select("vec_id", "embedding", F.col("b.part").alias("part"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ranked = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            rows_of = held_of[ranked]
+            asks = (np.arange(ranked.shape[1]) < probes) | (np.cumsum(rows_of, axis=1) - rows_of < least_candidates)
+            row, place_in = np.nonzero(asks)
+            for low in range(0, len(row), 4096):
+                some = pa.array(row[low : low + 4096])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(ranked[row[low : low + 4096], place_in[low : low + 4096]].astype(np.int32))], names=["vec_id", "embedding", "part"])
+
+    routed = queries.mapInArrow(route, "vec_id long, embedding array<double>, part int")
     routed = scratch.table(routed, "routed")
     asked_of = {r.part: r.n for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     blocks = F.create_map(*(F.lit(v) for p in range(parts) for v in (p, -(-held.get(p, 0) // block_rows))))

@@ -6,12 +6,12 @@ without one) make one closing example without loss, so the output holds every tu
 
 A turn is written ``### role: text</turn>`` and a line feed.  In texts and roles ``\\`` is
 written ``\\\\``, ``#`` is written ``\\#`` and ``</turn>`` is written ``<\\/turn>``; in roles ``:`` is
-written ``\\:`` too.  So the marks never occur in an escaped text, and dropping each backslash
-while keeping the character after it gives the text back.
+written ``\\=`` too.  So the marks never occur in an escaped text, the first ``:`` of a turn ends
+its role, and cutting at double backslashes, then dropping the single ones, gives the text back.
 
 Defined results: null role or text is empty; rows with a null conv_id are one conversation; turns
 that tie are ordered by role, then text; repeated rows are repeated turns; extra columns are
-ignored; an empty table gives no examples.  One conversation is one row while it is formatted,
+ignored, whatever their names; roles and texts may have any length; an empty table gives no examples.  One conversation is one row while it is formatted,
 for its examples are its prefixes; the output of a conversation of n turns grows as n squared.
 """
 
@@ -30,7 +30,9 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    """Without a pattern that backtracks: a run of backslashes is doubled ones, then at most one single."""
+    plain = lambda p: F.replace(F.replace(p, F.lit("\\="), F.lit(":")), F.lit("\\"), F.lit(""))
+    return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
 
 
 def format_examples(conversations: DataFrame, trainable_role: str = "assistant") -> DataFrame:
@@ -40,7 +42,7 @@ def format_examples(conversations: DataFrame, trainable_role: str = "assistant")
     """
     turns = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    head = lambda t: F.concat(F.lit(HEAD), F.replace(escape(t["role"]), F.lit(":"), F.lit("\\:")), F.lit(COLON))
+    head = lambda t: F.concat(F.lit(HEAD), F.replace(escape(t["role"]), F.lit(":"), F.lit("\\=")), F.lit(COLON))
     parts = grouped.select(
         "conv_id",
         F.transform("ts", lambda t: F.concat(head(t), escape(t["text"]), F.lit(END))).alias("parts"),
@@ -60,8 +62,8 @@ def parse(text: Column) -> Column:
     """The turns of a formatted text: array of struct(role, text)."""
     parts = F.split(text, "</turn>\n")
     turn = lambda p: F.struct(
-        unescape(F.regexp_extract(p, r"^### ((?:[^\\:]|\\.)*): ", 1)).alias("role"),
-        unescape(F.regexp_replace(p, r"^### (?:[^\\:]|\\.)*: ", "")).alias("text"),
+        unescape(F.substring_index(F.substring(p, len(HEAD) + 1, 1 << 30), COLON, 1)).alias("role"),
+        unescape(F.substring(p, F.locate(COLON, p) + len(COLON), F.lit(1 << 30))).alias("text"),
     )
     return F.transform(F.slice(parts, 1, F.size(parts) - 1), turn)
 

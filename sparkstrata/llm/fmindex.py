@@ -1,6 +1,6 @@
 """A compressed FM-index over words: k-ordered suffixes, a wavelet matrix and backward search.
 
-The text is the concatenation of segments of word hashes with a separator after each.  Suffixes are
+The text is the concatenation of segments of words (as numbers) with a separator after each.  Suffixes are
 ordered by their first ``window`` words, which is all that backward search for patterns of up to
 ``window`` words needs.  The Burrows-Wheeler transform is kept as a wavelet matrix: one packed
 bit vector and one sampled rank directory a level.
@@ -71,7 +71,7 @@ def prefix_ranks(text: np.ndarray, k: int) -> np.ndarray:
 
 class FMIndex:
     def __init__(self, words: np.ndarray, starts: np.ndarray, window: int):
-        """words: hashes of all segments, one after another; starts: first word of each, and the end."""
+        """words: symbols of all segments, one after another; starts: first word of each, and the end."""
         _, ids = np.unique(words, return_inverse=True)
         self.window, n_segments = window, len(starts) - 1
         lengths = np.diff(starts)

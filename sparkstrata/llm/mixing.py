@@ -9,7 +9,8 @@ Each source's budget of tokens is then filled from seeded permutations of its do
 lies in one of ``blocks`` blocks of its source by hash; an epoch takes the blocks in a seeded
 order, and inside a block the documents in a seeded order.  Whole epochs come first; the last one
 is cut where the budget ends, inside one block.  So only (source, block) sums are ever ordered as
-a whole (sources x blocks rows), and document order is needed in the one cut block of a source.
+a whole (sources x blocks rows), and document order is needed in the one cut block of a source; there
+the sums of 65,536 runs of that order are summed up first, so that a task orders one run alone.
 
 Defined results: a null source is a source of its own; null and blank texts and rows with a null id
 have no tokens and are never drawn; rows that share an id are drawn as often as the one drawn
@@ -121,12 +122,19 @@ def mix(documents: DataFrame, scratch: Scratch, min_entropy: float = 0.97, max_r
     plan = scratch.table(ordered.select(F.col("source").alias("s"), F.col("block").alias("b"), "weight", "epochs", "turn", (F.col("rest") - F.coalesce(before, F.lit(0))).alias("left"), "tokens"), "plan")
     here = keyed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
     cut = (F.col("left") > 0) & (F.col("left") < F.col("tokens"))
-    rank = F.concat(F.col("turn"), F.lit(":"), _order(seed + 2, F.col("doc_id")))
+    inside = _order(seed + 2, F.col("doc_id"))
+    rank = F.concat(F.col("turn"), F.lit(":"), inside)
     drawn = F.col("n_tokens") > 0
+    apart = F.coalesce(cut & drawn, F.lit(False))
     columns = ["doc_id", "source", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.when(drawn, F.coalesce("epochs", F.lit(0))).otherwise(0).alias("epochs")]
-    whole = here.where(~F.coalesce(cut, F.lit(False))).select(*columns, F.when(drawn & (F.col("left") >= F.col("tokens")) & (F.col("left") > 0), rank).alias("last_rank"))
-    upto = F.sum("n_tokens").over(W.partitionBy("source", "block").orderBy(rank, "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0))
-    part = here.where(F.coalesce(cut, F.lit(False))).withColumn("upto", upto).select(*columns, F.when(drawn & (F.col("upto") <= F.col("left")), rank).alias("last_rank"))
+    whole = here.where(~apart).select(*columns, F.when(drawn & (F.col("left") >= F.col("tokens")) & (F.col("left") > 0), rank).alias("last_rank"))
+    run = here.where(apart).withColumn("run", F.substring(inside, 1, 4))
+    runs = run.groupBy("s", "b", "run").agg(F.sum("n_tokens").alias("run_tokens"))
+    ahead = F.coalesce(F.sum("run_tokens").over(W.partitionBy("s", "b").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = runs.select(F.col("s").alias("s2"), F.col("b").alias("b2"), F.col("run").alias("run2"), ahead.alias("ahead"))
+    placed = run.join(starts, F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2")) & (F.col("run") == F.col("run2")))
+    upto = F.col("ahead") + F.sum("n_tokens").over(W.partitionBy("s", "b", "run").orderBy(rank, "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0))
+    part = placed.withColumn("upto", upto).select(*columns, F.when(F.col("upto") <= F.col("left"), rank).alias("last_rank"))
     return whole.unionByName(part).withColumn("copies", F.col("epochs") + F.col("last_rank").isNotNull().cast("int"))
 
 

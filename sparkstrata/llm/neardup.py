@@ -6,10 +6,10 @@ top bits and keeps of each bucket's least hash a 16-bit register: the count of l
 and the 10 bits that follow.  Empty buckets are registers too: they agree where both are empty.
 
 * Rows with equal sets (128-bit fingerprint of the whole set) are one class, merged before the shuffle.
-* 32 bands of 4 registers propose links between classes; sets of at most 18 shingles also have 8
-  bands of 16 registers, sets of under 12 only those.  A shingle that differs spoils one band at
-  most, so up to 124 shingles a link at the threshold always shares one; above, the chance that
-  none of the bands agrees is under 1e-6.
+* 32 bands of 4 registers propose links between classes of 20 shingles and more.  A shingle that
+  differs spoils one band at most, so the chance that none of the bands agrees is under 1e-6.
+* Smaller sets take an exact way: their keys are their least hashes, as many as a linked set can lack
+  and one more, so two linked sets share a key always (sets of up to 20 / threshold have these too).
 * Buckets are split by set size, since only sets of like size can be linked, and small ones are
   thinned on registers alone; only what is left has its full sets made.
 * In a bucket all members are first compared with its smallest member only; what that leaves apart
@@ -21,8 +21,9 @@ Tasks return at most as many links as they have members (a spanning forest), so
 thousands of near copies never becomes all its pairs.
 
 Defined results: null texts and texts without words have empty sets and link with nothing; rows with a
-null doc_id are left alone (component null, kept); rows that share a doc_id are one node; an
-empty table gives no rows; extra columns are ignored.
+null doc_id are left alone (component null, kept); rows that share a doc_id are one node, whose texts
+all count; very long texts are
+sketched whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,19 +32,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .scratch import Scratch
-from .textwords import byte_codes, chunks, hashes, mix, sequence_hashes, spans
+from .textwords import byte_codes, chunks, hashes, mix, one_batch, sequence_hashes, spans
 
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 BUCKETS = 1 << BUCKET_BITS
-BANDS, WIDE_BANDS = 32, 8
+BANDS = 32
+#: Sets of fewer shingles are found by their least hashes, not by bands.
+FEW = 20
 #: From the HyperMinHash paper: expected accidental register matches of two large equal sets are so many times buckets / 2**mantissa.
 COLLISIONS = 0.169919487159739
 BLOCK = 4096
+#: A block holds about so many shingles at most, or one set.
+BLOCK_SHINGLES = 1 << 22
 #: Buckets up to this size are compared on registers before any set is made.
 SMALL = 64
 
@@ -86,16 +92,19 @@ def registers(owner: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """rows x 40 keys, 0 where a row does not have the band."""
+    """rows x BANDS keys, 0 where a row does not have the band."""
     words = np.ascontiguousarray(regs).view(np.uint64).reshape(len(regs), BANDS)
-    salt = mix(np.arange(1, BANDS + WIDE_BANDS + 1, dtype=np.uint64))
-    narrow = np.where((words != 0) & (n >= 12)[:, None], mix(words + salt[:BANDS]), np.uint64(0))
-    wide = words.reshape(len(regs), WIDE_BANDS, BANDS // WIDE_BANDS)
-    code = np.zeros(wide.shape[:2], np.uint64)
-    for i in range(wide.shape[2]):
-        code = code * np.uint64(0xD6E8FEB86659FD93) + mix(wide[:, :, i] + np.uint64(1))
-    broad = np.where((wide != 0).any(axis=2) & (n <= 18)[:, None], mix(code + salt[BANDS:]), np.uint64(0))
-    return np.concatenate([narrow, broad], axis=1)
+    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    return np.where((words != 0) & (n >= FEW)[:, None], mix(words + salt), np.uint64(0))
+
+
+def least_hashes(owner: np.ndarray, value: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the (sorted) shingles are keys of small sets, and how many each row has: in one order
+    of all shingles, two sets that share so many have one among the first n - ceil(share * n) + 1."""
+    count = np.where(100 * n < 100 * 100 * FEW // percent + 100, n - -(-percent * n // 100) + 1, 0)
+    count = np.where(n > 0, count, 0)
+    first = np.append(0, np.cumsum(n)[:-1])
+    return np.flatnonzero(np.arange(len(owner)) - first[owner] < count[owner]), count
 
 
 def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
@@ -125,11 +134,14 @@ def thin_plausible(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray
     return estimate >= threshold - 5.4 * np.sqrt(threshold * (1 - threshold) / filled)
 
 
+_LEAST_SALT = 0x2545F4914F6CDD1D
+
+
 def linked(common: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (na + nb - common)
 
 
-SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, regs binary, thin binary"
+SKETCH = "doc_id long, text_key long, n_shingles long, fp1 long, fp2 long, regs binary, thin binary, low array<long>"
 
 
 def _fingerprints(owner: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,19 +160,21 @@ def _packed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def sketch(documents: DataFrame, shingle_words: int) -> DataFrame:
+def sketch(documents: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = byte_codes(lower=True)
         for batch in batches:
-            for base, raw, at in chunks(batch.column(1)):
+            for base, raw, at in chunks(batch.column(2)):
                 rows = len(at) - 1
                 owner, value = shingle_sets(raw, at, codes, shingle_words)
                 fp1, fp2 = _fingerprints(owner, value, rows)
                 regs = registers(owner, value, rows)
                 n = np.bincount(owner, minlength=rows).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, rows), pa.array(n), pa.array(fp1), pa.array(fp2), _packed(regs), _packed(thin(regs))], names=["doc_id", "n_shingles", "fp1", "fp2", "regs", "thin"])
+                keys, count = least_hashes(owner, value, n, percent)
+                low = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(value[keys].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, rows), batch.column(1).slice(base, rows), pa.array(n), pa.array(fp1), pa.array(fp2), _packed(regs), _packed(thin(regs)), low], names=["doc_id", "text_key", "n_shingles", "fp1", "fp2", "regs", "thin", "low"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, SKETCH)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -176,13 +190,17 @@ def _bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, n, regs) to one row for each band that a class has: key, band, cid, n."""
+    """(cid, n, regs, low) to one row for each key that a class has: key, band, cid, n."""
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = band_keys(_matrix(batch.column(2)), batch.column(1).to_numpy())
         row, band = np.nonzero(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), pa.array(band.astype(np.int8)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["key", "band", "cid", "n"])
+        low = batch.column(3)
+        owner = np.repeat(np.arange(len(low)), pa.compute.list_value_length(low).to_numpy())
+        least = mix(low.flatten().to_numpy().view(np.uint64) + np.uint64(_LEAST_SALT))
+        at = pa.array(np.concatenate([row, owner]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[row, band], least]).view(np.int64)), pa.array(np.concatenate([band, np.full(len(owner), BANDS)]).astype(np.int8)), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "band", "cid", "n"])
 
 
 def _sets(shingle_words: int):
@@ -255,17 +273,17 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: int, rows: int) -> Itera
             if size + cut - done >= rows:
                 if cut > done:
                     held.append(batch.slice(done, cut - done))
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield one_batch(held)
                 held, size, done = [], 0, cut
         if done < batch.num_rows:
             held.append(batch.slice(done))
             size += batch.num_rows - done
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield one_batch(held)
 
 
 def _flag_small(percent: int):
-    """(key, band, late, cid, n, thin) sorted by key to (key, band, late, cid) of members that have a partner of
+    """(key, band, late, cid, n, thin) sorted by key to (key, band, late, cid, n) of members that have a partner of
     like size in their bucket that their thin registers allow."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, 1, 4096):
@@ -282,7 +300,7 @@ def _flag_small(percent: int):
                 good = thin_plausible(bits[a], bits[b], percent / 100)
                 marked[a[good]] = True
                 marked[b[good]] = True
-            yield part.filter(pa.array(marked)).select(range(4))
+            yield part.filter(pa.array(marked)).select(range(5))
 
     return run
 
@@ -293,7 +311,8 @@ MEMBERS = "key long, i int, j int, block int, band byte, late boolean, cid long,
 def _plausible_pairs(part: pa.RecordBatch, regs: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Rows x and the later rows y of x's bucket that may be links between components: all of a bucket
     (i = j), or those of its blocks i and j.  A pair that shares several bands is met in one of
-    them only, chosen by its ids, and in the lower of two size classes (not where both are late)."""
+    them only, chosen by its ids, and in the lower of two size classes (not where both are late);
+    one that shares several least hashes is met in each."""
     key, bi, bj, block, band, late, cid, component = (part.column(i).to_numpy(zero_copy_only=False) for i in range(8))
     keys = band_keys(regs, n)
     spin = (mix(cid.view(np.uint64)) >> np.uint64(8)).astype(np.int64)
@@ -309,7 +328,7 @@ def _plausible_pairs(part: pa.RecordBatch, regs: np.ndarray, n: np.ndarray, perc
                 y = y[block[y] != block[x]]
             if len(y):
                 y = y[plausible(regs[x], regs[y], n[x], n[y], percent / 100)]
-            if len(y):
+            if len(y) and band[x] < BANDS:
                 common = (keys[y] == keys[x]) & (keys[x] != 0)
                 turn = (np.arange(keys.shape[1])[None, :] - ((spin[x] + spin[y]) % keys.shape[1])[:, None]) % keys.shape[1]
                 y = y[np.where(common, turn, 1 << 20).argmin(axis=1) == band[x]]
@@ -364,12 +383,21 @@ def _link_members(percent: int):
     return run
 
 
+def _one_node(rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, a, b: for ids with several different sets, links from each of their classes to the least."""
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("fp1", "fp2", "n_shingles")).alias("lo"), F.max(F.struct("fp1", "fp2", "n_shingles")).alias("hi")).where("lo <> hi").select("doc_id")
+    sets = rows.where("n_shingles > 0").select("doc_id", "fp1", "fp2", "n_shingles").join(several, "doc_id").distinct()
+    nodes = scratch.table(sets.join(classes.select("fp1", "fp2", "n_shingles", "cid"), ["fp1", "fp2", "n_shingles"]).select("doc_id", "cid"), "repeated")
+    return nodes.join(nodes.groupBy("doc_id").agg(F.min("cid").alias("b")), "doc_id").select("doc_id", F.col("cid").alias("a"), "b")
+
+
 def near_duplicates(documents: DataFrame, scratch: Scratch, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, of every row."""
-    rows = scratch.table(sketch(documents, shingle_words), "sketches")
+    """doc_id, text_key (xxhash64 of the text), n_shingles, component_id (the smallest doc_id reachable), kept,
+    of every row."""
+    rows = scratch.table(sketch(documents, shingle_words, percent), "sketches")
     usable = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.table(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("regs").alias("regs"), F.first("thin").alias("thin")), "classes")
-    keys = classes.select("cid", "n_shingles", "regs").mapInArrow(_keys, "key long, band byte, cid long, n long")
+    classes = scratch.table(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("regs").alias("regs"), F.first("thin").alias("thin"), F.first("low").alias("low")), "classes")
+    keys = classes.select("cid", "n_shingles", "regs", "low").mapInArrow(_keys, "key long, band byte, cid long, n long")
     shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key")
     # Only sets of like size can be linked: buckets are split by size, each set in its class and the next.
     like = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
@@ -381,8 +409,8 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, shingle_words: int =
     rows_of = scratch.table(split.join(sizes, "key"), "buckets")
     # Members of small buckets without a plausible partner leave; large buckets are kept whole for now.
     small = rows_of.where(F.col("size") <= SMALL).join(classes.select("cid", "thin"), "cid").select("key", "band", "late", "cid", "n", "thin")
-    kept = small.repartition("key").sortWithinPartitions("key").mapInArrow(_flag_small(percent), "key long, band byte, late boolean, cid long")
-    marked = scratch.table(kept.unionByName(rows_of.where(F.col("size") > SMALL).select("key", "band", "late", "cid")), "marked")
+    kept = small.repartition("key").sortWithinPartitions("key").mapInArrow(_flag_small(percent), "key long, band byte, late boolean, cid long, n long")
+    marked = scratch.table(kept.unionByName(rows_of.where(F.col("size") > SMALL).select("key", "band", "late", "cid", "n")), "marked")
     scratch.drop(split, rows_of)
     # Every class against the smallest member that it shares most buckets with.
     leaders = marked.groupBy("key").agg(F.min("cid").alias("leader"))
@@ -399,7 +427,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, shingle_words: int =
     found = scratch.table(components(links, scratch), "components")
     # Buckets that hold several components: all pairs between those, in blocks inside tasks.
     placed = marked.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    open_ = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    open_ = placed.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     dealt = placed.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "late", "cid", "component")
@@ -410,10 +438,18 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, shingle_words: int =
     full = flagged.join(sets, "cid").select("key", "i", "j", "block", "band", "late", "cid", "component", "regs", "shingles")
     more = together(full).mapInArrow(_link_members(percent), "a long, b long")
     joined = scratch.table(more, "links").unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    repeated = _one_node(rows, classes, scratch)
+    joined = joined.unionByName(repeated.select("a", "b"))
     final = scratch.table(components(joined, scratch), "final")
     scratch.drop(marked, sets, links, found, flagged)
     scratch.sweep()
     named = classes.select("fp1", "fp2", "n_shingles", "cid").join(final.withColumnRenamed("node", "cid"), "cid", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "cid").alias("class_component"))
-    out = rows.drop("regs", "thin").join(named, ["fp1", "fp2", "n_shingles"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = rows.drop("regs", "thin", "low").join(named, ["fp1", "fp2", "n_shingles"], "left")
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    # Empty rows of an id that has texts too.
+    of_id = repeated.groupBy("doc_id").agg(F.min("b").alias("node")).join(final, "node", "left").select("doc_id", F.coalesce("component", "node").alias("id_component"))
+    empty = rows.where("n_shingles = 0 and doc_id is not null").select("doc_id").distinct().join(of_id, "doc_id")
+    out = out.join(empty, "doc_id", "left")
+    other = F.coalesce("id_component", "doc_id")
+    component = F.when(some, F.col("class_component")).otherwise(other)
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -157,19 +157,40 @@ qualify row_number() over (partition by query_id order by score, vec_id) <= 10
 """
 
 
-def _url_oracle(depth: int = 4) -> str:
-    """The path-template tree, level by level, as SQL."""
-    parts = f"""
-with recursive raw as (
-  select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-    regexp_extract(coalesce(url, ''), '://[^/?#]*(/[^?#]*)', 1) as path, url,
-    regexp_extract(coalesce(url, ''), '/([0-9]{{1,18}})(?:\\.[a-z]+)?/?(?:[?#].*)?$', 1) as number
+def _url_pool(name: str, leaf: str, group: str) -> str:
+    """CTEs ``name``: each segment of ``leaf`` against the pool of its group."""
+    same = lambda x, y: " and ".join(f"{x}.{c} = {y}.{c}" for c in group.split(", "))
+    out = ", ".join(f"l.{c}" for c in group.split(", "))
+    return f"""
+, {name}_node as (select {group}, seg, sum(n) as n, sum(labelled) as labelled, sum(bad) as bad from {leaf} group by all
+), {name}_all as (select {group}, count(*) as k, sum(n) as all_n, sum(labelled) as all_labelled, sum(bad) as all_bad from {name}_node group by all
+), {name}_pool as (select {group}, child, sum(n) as pool_n from {leaf} group by all
+), {name}_kinds as (select {group}, count(*) as kinds from {name}_pool group by all
+), {name}_far as (
+  select {out}, l.seg, (sum(abs(l.n / s.n - p.pool_n / b.all_n) - p.pool_n / b.all_n) + 1) / 2 as distance,
+    list_sort(list(l.child) filter (where l.n * 8 >= s.n)) as usual, any_value(s.n) as n, any_value(s.labelled) as labelled, any_value(k) as k, any_value(kinds) as kinds,
+    coalesce(any_value(s.bad) / nullif(any_value(s.labelled), 0) - any_value(all_bad) / nullif(any_value(all_labelled), 0), 0) as gap
+  from {leaf} l join {name}_pool p on {same("l", "p")} and l.child = p.child join {name}_node s on {same("l", "s")} and l.seg = s.seg
+    join {name}_all b on {same("l", "b")} join {name}_kinds x on {same("l", "x")}
+  group by all
+), {name} as (
+  select *, case when gap > bound then '+' when gap < -bound then '-' else '' end as side, distance <= sqrt((ln(40) + kinds * ln(2)) / (2 * n)) and abs(gap) <= bound as alike
+  from (select *, sqrt(ln(40) / (2 * greatest(labelled, 1))) as bound from {name}_far)
+)"""
+
+
+def _url_oracle(depth: int = 6) -> str:
+    """The path-template tree as SQL, a level of CTEs for each of ``depth`` segments (the tables' urls have 3)."""
+    parts = """
+with raw as (
+  select page_id, url, regexp_extract(coalesce(url, ''), '/([0-9]{1,18})(?:\\.[a-z]+)?/?(?:[?#].*)?$', 1) as number,
+    split_part(split_part(case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end, '?', 1), '#', 1) as place
   from pages
-), cut as (
-  select *, list_transform(string_split(path, '/')[2:], lambda s: regexp_replace(case when regexp_full_match(s, '[0-9a-fA-F-]{{8,}}') and regexp_matches(s, '[0-9]') and regexp_matches(s, '[a-fA-F]') then '{{h}}' else s end, '[0-9]+', '{{n}}', 'g')) as segs
-  from raw
+), hosted as (
+  select *, translate(split_part(place, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, substr(place, 1 + length(split_part(place, '/', 1))) as path from raw
 ), shaped as (
-  select *, case when path = '' then cast([] as varchar[]) when len(segs) > {depth} then list_concat(segs[1:{depth}], ['**']) else segs end as shape from cut
+  select *, list_transform(string_split(path, '/')[2:], lambda s: regexp_replace(case when regexp_full_match(s, '[0-9a-fA-F-]{8,}') and regexp_matches(s, '[0-9]') and regexp_matches(s, '[a-fA-F]') then '{h}' else s end, '[0-9]+', '{n}', 'g')) as shape
+  from hosted
 ), quality as (
   select doc_id, case when max(quality) = 0 then 1 else 0 end as bad from labels where quality is not null and doc_id is not null group by doc_id
 ), seen as (
@@ -178,30 +199,27 @@ with recursive raw as (
 ), t0 as (
   select host, shape, count(*) as n, count(bad) as labelled, cast(coalesce(sum(bad), 0) as bigint) as bad, '' as prefix from seen group by host, shape
 )"""
-    for d in range(1, depth + 2):
+    for d in range(1, depth + 1):
         was = f"t{d - 1}"
         parts += f"""
 , leaf{d} as (
   select host, prefix, shape[{d}] as seg, case when len(shape) > {d} then shape[{d + 1}] else '$' end as child, sum(n) as n, sum(labelled) as labelled, sum(bad) as bad
   from {was} where len(shape) >= {d} group by all
-), node{d} as (select host, prefix, seg, sum(n) as n, sum(labelled) as labelled, sum(bad) as bad from leaf{d} group by all
-), sib{d} as (select host, prefix, count(*) as k, sum(n) as all_n, sum(labelled) as all_labelled, sum(bad) as all_bad from node{d} group by all
-), pool{d} as (select host, prefix, child, sum(n) as pool_n from leaf{d} group by all
-), kinds{d} as (select host, prefix, count(*) as kinds from pool{d} group by all
-), far{d} as (
-  select l.host, l.prefix, l.seg, (sum(abs(l.n / s.n - p.pool_n / b.all_n) - p.pool_n / b.all_n) + 1) / 2 as distance,
-    any_value(s.n) as n, any_value(s.labelled) as labelled, any_value(s.bad) as bad, any_value(b.k) as k, any_value(kinds) as kinds, any_value(all_n) as all_n, any_value(all_labelled) as all_labelled, any_value(all_bad) as all_bad
-  from leaf{d} l join pool{d} p using (host, prefix, child) join node{d} s on s.host = l.host and s.prefix = l.prefix and s.seg = l.seg join sib{d} b on b.host = l.host and b.prefix = l.prefix join kinds{d} x on x.host = l.host and x.prefix = l.prefix
-  group by all
-), wild{d} as (
-  select host, prefix, seg, k > 1 and seg <> '**' and ((k > 32 and n < all_n * 0.01) or (distance <= sqrt((ln(40) + kinds * ln(2)) / (2 * n))
-    and (labelled = 0 or abs(bad / labelled - all_bad / all_labelled) <= sqrt(ln(40) / (2 * labelled))))) as wild
-  from far{d}
+){_url_pool(f"among{d}", f"leaf{d}", "host, prefix")}
+, rest{d} as (
+  select l.*, '(' || array_to_string(usual, '|') || ')' || side as family from leaf{d} l join among{d} a on l.host = a.host and l.prefix = a.prefix and l.seg = a.seg where k > 1 and not alike
+){_url_pool(f"within{d}", f"rest{d}", "host, prefix, family")}
+, wild{d} as (
+  select host, prefix, seg, '*' as wild from among{d} where k > 1 and alike
+  union all select host, prefix, seg, '*' || family from within{d} where k > 1 and alike
 ), t{d} as (
-  select t.host, t.shape, t.n, t.labelled, t.bad, case when len(t.shape) < {d} then t.prefix else t.prefix || '/' || case when w.wild then '*' else t.shape[{d}] end end as prefix
+  select t.host, t.shape, t.n, t.labelled, t.bad, case when len(t.shape) < {d} then t.prefix else t.prefix || '/' || coalesce(w.wild, t.shape[{d}]) end as prefix
   from {was} t left join wild{d} w on w.host = t.host and w.prefix = t.prefix and len(t.shape) >= {d} and w.seg = t.shape[{d}]
 )"""
-    last = f"t{depth + 1}"
+    # Below, no two shapes of these tables share a prefix: what is left of a path stays as it is.
+    parts += f"""
+, done as (select host, shape, n, labelled, bad, prefix || case when len(shape) > {depth} then '/' || array_to_string(shape[{depth + 1}:], '/') else '' end as prefix from t{depth})"""
+    last = "done"
     return (
         parts
         + f"""

@@ -168,7 +168,8 @@ def judge(documents: DataFrame, model: ShapeClassifier, scratch: Scratch, site:
     own = evidence(model, documents.sparkSession)(F.coalesce("text", F.lit("")))
     base = documents.select(F.struct(*(columns or ["*"])).alias("row"), own.alias("evidence"), site_key.alias("site"), key.alias("path"))
     p = 1 / (1 + F.exp(-F.col("evidence")))
-    paths = documents.select(own.alias("evidence"), site_key.alias("site"), key.alias("path")).groupBy("site", "path").agg(F.count("*").alias("n"), F.sum(p).alias("good"))
+    base = scratch.table(base, "evidence")  # the classifier reads every text once
+    paths = base.groupBy("site", "path").agg(F.count("*").alias("n"), F.sum(p).alias("good"))
     paths = scratch.table(paths, "paths")
     sites = paths.groupBy("site").agg(F.sum("n").alias("site_n"), F.sum("good").alias("site_good"))
     total = sites.agg(F.coalesce(F.sum("site_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("site_good"), F.lit(0.0)).alias("good")).first()

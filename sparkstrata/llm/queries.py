@@ -29,7 +29,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark, "neardup"), shingle_words=4, percent=80)
+    return near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark, "neardup"), shingle_words=4, percent=80).drop("text_key")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(write_archive(read(spark, sf_dir, "pages"), Scratch(spark, "warc")))
+    scratch = Scratch(spark, "warc")
+    return read_back(write_archive(read(spark, sf_dir, "pages"), scratch), scratch)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

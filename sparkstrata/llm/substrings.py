@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .textwords import byte_codes, chunks, hashes, mix, sequence_hashes, spans
+from .textwords import byte_codes, chunks, hashes, one_batch, sequence_hashes, spans
 
 WINDOW = 13
 ANCHOR_WORDS = 4
@@ -184,29 +184,31 @@ def _shards(batches: Iterator[pa.RecordBatch], column: int, shard_words: int) ->
                 if cut > done:
                     held.append(batch.slice(done, cut - done))
                 if held:
-                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    yield one_batch(held)
                 held, size, done = [], 0, cut
         if done < len(shard):
             held.append(batch.slice(done))
             size += lengths[-1] - lengths[done]
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield one_batch(held)
 
 
 def _indexed(words: pa.Array, ids: np.ndarray, window: int):
     """Index the distinct values of ``words`` and stream them through it: which distinct value
-    each row has, and for each window (value, offset, least id)."""
+    each row has, and for each window (value, offset, least id).  The index's symbols stand for
+    the bytes of words, not for their hashes, so what it finds is equal to the byte."""
     coded = words.dictionary_encode()
     which, distinct = coded.indices.to_numpy(), coded.dictionary
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ids)
-    codes, hashed, sizes = byte_codes(lower=False), [], [np.zeros(0, np.int64)]
+    found, sizes = [pa.array([], pa.binary())], [np.zeros(0, np.int64)]
     for _, raw, at in chunks(distinct):
         start, end, doc = spans(raw, at)
-        hashed.append(hashes(raw, start, end, codes))
+        found.append(_gather(raw, start, end))
         sizes.append(np.bincount(doc, minlength=len(at) - 1))
     starts = np.append(0, np.cumsum(np.concatenate(sizes)))
-    return which, FMIndex(np.concatenate(hashed), starts, window).smallest_owner(least)
+    symbols = pa.concat_arrays(found).dictionary_encode().indices.to_numpy()
+    return which, FMIndex(symbols.astype(np.int64), starts, window).smallest_owner(least)
 
 
 def _search(window: int, shard_words: int):
@@ -249,7 +251,7 @@ def _search_windows(window: int, shard_words: int):
 def _copies(keyed: DataFrame) -> DataFrame:
     """doc_id, text_key, copy (true) of rows whose whole text a smaller doc_id has; found on digests, merged
     before the shuffle."""
-    ids = keyed.where("doc_id is not null and text is not null").select("doc_id", "text_key", F.unhex(F.md5("text")).alias("digest"))
+    ids = keyed.where("doc_id is not null and text is not null").select("doc_id", "text_key", F.unhex(F.sha2("text", 256)).alias("digest"))
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
     return ids.join(first, "digest").where("doc_id > first").select("doc_id", "text_key").distinct().withColumn("copy", F.lit(True))
 

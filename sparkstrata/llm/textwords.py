@@ -1,7 +1,8 @@
 """Words of whole texts and their 64-bit hashes, in numpy over Arrow's buffers.
 
-A word is a maximal run of bytes outside 0x20 and 0x09-0x0D.  Its hash is a polynomial over
-randomly coded bytes modulo 2**64, mixed; it depends on the word's bytes alone.
+A word is a maximal run of bytes outside 0x20 and 0x09-0x0D.  Each byte and its place in the word
+give 64 pseudo-random bits (tabulation hashing); a word's hash mixes their sum and its length, so it
+depends on the word's bytes alone and no relation between texts makes two sums equal.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 17
+#: Places of a word whose bytes' codes are tabulated; those further on are computed.
+PLACES = 32
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+_STEP = 0xD1342543DE82EF95
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -25,26 +28,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _at_place(code: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(code ^ mix((place.astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP)))
+
+
 def byte_codes(lower: bool) -> np.ndarray:
-    """A 64-bit code for each byte; with ``lower``, A-Z get the codes of a-z."""
+    """PLACES + 1 rows of 64-bit codes for each byte: at each place, then free of places; with
+    ``lower``, A-Z get the codes of a-z."""
     b = np.arange(256, dtype=np.uint64)
     if lower:
         b[65:91] += np.uint64(32)
-    return mix((b + np.uint64(1)) * np.uint64(_BASE))
-
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+    free = mix((b + np.uint64(1)) * np.uint64(_BASE))
+    return np.concatenate([_at_place(free[None, :], np.arange(PLACES)[:, None]), free[None, :]])
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,11 +86,22 @@ def spans(raw: np.ndarray, at: np.ndarray, dark: np.ndarray | None = None) -> tu
 
 
 def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The hash of each span of bytes."""
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(codes[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    """The hash of each span of bytes (none is empty); CHUNK_BYTES of them are in work at a time."""
+    size = end - start
+    edge = np.append(0, np.cumsum(size))
+    total, table = np.zeros(len(size), np.uint64), codes.reshape(-1)
+    for low in range(0, int(edge[-1]), CHUNK_BYTES):
+        high = min(low + CHUNK_BYTES, int(edge[-1]))
+        a, b = np.searchsorted(edge, low, "right") - 1, np.searchsorted(edge, high, "left")
+        first = np.maximum(edge[a:b], low)
+        count = np.minimum(edge[a + 1 : b + 1], high) - first
+        place = np.arange(low, high) - np.repeat(edge[a:b], count)
+        byte = raw[place + np.repeat(start[a:b], count)].astype(np.int64)
+        code = table[np.minimum(place, PLACES) * 256 + byte]
+        if (far := np.flatnonzero(place >= PLACES)).size:
+            code[far] = _at_place(code[far], place[far])
+        total[a:b] += np.add.reduceat(code, first - low)
+    return mix(total + size.astype(np.uint64) * np.uint64(_BASE))
 
 
 def sequence_hashes(word: np.ndarray, n: int) -> np.ndarray:
@@ -106,3 +112,11 @@ def sequence_hashes(word: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         h = h * np.uint64(0xD6E8FEB86659FD93) + word[i : len(word) - n + 1 + i]
     return mix(h)
+
+
+def one_batch(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The batches as one; an error, never a shorter batch, where they don't fit into one."""
+    table = pa.Table.from_batches(held).combine_chunks().to_batches()
+    if len(table) != 1:
+        raise OverflowError(f"{sum(b.nbytes for b in held)} bytes do not fit into one batch")
+    return table[0]

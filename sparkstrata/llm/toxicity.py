@@ -4,8 +4,10 @@ Terms are the distinct lower-cased words of a text (runs of letters, digits and
 on) and their first 4 and 5 bytes, hashed to ``2**bits`` buckets.  The score is the logistic of
     w0 + sum w_i + sum over pairs i < j of <v_i, v_j>
 over the buckets present, so a pair such as an insult and a group's name has a weight of its own
-beside those of its parts.  Buckets that don't tell the classes apart in the sample (z-test) keep
-zero parameters; the others are fitted by Adam on the log loss with weight decay.
+beside those of its parts.  Buckets that don't tell the classes apart in the sample, neither alone
+(z-test) nor in a pair (z-test of all pairs of the ``PAIR_TERMS`` buckets with the most positive rows against
+what their parts add up to), keep zero parameters; the others are fitted by Adam on the log loss
+with weight decay.
 
 The model is fitted on at most ``max_train_rows`` labelled rows; its size is fixed by ``bits`` and
 ``factors``, so broadcasting it is bounded.  Whole texts are scored where they lie, without a shuffle.
@@ -26,9 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .textwords import byte_codes, chunks, hashes, spans
+from .textwords import byte_codes, chunks, hashes, mix, spans
 
 BITS, FACTORS, MAX_TRAIN_ROWS = 20, 4, 12_000
+#: Of so many terms of the sample all pairs are tested for an effect beside those of their parts.
+PAIR_TERMS = 2048
 PREFIXES = (4, 5)
 
 
@@ -70,7 +74,71 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit_machine(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 80, rate: float = 0.05, decay: float = 0.3, min_rows: int = 3, min_z: float = 4.0, seed: int = 7) -> FactorizationMachine:
+def pair_deviations(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, terms_of: np.ndarray, block: int = 2048) -> np.ndarray:
+    """For each pair of the terms, how many standard deviations the positive rows among those that hold both
+    are from what the two terms' own rates add up to (in log-odds)."""
+    n, k = len(label), len(terms_of)
+    place = np.full(int(bucket.max(initial=0)) + 1, -1)
+    place[terms_of] = np.arange(k)
+    col = place[bucket]
+    row, col = row[col >= 0], col[col >= 0]
+    both, hits = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    for low in range(0, n, block):
+        here = (row >= low) & (row < low + block)
+        x = np.zeros((min(block, n - low), k), np.float32)
+        x[row[here] - low, col[here]] = 1
+        both += x.T @ x
+        positive = x[label[low : low + block] > 0]
+        hits += positive.T @ positive
+    prior = (label.sum() + 0.5) / (n + 1.0)
+    own = (np.diag(hits) + prior) / (np.diag(both) + 1)
+    extra = np.log(own / (1 - own)) - np.log(prior / (1 - prior))
+    expected = logistic(np.log(prior / (1 - prior)) + extra[:, None] + extra[None, :])
+    variance = both * expected * (1 - expected)
+    z = (hits - both * expected) / np.sqrt(np.maximum(variance, 1e-9))
+    # Too few rows for a test; or nearly all rows of one term hold the other: the pair is that term, which is tested by itself.
+    count = np.diag(both)
+    z[(variance < 2) | (both >= 0.95 * np.minimum(count[:, None], count[None, :]))] = 0
+    return z
+
+
+def unlike_rows(row: np.ndarray, bucket: np.ndarray, n: int, width: int = 8, tries: int = 4) -> np.ndarray:
+    """Which rows have no earlier near copy: one that agrees in ``width`` min-hashes in one of the tries."""
+    keep, some = np.ones(n, bool), np.flatnonzero(np.bincount(row, minlength=n))
+    edge = np.searchsorted(row, some)
+    for attempt in range(tries if len(some) else 0):
+        key = np.zeros(len(some), np.uint64)
+        for i in range(width):
+            salt = np.uint64((1 + attempt * width + i) << 40)
+            key = mix(key ^ np.minimum.reduceat(mix(bucket.astype(np.uint64) + salt), edge))
+        _, first = np.unique(key, return_index=True)
+        new = np.zeros(len(some), bool)
+        new[first] = True
+        keep[some] &= new
+    return keep
+
+
+def telling_terms(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, size: int, min_rows: int, min_z: float, pair_z: float, pair_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that tell the classes apart by themselves, or in a pair: of the ``pair_terms`` buckets with the
+    most positive rows all pairs are tested.  And which of them are told by a pair."""
+    n, positive = len(label), int(label.sum())
+    prior = (positive + 0.5) / (n + 1.5)
+    count = np.bincount(bucket, minlength=size)
+    hits = np.bincount(bucket, label[row], minlength=size)
+    rate_in, rate_out = hits / np.maximum(count, 1), (positive - hits) / np.maximum(n - count, 1)
+    z = (rate_in - rate_out) / np.sqrt(prior * (1 - prior) * (1 / np.maximum(count, 1) + 1 / np.maximum(n - count, 1)))
+    usable = (count >= min_rows) & (count < n)
+    alone = np.flatnonzero(usable & (np.abs(z) >= min_z))
+    asked = np.flatnonzero(usable & (hits > 0))
+    asked = np.sort(asked[np.argsort(-hits[asked], kind="stable")][:pair_terms])
+    one = unlike_rows(row, bucket, n)  # copies are no evidence of a pair
+    kept = one[row]
+    told = np.abs(pair_deviations((np.cumsum(one) - 1)[row[kept]], bucket[kept], label[one], asked)).max(axis=1, initial=0) >= pair_z if len(asked) else np.zeros(0, bool)
+    chosen = np.union1d(alone, asked[told])
+    return chosen, np.isin(chosen, asked[told])
+
+
+def fit_machine(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 100, rate: float = 0.05, decay: float = 0.3, pair_decay: float = 1.0, min_rows: int = 3, min_z: float = 4.0, pair_z: float = 10.0, pair_terms: int = PAIR_TERMS, seed: int = 7) -> FactorizationMachine:
     """Fit on the terms (row, bucket) of labelled rows."""
     n, size = len(label), 1 << bits
     positive = int(label.sum())
@@ -78,11 +146,7 @@ def fit_machine(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, bits: in
     machine = FactorizationMachine(float(np.log(prior / (1 - prior))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     if not positive or positive == n:
         return machine
-    count = np.bincount(bucket, minlength=size)
-    hits = np.bincount(bucket, label[row], minlength=size)
-    rate_in, rate_out = hits / np.maximum(count, 1), (positive - hits) / np.maximum(n - count, 1)
-    z = (rate_in - rate_out) / np.sqrt(prior * (1 - prior) * (1 / np.maximum(count, 1) + 1 / np.maximum(n - count, 1)))
-    chosen = np.flatnonzero((count >= min_rows) & (count < n) & (np.abs(z) >= min_z))
+    chosen, paired = telling_terms(row, bucket, label, size, min_rows, min_z, pair_z, pair_terms)
     if not len(chosen):
         return machine
     place = np.full(size, -1)
@@ -90,7 +154,7 @@ def fit_machine(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, bits: in
     keep = place[bucket] >= 0
     row, col = row[keep], place[bucket[keep]]
     random = np.random.default_rng(seed)
-    params = [np.array([machine.bias]), np.zeros(len(chosen)), random.normal(0, 0.02, (len(chosen), factors))]
+    params = [np.array([machine.bias]), np.zeros(len(chosen)), random.normal(0, 1, (len(chosen), factors)) * np.where(paired, 0.1, 0.02)[:, None]]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, epochs + 1):
         bias, w, v = params
@@ -101,7 +165,7 @@ def fit_machine(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, bits: in
         error = (logistic(margin) - label) / n
         at_term = error[row]
         pull = at_term[:, None] * (sums[row] - each)
-        grads = [np.array([error.sum()]), np.bincount(col, at_term, len(chosen)) + decay / n * w, np.stack([np.bincount(col, pull[:, f], len(chosen)) for f in range(factors)], axis=1) + decay / n * v]
+        grads = [np.array([error.sum()]), np.bincount(col, at_term, len(chosen)) + decay / n * w, np.stack([np.bincount(col, pull[:, f], len(chosen)) for f in range(factors)], axis=1) + pair_decay / n * v]
         for i, g in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g

@@ -48,6 +48,14 @@ def test_recall_against_brute_force(spark):
     assert got[0][0][1] == pytest.approx(exact, abs=1e-12)
 
 
+def test_recall_on_vectors_without_structure(spark):
+    """The defaults' calibration, with too few candidates to make the search exhaustive by themselves."""
+    x = np.random.default_rng(1).normal(size=(6000, 16)).astype(np.float32)
+    got = found(nearest(frame(spark, x), F.col("vec_id") % 50 == 0, Scratch(spark, "t"), least_candidates=100))
+    want = brute(np.arange(6000), x.astype(float), range(0, 6000, 50), 10)
+    assert sum(len({a for a, _ in got[q]} & {a for a, _ in want[q]}) for q in want) / (10 * len(want)) >= 0.9
+
+
 def test_small_tables_are_searched_whole(spark):
     x = np.round(clustered(300, dim=4), 1)  # many ties
     x[:40] = x[0]

@@ -57,5 +57,11 @@ def test_parse_gives_back_hard_texts(spark):
     assert [(x.role, x.text) for x in closing] == [("a:b\\#", x) for x in HARD]
 
 
+def test_long_roles_and_many_escapes(spark):
+    table = [(1, 0, "r" * 1_000_000, "x", 1, ""), (1, 1, "\\:" * 50_000, "#\\" * 100_000, 1, ""), (1, 2, "assistant", "</turn>" * 20_000, 1, "")]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in digests(format_examples(spark.createDataFrame(table, SCHEMA))).collect()}
+    assert got == want(table)
+
+
 def test_empty_table(spark):
     assert digests(format_examples(spark.createDataFrame([], SCHEMA))).collect() == []

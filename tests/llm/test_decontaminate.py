@@ -80,6 +80,21 @@ def test_edge_cases(spark):
     assert find_leaks(df.limit(0), bench).collect() == []
 
 
+@given(st.integers(0, 10_000))
+@settings(max_examples=60, deadline=None)
+def test_a_match_has_its_distance_from_start_to_end(seed):
+    rng = random.Random(seed)
+    item = "".join(rng.choice("abcdef ") for _ in range(60)).strip() + "g"
+    text = "".join(rng.choice("abcdef") for _ in range(30)) + edited(rng, item, rng.randrange(0, 4)) + "".join(rng.choice("abcdef") for _ in range(30))
+    for _, distance, start, end in Matcher([(1, item)], 0.06).search(text):
+        rows = list(range(len(item) + 1))
+        for c in text[start:end]:
+            above, rows[0] = rows[0], rows[0] + 1
+            for i, p in enumerate(item, 1):
+                above, rows[i] = rows[i], min(rows[i] + 1, rows[i - 1] + 1, above + (p != c))
+        assert rows[-1] == distance
+
+
 def test_best_match_of_an_item_counts():
     m = Matcher([(1, "abcdefghij" * 4)], 0.1)
     text = "zz" + "abcdefghij" * 3 + "abcdeXghij" + "zz" + "abcdefghij" * 4

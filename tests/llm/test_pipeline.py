@@ -59,6 +59,16 @@ def test_stages_agree_with_brute_force(spark, tmp_path):
     assert mixed and {r.doc_id for r in mixed} <= set(kept[4]) and set(docs.columns) < set(seen[5].columns)
 
 
+def test_near_duplicates_go_by_row_not_by_id(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a), (2, b), (5, b), (7, b), (7, c), (8, d), (8, d), (9, d + " end"), (None, a), (4, ""), (4, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "t") for i, t in rows], DOCUMENTS + ", text_key string")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == sorted([(1, a), (2, b), (7, c), (8, d), (0, a), (4, ""), (4, ""), (6, "")])
+
+
 def test_run_gives_the_last_stage(spark, tmp_path):
     tables(spark, str(tmp_path))
     got = run(spark, str(tmp_path)).collect()

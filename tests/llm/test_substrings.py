@@ -61,6 +61,17 @@ def test_digests_equal_brute_force(spark, seed, hot, shard):
     assert got == want
 
 
+def thue_morse(n, one="a", other="b"):
+    return "".join(one if bin(i).count("1") % 2 == 0 else other for i in range(n))
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    docs = [(k, " ".join([word] + [f"c{i}" for i in range(12)])) for k, word in enumerate([thue_morse(2048), thue_morse(2048, "b", "a"), "x" * 40, "x" * 39 + "y", thue_morse(2048)])]
+    df = spark.createDataFrame([(i, t, "x", 1, 0) for i, t in docs], SCHEMA)
+    got = {r.doc_id: r.n_removed for r in removal_digests(df).collect()}
+    assert got == {i: n - len(k) for i, k, n in kept_words(docs)} and got[1] == 0 and got[4] == 13
+
+
 def test_removal_keeps_clean_texts_to_the_byte(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f" lead  {passage}\ttail ", "a", 1, 7), (2, f"other {passage}\n last  words", "b", 1, 7), (3, " clean \n text ", "c", 1, 7), (4, None, None, None, None), (5, passage, "d", 1, 7)]

@@ -1,5 +1,3 @@
-import re
-
 from sparkstrata.llm.scratch import Scratch
 from sparkstrata.llm.urlrules import judge, templates
 from pyspark.sql import functions as F
@@ -9,9 +7,10 @@ SCHEMA = "page_id long, url string, html string, host string, shape string"
 
 
 def parts(url):
-    m = re.search(r"://([^/?#]*)(/[^?#]*)?", url or "")
-    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]) if m else ""
-    return host, (m[2] or "") if m else ""
+    _, mark, rest = (url or "").partition("://")
+    place = rest.partition("?")[0].partition("#")[0] if mark else ""
+    host, slash, path = place.partition("/")
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), slash + path
 
 
 def rule(host, path):
@@ -22,6 +21,7 @@ def rule(host, path):
 URLS = [
     "http://a.com/en/1", "https://x.example.com/en/71", "https://example.com/en/8", "http://notcom/en/1", "http://com/en/", "http://com/enx", "HTTP://WWW.Example.NET/de/81?x=/es/#y",
     "http://example.net/de/7", "ftp://q.org/es/1#://z.com/en/", "no scheme", None, "", "://", "http://h?q=1", "http://h#f", "http://É.COM/en/é", "mailto:a@b.org/es/", "http://a.com//en/1", "http://a/b://c.com/en/",
+    "http://foo.net?next=https://foo.net/de/9", "http://a.com#://b/en/7", "x?u=http://a.com/en/1", "http:///en/1", "http://a.com?/en/1#://q.com/en/2",
     "http://a.org/es", "http://u@h.org:80/es/x", "http://" + "d/" * 20_000,
 ]
 
@@ -57,6 +57,25 @@ def test_similar_branches_become_a_wildcard(spark):
     assert {r.template.split("/")[1] for r in got} == {"*"} and all(abs(r.bad_rate - 0.1) < 0.01 for r in got)
 
 
+def test_families_of_like_branches_become_wildcards_of_their_own(spark):
+    rows = [("h", f"p{i}/{tail}", 300, 3) for i, tail in enumerate("xxxxyyyy")]
+    got = templates(labelled(spark, rows), Scratch(spark, "t")).collect()
+    assert {r.template for r in got} == {"/*(x)/x", "/*(y)/y"}
+
+
+def test_a_rare_bad_branch_among_many_clean_ones_is_rejected(spark):
+    for siblings in (20, 60):
+        rows = [("h", f"n{i}/a/b/c/d/{{n}}", 400, 4) for i in range(siblings)] + [("h", "spam/a/b/c/d/{n}", 60, 60)]
+        got = {"/".join(r.shape): r for r in templates(labelled(spark, rows), Scratch(spark, "t")).collect()}
+        assert got["spam/a/b/c/d/{n}"].verdict == "block" and got["n7/a/b/c/d/{n}"].verdict == "allow"
+
+
+def test_deep_branches_are_told_apart(spark):
+    rows = [("h", f"blog/{{n}}/{{n}}/{{n}}/a/b/c/{tail}", 100, bad) for tail, bad in (("spam", 98), ("news", 2))]
+    got = {r.shape[-1]: r.verdict for r in templates(labelled(spark, rows), Scratch(spark, "t")).collect()}
+    assert got == {"spam": "block", "news": "allow"}
+
+
 def test_many_rare_names_become_a_wildcard(spark):
     rows = [("h", f"user/name-{i}", 1, 0) for i in range(300)] + [("h", "user/login", 300, 290)]
     got = {"/".join(r.shape): r for r in templates(labelled(spark, rows), Scratch(spark, "t")).collect()}
