@@ -2,7 +2,9 @@
 
 Every stage reads what its predecessor kept and returns the columns of ``documents``; the last returns
 the drawn rows with their epoch and position as well.  ``run`` writes each stage's result to the
-shared scratch folder and reads it again, so a lost executor costs one stage at most.
+shared scratch folder and reads it again, so a lost executor costs one stage at most.  Every stage
+works on whole texts of any length, keeps extra columns whatever their names, and gives no rows for
+an empty table.
 """
 
 from __future__ import annotations
@@ -28,33 +30,55 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     remove_all(spark)
     bounded_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, model, Scratch(spark, "quality")).where("keep").select("row.*")
+    return quality.judge(docs, model, Scratch(spark, "quality")).where("keep").select("row.*")  # rows with null or repeated ids are judged each
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; rows without an id stay."""
+    """Of each group of near-duplicate texts one row stays, of those with the smallest id.
+
+    Rows go one by one, not by id: of rows that share an id only those with a text like another's are
+    dropped.  Rows without an id, and texts without words, stay.
+    """
     remove_all(spark)
     bounded_batches(spark)
-    dropped = near_duplicates(docs, Scratch(spark, "neardup")).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    scratch = Scratch(spark, "neardup")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text", F.struct("*").alias("row"))
+    # Further texts of an id are nodes of their own, numbered after all ids.
+    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("one"), F.max("text_key").alias("other"))
+    top = ids.agg(F.max("doc_id")).first()[0] or 0
+    more = rows.select("doc_id", "text_key").join(ids.where("one <> other"), "doc_id").where("text_key <> one").select("doc_id", "text_key").distinct()
+    more = scratch.table(more.withColumn("node", F.monotonically_increasing_id() + F.lit(max(top, 0) + 1)), "further")
+    nodes = rows.select("doc_id", "text_key", "text")
+    if not more.isEmpty():
+        nodes = nodes.join(more, ["doc_id", "text_key"], "left").withColumn("doc_id", F.coalesce("node", "doc_id"))
+    told = scratch.table(near_duplicates(nodes.select("doc_id", "text"), scratch).where("n_shingles > 0 and doc_id is not null").withColumnRenamed("doc_id", "node"), "rows")
+    told = told.join(more.select("node", F.col("doc_id").alias("of")), "node", "left").withColumn("doc_id", F.coalesce("of", "node"))
+    dropped = told.where("not kept").select("doc_id", "text_key").distinct()
+    stay = rows.join(dropped, ["doc_id", "text_key"], "left_anti").select("doc_id", "text_key", "row")
+    # Rows repeated with one id and one text: one of them.
+    again = scratch.table(told.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "again")
+    single = stay.join(again, ["doc_id", "text_key"], "left_anti").select("row")
+    repeated = stay.join(again, ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(repeated).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document has."""
+    """Documents without the passages that an earlier document has; null texts, and rows without an id, stay."""
     remove_all(spark)
     bounded_batches(spark)
     return remove_repeats(docs, window=PASSAGE_WORDS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found; null and empty texts stay."""
     remove_all(spark)
     bounded_batches(spark)
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight draws them, with epoch and position."""
+    """Documents as often as their source's weight draws them, with epoch and position; rows without an id or
+    without words are never drawn."""
     remove_all(spark)
     bounded_batches(spark)
     return realise(docs, mix(docs, Scratch(spark, "mixing"))).select("row.*", F.col("epoch").alias("mix_epoch"), F.col("position").alias("mix_position"))
