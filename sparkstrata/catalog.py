@@ -15,7 +15,8 @@ from pyspark.sql.window import Window as W
 
 from .functions import paths, structure, text
 from .operators import classify, detect, graph, ordering, resolve, summary, validate
-from .sources import native, resources
+from .plans import skeletons
+from .sources import files, native, resources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,8 +146,8 @@ def reference_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with d as (select o_orderkey as source, 'pkg' || (o_custkey % 40) as package from orders where o_orderkey % 3 = 0),
-v as (select p_size, p_partkey, 'PKG' || p_size as package, cast(p_partkey as varchar) as version, p_partkey % 2 = 0 as literal, p_partkey % 9 = 0 as conditional from part where p_partkey <= 60),
+with d as (select o_orderkey as source, 'pkg' || (o_custkey % 40) as package from orders),
+v as (select p_size, p_partkey, 'PKG' || p_size as package, cast(p_partkey as varchar) as version, p_partkey % 2 = 0 as literal, p_partkey % 9 = 0 as conditional from part),
 m as (select d.source, d.package, count(v.version) as n, coalesce(bool_or(conditional), false) as cond, coalesce(bool_and(literal), false) as lit, max(version) as version
   from d left join v on v.package = upper(d.package) group by d.source, d.package)
 select source, package, case when n > 0 and not cond and n = 1 and lit then version end as version,
@@ -238,13 +239,13 @@ def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r as (select distinct l_suppkey, l_partkey * 100 as low, l_partkey * 100 + cast(l_quantity as bigint) * 40 as high from lineitem where l_linenumber = 1),
+with r as (select distinct l_suppkey, l_partkey * 100 as low, l_partkey * 100 + cast(l_quantity as bigint) * 40 as high from lineitem),
 m as (select *, max(high) over (partition by l_suppkey order by low, high rows between unbounded preceding and 1 preceding) as before from r where high > low)
 select l_suppkey, low, high from m where low < before
 """)
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: ranges that begin before an earlier one ends."""
-    li = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_suppkey", (F.col("l_partkey") * 100).alias("at"), (F.col("l_quantity").cast("long") * 40).alias("size"))
+    li = read(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") * 100).alias("at"), (F.col("l_quantity").cast("long") * 40).alias("size"))
     return validate.overlapping_intervals(li, ["l_suppkey"], "at", "size")
 
 
@@ -407,12 +408,12 @@ def owner_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of owners above each item."""
     k = F.col("p_partkey")
     items = read(spark, sf_dir, "part").select(k.alias("id"), F.when(k > 1, F.floor(k / 2).cast("long")).alias("parent"), (F.col("p_size") % 10 != 0).alias("ok"))
-    return graph.owner_chain(items, 64)
+    return graph.owner_chain(items)
 
 
 CYCLE_SQL = """
 with recursive e as (select n_nationkey as src, (n_nationkey * 3 + n_regionkey) % 25 as dst from nation union all select n_nationkey, (n_nationkey + 5) % 25 from nation where n_nationkey % 4 = 0),
-w(src, dst, hops) as (select distinct src, dst, 1 from e union select w.src, e.dst, w.hops + 1 from w join e on w.dst = e.src where w.hops < 12 and w.src <> w.dst)
+w(src, dst) as (select distinct src, dst from e union select w.src, e.dst from w join e on w.dst = e.src)
 """
 
 
@@ -423,20 +424,20 @@ def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CYCLE_SQL + "select distinct src as node from w where src = dst")
 def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes on a cycle of at most 12 edges."""
-    return graph.cyclic_nodes(_nation_edges(spark, sf_dir), 12)
+    """Nodes on a cycle."""
+    return graph.cyclic_nodes(_nation_edges(spark, sf_dir))
 
 
 @query(CYCLE_SQL + ", b as (select n_nationkey as node, n_nationkey = 7 as incomplete from nation) select node, incomplete or node in (select src from w where dst in (select node from b where incomplete)) as incomplete from b")
 def incomplete_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incompleteness carried to all that depend on it."""
     nodes = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), (F.col("n_nationkey") == 7).alias("incomplete"))
-    return graph.incomplete_closure(nodes, _nation_edges(spark, sf_dir), 12)
+    return graph.incomplete_closure(nodes, _nation_edges(spark, sf_dir))
 
 
 @query("""
-with recursive l as (select p_partkey, 'L' || p_partkey as path, case when p_partkey % 9 = 0 then 'F' || p_partkey when p_partkey % 9 = 1 then 'gone' else 'L' || (p_partkey - 1) end as target from part where p_partkey <= 200),
-f as (select 'F' || p_partkey as path from part where p_partkey <= 200 and p_partkey % 2 = 0),
+with recursive l as (select p_partkey, 'L' || p_partkey as path, case when p_partkey % 9 = 0 then 'F' || p_partkey when p_partkey % 9 = 1 then 'gone' else 'L' || (p_partkey - 1) end as target from part),
+f as (select 'F' || p_partkey as path from part where p_partkey % 2 = 0),
 w(path, here, hops) as (select path, target, 1 from l union all select w.path, l.target, w.hops + 1 from w join l on w.here = l.path where w.hops < 40)
 select path, final, cast(hops as int) as hops, case when final in (select path from f) then 'resolved' when hops >= 40 then 'cycle' else 'missing' end as status
 from (select path, arg_max(here, hops) as final, max(hops) as hops from w group by path)
@@ -459,7 +460,7 @@ def caller_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r as (select user_id, event_id * 2 as ord, 1 as step, event_id from events where event_id < 2000 union all select user_id, event_id * 2 + 1 + (event_id % 3) * 1000, -1, event_id from events where event_id < 2000),
+with r as (select user_id, event_id * 2 as ord, 1 as step, event_id from events union all select user_id, event_id * 2 + 1 + (event_id % 3) * 1000, -1, event_id from events),
 d as (select *, sum(step) over (partition by user_id order by ord, step rows unbounded preceding) as depth from r)
 select user_id, ord, cast(depth as int) as depth from d where step = 1
 """)
@@ -485,10 +486,10 @@ def element_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.element_tree(r, ["conv_id"], "ord", "kind")
 
 
-@query("select vec_id, i as position, round(cast(v as double), 6) as component from (select vec_id, unnest(embedding) as v, unnest(range(0, len(embedding))) as i from embeddings where vec_id % 10 = 0)")
+@query("select vec_id, i as position, round(cast(v as double), 6) as component from (select vec_id, unnest(embedding) as v, unnest(range(0, len(embedding))) as i from embeddings)")
 def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U4: a nested list as rows with their places."""
-    e = read(spark, sf_dir, "embeddings").where("vec_id % 10 = 0")
+    e = read(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.posexplode("embedding").alias("position", "v")).select("vec_id", F.col("position").cast("long"), F.round(F.col("v").cast("double"), 6).alias("component"))
 
 
@@ -578,19 +579,19 @@ def size_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with a as (select distinct p_brand as dir, p_name as name from part), d as (select upper(name) as key, dir from a where dir in ('Brand#11', 'Brand#12', 'Brand#13'))
+with a as (select distinct p_brand as dir, p_name as name from part), d as (select upper(name) as key, dir from a)
 select key, count(*) as n, string_agg(dir, ',' order by dir) as members from d group by key
 """)
 def index_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name and the places that have it."""
-    d = read(spark, sf_dir, "part").select("p_brand", "p_name").distinct().where(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"))
+    d = read(spark, sf_dir, "part").select("p_brand", "p_name").distinct()
     return summary.index_members(d, text.fold(F.col("p_name")), "p_brand").withColumn("members", F.array_join("members", ","))
 
 
 
 
 @query("""
-with d as (select distinct 'S' || (l_partkey % 400) as symbol, 'P' || (l_suppkey % 7) as project from lineitem where l_partkey % 400 < 250 and l_linenumber = 1),
+with d as (select distinct case when l_partkey % 400 < 250 then 'S' else 'T' end || (l_partkey % 400) as symbol, 'P' || case when l_partkey % 400 < 90 then l_partkey % 400 % 7 else l_suppkey % 7 end as project from lineitem),
 p as (select symbol, count(distinct project) as n, min(project) as project from d group by symbol),
 c as (select o_orderkey as id, 'P' || (o_custkey % 7) as source_project, case when o_orderkey % 9 <> 0 then 'S' || (o_orderkey % 400) end as symbol from orders)
 select id, source_project, symbol, case when n = 1 then project end as target_project,
@@ -600,7 +601,9 @@ from c left join p using (symbol)
 def call_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls by the projects that declare their symbol."""
     named = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
-    d = read(spark, sf_dir, "lineitem").where("l_partkey % 400 < 250 and l_linenumber = 1").select(named("S", F.col("l_partkey") % 400).alias("symbol"), named("P", F.col("l_suppkey") % 7).alias("project"))
+    part = F.col("l_partkey") % 400
+    symbol = F.concat(F.when(part < 250, "S").otherwise("T"), part.cast("string"))
+    d = read(spark, sf_dir, "lineitem").select(symbol.alias("symbol"), named("P", F.when(part < 90, part % 7).otherwise(F.col("l_suppkey") % 7)).alias("project"))
     k = F.col("o_orderkey")
     c = read(spark, sf_dir, "orders").select(k.alias("id"), named("P", F.col("o_custkey") % 7).alias("source_project"), F.when(k % 9 != 0, named("S", k % 400)).alias("symbol"))
     return resolve.call_status(c, d)
@@ -663,14 +666,14 @@ def entry_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with recursive e as (select distinct n_nationkey as src, n_nationkey // 2 as dst from nation where n_nationkey > 0 union select n_nationkey, n_nationkey // 3 from nation where n_nationkey > 3),
-d(node, here, depth) as (select src, dst, 1 from e union select d.node, e.dst, d.depth + 1 from d join e on d.here = e.src where d.depth < 12)
+d(node, here, depth) as (select src, dst, 1 from e union select d.node, e.dst, d.depth + 1 from d join e on d.here = e.src)
 select n_nationkey as node, cast(coalesce(max(depth), 0) as int) as layer from nation left join d on node = n_nationkey group by n_nationkey
 """)
 def dependency_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: the order in which nodes can be built."""
     n, k = read(spark, sf_dir, "nation"), F.col("n_nationkey")
     edges = n.where("n_nationkey > 0").select(k.cast("long").alias("src"), F.floor(k / 2).alias("dst")).union(n.where("n_nationkey > 3").select(k.cast("long"), F.floor(k / 3))).distinct()
-    return graph.dependency_layers(n.select(k.cast("long").alias("node")), edges, 12).select(F.col("node").cast("int"), "layer")
+    return graph.dependency_layers(n.select(k.cast("long").alias("node")), edges).select(F.col("node").cast("int"), "layer")
 
 
 @query("""
@@ -769,3 +772,229 @@ select doc_id, case when length(text) <= 512 then regexp_replace(text, '[\p{Cc}\
 def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Control characters escaped, long texts cut with a digest."""
     return read(spark, sf_dir, "documents").select("doc_id", text.bounded_text(F.col("text")).alias("bounded"))
+
+
+@query("""
+select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'R' and l_quantity > 40)
+""")
+def source_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files that are no image; here, parts without a large returned line."""
+    files = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    images = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 40").select(F.col("l_partkey").alias("id"))
+    return summary.code_files(files, images, images)[0].select(F.col("id").alias("p_partkey"))
+
+
+@query("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 400000)")
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files with a type at least; here, customers with a large order."""
+    files = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    types = read(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("id"))
+    return summary.code_files(files, types, types)[1].select(F.col("id").alias("c_custkey"))
+
+
+@query("""
+with c as (select o_custkey as id, arg_min(o_orderstatus, o_orderkey) as status, min(o_orderkey) as first_order from orders group by o_custkey)
+select c_custkey as id, status, first_order from customer left join c on c.id = c_custkey
+""")
+def component_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first component of each id."""
+    components = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("first_order"), F.col("o_orderkey").alias("ord"))
+    return summary.first_by_id(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), components, "ord")
+
+
+@query("""
+select s_suppkey as project, (select count(*) from lineitem where l_suppkey = s_suppkey) as files, (select count(*) from lineitem where l_suppkey = s_suppkey and l_quantity > 49) as declarations,
+  (select count(*) from part where p_partkey % 97 = s_suppkey) as calls from supplier
+""")
+def project_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: the rows of each project in several tables."""
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("project"), "l_quantity")
+    parts = read(spark, sf_dir, "part").select((F.col("p_partkey") % 97).alias("project"))
+    return summary.project_counts(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("project")), files=li, declarations=li.where("l_quantity > 49"), calls=parts)
+
+
+@query("select p_brand as assembly, cast(sum(case when p_size % 3 = 0 then 0 when p_partkey % 2 = 0 then 1 else 2 end) as bigint) as methods_with_code from part group by p_brand")
+def code_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods that have code, summed over types."""
+    method = lambda n: F.struct(F.sequence(F.lit(1), n).alias("il"))
+    none = F.struct(F.array().cast("array<int>").alias("il"))
+    methods = F.when(F.col("p_size") % 3 == 0, F.array(none)).when(F.col("p_partkey") % 2 == 0, F.array(method(F.lit(2)), none)).otherwise(F.array(none, method(F.lit(1)), method(F.lit(9))))
+    return summary.methods_with_code(read(spark, sf_dir, "part").select(F.col("p_brand").alias("assembly"), methods.alias("methods")))
+
+
+@query("""
+with c as (select count(*) filter (o_orderstatus <> 'F') as incomplete, count(*) filter (o_orderkey % 5 = 0) as noted from orders)
+select 'incomplete' as kind, incomplete as projects, incomplete || ' projects are incomplete' as warning from c union all select 'noted', noted, noted || ' projects have notes' from c
+""")
+def project_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings made of counts."""
+    notes = F.when(F.col("o_orderkey") % 5 == 0, F.array(F.lit("n"))).otherwise(F.array().cast("array<string>"))
+    return summary.project_warnings(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("project"), (F.col("o_orderstatus") == "F").alias("complete"), notes.alias("notes")))
+
+
+@query("""
+select p_partkey, p_size % 4 as depth, row_number() over (order by p_size % 4, upper(p_name), p_name, p_partkey) as position from part qualify position <= 300
+""")
+def archive_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2: archives by depth, then path; the first 300 with their places."""
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", (F.col("p_size") % 4).alias("depth"))
+    first = p.orderBy("depth", text.fold(F.col("p_name")), "p_name", "p_partkey").limit(300)
+    place = F.row_number().over(W.orderBy("depth", text.fold(F.col("p_name")), "p_name", "p_partkey"))  # at most 300 rows
+    return first.select("p_partkey", F.col("depth").cast("int"), place.cast("long").alias("position"))
+
+
+@query("""
+select o_orderkey, row_number() over (order by o_orderpriority, o_orderstatus, o_clerk, o_orderkey) as position from (select *, o_custkey % 10 as o_clerk from orders) qualify position <= 300
+""")
+def reference_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by source, kind and target, ties in the order of the input; the first 300 with their places."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("kind"), (F.col("o_custkey") % 10).alias("target"), "o_orderkey")
+    first = ordering.reference_order(o, "o_orderkey").limit(300)
+    return first.select("o_orderkey", F.row_number().over(W.orderBy("source", "kind", "target", "o_orderkey")).cast("long").alias("position"))  # at most 300 rows
+
+
+@query("""
+with o as (select o_custkey, list(o_orderstatus order by o_orderkey) filter (o_orderkey % 2 = 0) as attributes, list(o_orderpriority order by o_orderkey) filter (o_orderkey % 2 = 1) as elements from orders group by o_custkey),
+v as (select o_custkey, list_concat(coalesce(attributes, []), coalesce(elements, [])) as versions from o)
+select o_custkey, array_to_string(versions, '|') as versions, array_to_string(list_transform(list_filter(list_zip(versions, range(1, len(versions) + 1)), lambda p: list_position(versions, p[1]) = p[2]), lambda p: p[1])[1:3], '|') as kept,
+  len(list_distinct(versions)) > 3 as truncated from v
+""")
+def declared_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribute and element versions in one list, the distinct ones capped with a flag."""
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    listed = lambda c, odd: F.transform(F.sort_array(F.collect_list(F.when(k % 2 == odd, F.struct(k.alias("k"), F.col(c).alias("v"))))), lambda x: x["v"])
+    v = o.groupBy("o_custkey").agg(listed("o_orderstatus", 0).alias("a"), listed("o_orderpriority", 1).alias("e")).select("o_custkey", ordering.all_versions(F.col("a"), F.col("e")).alias("versions"))
+    capped = v.withColumn("c", ordering.cap_values(F.col("versions"), 3))
+    return capped.select("o_custkey", F.array_join("versions", "|").alias("versions"), F.array_join("c.values", "|").alias("kept"), F.col("c.truncated").alias("truncated"))
+
+
+@query("""
+select p_partkey, case when p_partkey % 3 = 0 then case when p_partkey % 2 = 0 then 'library' else 'executable' end else 'archive' end as category,
+  case when p_partkey % 3 = 0 then case when p_partkey % 5 = 0 then '.NET assembly' else 'PE image' end else 'ZIP archive' end as format,
+  case p_size % 5 when 0 then 'x86' when 1 then 'x64' when 2 then 'ARM' when 3 then 'ARM64' else '0x0' || (200 + p_size % 10) end as architecture from part
+""")
+def image_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image decides by itself; machine codes have labels or their hexadecimal."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    image = F.when(k % 3 == 0, F.struct((k % 2 == 0).alias("is_library"), (k % 5 == 0).alias("is_managed")))
+    kind = classify.classify_with_image(F.concat("p_name", F.lit(".zip")), F.unhex(F.lit("504B0304")), image)
+    codes = F.array(*(F.lit(c) for c in classify.ARCHITECTURES))
+    other = F.conv(F.concat(F.lit("2"), F.lpad((F.col("p_size") % 10).cast("string"), 2, "0")), 16, 10).cast("int")
+    machine = F.when(F.col("p_size") % 5 < 4, F.element_at(codes, (F.col("p_size") % 5 + 1).cast("int"))).otherwise(other)
+    return p.select("p_partkey", kind["category"].alias("category"), kind["format"].alias("format"), classify.architecture(machine).alias("architecture"))
+
+
+@query("""
+with n as (select doc_id, case doc_id % 4 when 0 then source || '.' || lang when 1 then source || ' ' || lang when 2 then repeat('n', cast(doc_id % 600 as int)) else 'Ünï_' || doc_id || '-x' end as name from documents)
+select doc_id, length(name) <= 256 and regexp_full_match(name, '[\\p{L}\\p{Nd}._-]+') as safe from n
+""")
+def assembly_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """names that may stand as an assembly's."""
+    k = F.col("doc_id")
+    name = F.when(k % 4 == 0, F.concat("source", F.lit("."), "lang")).when(k % 4 == 1, F.concat("source", F.lit(" "), "lang")).when(k % 4 == 2, F.repeat(F.lit("n"), (k % 600).cast("int"))).otherwise(F.concat(F.lit("Ünï_"), k.cast("string"), F.lit("-x")))
+    return read(spark, sf_dir, "documents").select("doc_id", text.is_safe_assembly_name(name).alias("safe"))
+
+
+@query("""
+with f as (select p_name || p_partkey % 150 || case when p_size % 3 = 0 then '.txt' else '.CS' end as path from part),
+i as (select o_orderkey as owner, lower(p_name) || p_partkey % 150 || '.cs' as path from orders join part on p_partkey = o_custkey % 150 + 1)
+select owner, max(f.path) as file from i join f on upper(f.path) = upper(i.path) group by owner, i.path having count(*) = 1
+""")
+def exact_include(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Includes that match exactly one source file."""
+    p = read(spark, sf_dir, "part")
+    tag = (F.col("p_partkey") % 150).cast("string")
+    paths_of = p.select(F.concat("p_name", tag, F.when(F.col("p_size") % 3 == 0, ".txt").otherwise(".CS")).alias("path"))
+    named = p.select((F.col("p_partkey") - 1).alias("k"), F.concat(F.lower("p_name"), tag, F.lit(".cs")).alias("path"))
+    includes = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("owner"), (F.col("o_custkey") % 150).alias("k")).join(named, "k").select("owner", "path")
+    return resolve.exact_include(includes, paths_of, ".cs")
+
+
+@query("""
+with f as (select c_custkey as address, c_custkey % 7 = 0 as external from customer)
+select o_custkey as id, o_orderkey as site, o_custkey + 3 as address from orders where o_custkey + 3 in (select address from f where not external)
+""")
+def known_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of functions that are known and not external."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("site"), (F.col("o_custkey") + 3).alias("address"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("address"), (F.col("c_custkey") % 7 == 0).alias("external"))
+    return native.pseudocode_of_functions(o, c.join(o.select("id", "address").distinct(), "address"))
+
+
+@query("""
+with a as (select distinct p_brand as assembly from part), r as (select p_brand as assembly, lower('Brand#' || (11 + p_size)) as name from part)
+select distinct r.assembly, a.assembly as target from r join a on upper(a.assembly) = upper(r.name) where r.assembly <> a.assembly
+""")
+def package_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to other assemblies of the package."""
+    p = read(spark, sf_dir, "part")
+    return skeletons.package_local_references(p.select(F.col("p_brand").alias("assembly")), p.select(F.col("p_brand").alias("assembly"), F.lower(F.concat(F.lit("Brand#"), (F.col("p_size") + 11).cast("string"))).alias("name")))
+
+
+@query("select o_orderkey, o_custkey from orders where (select count(*) <= 1000000000 from orders)")
+def fail_all_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows, or the failure of the whole job; the tests let it fail."""
+    return ordering.require_budget(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 1_000_000_000, 1 << 60)
+
+
+@query("""
+with t as (select doc_id, repeat('😀', cast(doc_id % 5 as int)) || left(lang || source, 6) || '😀' as s from documents)
+select doc_id, case when length(s) + doc_id % 5 + 1 <= 8 then s else left(s, cast(case when 2 * (doc_id % 5) >= 8 then 4 else doc_id % 5 + least(8 - 2 * (doc_id % 5), length(s) - doc_id % 5 - 1) end as int)) end as cut from t
+""")
+def utf16_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut by UTF-16 units, never inside a pair."""
+    k = F.col("doc_id")
+    s = F.concat(F.repeat(F.lit("😀"), (k % 5).cast("int")), F.substring(F.concat("lang", "source"), 1, 6), F.lit("😀"))
+    return read(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", text.utf16_prefix(F.col("s"), 8).alias("cut"))
+
+
+@query("""
+with r as (select o_custkey as file, case when o_custkey % 10 = 3 then 'short' else sha256(cast(o_custkey as varchar)) end as sha256, case when o_orderkey % 3 = 0 then 'failed' else 'success' end as status,
+  case when o_orderkey % 3 <> 0 then repeat('x', cast(o_orderkey % 40 as int)) when o_orderkey % 90 = 0 then 'code' end as code from orders)
+select file, bool_and(length(sha256) = 64 and (status = 'success') = (code is not null) and coalesce(length(code), 0) <= 38) and sum(coalesce(length(code), 0)) <= 400 as ok from r group by file
+""")
+def pseudocode_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: whether all rows of a file are well formed and within their budget."""
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    digest = F.when(F.col("o_custkey") % 10 == 3, "short").otherwise(F.sha2(F.col("o_custkey").cast("string"), 256))
+    code = F.when(k % 3 != 0, F.repeat(F.lit("x"), (k % 40).cast("int"))).when(k % 90 == 0, "code")
+    return validate.pseudocode_evidence(o.select(F.col("o_custkey").alias("file"), digest.alias("sha256"), F.when(k % 3 == 0, "failed").otherwise("success").alias("status"), code.alias("code")), 38, 400)
+
+
+@query("""
+with k as (select o_custkey as section, o_orderkey as key_ord, o_orderkey * 5 + case when o_custkey % 4 = 0 then o_orderkey % 3 * 1000000000 else 0 end as low from orders)
+select section, list(low order by key_ord) = list(low order by low) and section % 6 <> 0 as ok from k group by section
+""")
+def children_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keys' positions, in their order, against the owner's children."""
+    k = F.col("o_orderkey")
+    low = k * 5 + F.when(F.col("o_custkey") % 4 == 0, k % 3 * 1_000_000_000).otherwise(0)
+    ranges = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("section"), k.alias("key_ord"), low.alias("low"))
+    return resources.direct_children_agree(ranges, ranges.select("section", (F.col("low") + F.when(F.col("section") % 6 == 0, 1).otherwise(0)).alias("start")))
+
+
+@query("""
+with r as (select o_custkey as section, o_orderkey as key_ord, o_orderkey * 10 as low, o_orderkey * 10 + 30 as high, o_orderkey % 8 <> 0 as ok from orders),
+p as (select o_custkey as section, o_orderkey * 10 + 7 as "offset", o_orderkey % 3 as local_id from orders),
+l as (select o_custkey as section, o_orderkey as key_ord, o_orderkey % 2 as local_id, o_orderpriority as value from orders)
+select p.section, r.key_ord, p."offset", p.local_id, l.value, l.value is not null as complete from p join r on r.section = p.section and r.ok and p."offset" >= r.low and p."offset" < r.high
+  left join l on l.section = r.section and l.key_ord = r.key_ord and l.local_id = p.local_id
+""")
+def local_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to the values of the range that they lie in."""
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    at = F.col("o_custkey").alias("section")
+    ranges = o.select(at, k.alias("key_ord"), (k * 10).alias("low"), (k * 10 + 30).alias("high"), (k % 8 != 0).alias("ok"))
+    return resources.link_local_values(o.select(at, (k * 10 + 7).alias("offset"), (k % 3).alias("local_id")), ranges, o.select(at, k.alias("key_ord"), (k % 2).alias("local_id"), F.col("o_orderpriority").alias("value")))
+
+
+@query("""
+with b as (select doc_id, case when doc_id % 3 = 0 then chr(65279) || left(text, 3000) else left(text, 3000) end as t, doc_id % 4 = 1 as broken from documents)
+select doc_id, case when not broken and strlen(t) <= 2000 then md5(case when doc_id % 3 = 0 then substr(t, 2) else t end) end as digest from b
+""")
+def source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are UTF-8 throughout and within the bound, without their mark."""
+    k, head = F.col("doc_id"), F.substring("text", 1, 3000)
+    t = F.when(k % 3 == 0, F.concat(F.lit("﻿"), head)).otherwise(head).cast("binary")
+    broken = F.when(k % 4 == 1, F.concat(t, F.lit(bytearray(b"\xff")))).otherwise(t)
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(files.source_text(broken, 2000)).alias("digest"))

@@ -19,6 +19,16 @@ def canonical_order(df: DataFrame, path: str) -> DataFrame:
     return df.orderBy(fold(F.col(path)), path)
 
 
+def archive_order(df: DataFrame, depth: str, path: str) -> DataFrame:
+    """O2: by depth, then path without case, then by code unit."""
+    return df.orderBy(depth, fold(F.col(path)), path)
+
+
+def reference_order(df: DataFrame, ord: str) -> DataFrame:
+    """References by source, kind and target; those that tie keep the order of the input (``ord``)."""
+    return df.orderBy("source", "kind", "target", ord)
+
+
 def distinct_first(df: DataFrame, keys: list[Column], ord: str, carry: list[str]) -> DataFrame:
     """Of rows equal under ``keys`` the first by ``ord``, with its ``carry`` columns.
 
@@ -80,6 +90,18 @@ def require_budget(df: DataFrame, cost: str, most_rows: int, budget: int) -> Dat
     return df
 
 
+def cap_values(values: Column, n: int) -> Column:
+    """Struct of the first n distinct values and whether there were more."""
+    out = F.array_distinct(values)
+    return F.struct(F.slice(out, 1, n).alias("values"), (F.size(out) > n).alias("truncated"))
+
+
+def all_versions(attributes: Column, elements: Column) -> Column:
+    """Versions given as attributes, then those given as elements; null lists are empty."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(attributes, none), F.coalesce(elements, none))
+
+
 def merge_sorted_values(values: Column, n: int | None = None) -> Column:
     """Distinct elements, the first of each kept; the first n, if given."""
     out = F.array_distinct(values)

@@ -1,12 +1,12 @@
 """The analysis of a package: from its files to tables, a summary and one document.
 
-``analyze`` composes scans, classification, detection, dependency resolution and the project graph, all as
-lazy tables; ``document`` assembles one nested row, which is the only place where a run's rows meet.
+``analyze`` composes scans, classification, detection, dependency resolution and the project graph.  What
+is parsed from files is written once; all else are lazy tables; ``document`` assembles one nested row, which is the only place where a run's rows meet.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from ..operators.ordering import require_budget
 from ..operators.resolve import complete_endpoints, nearest_candidate
 from ..operators.validate import check_ranges
 from ..sources import archives, files, images, projects
+from .stored import stored
 
 SCHEMA_VERSION = "1.0"
 #: Ranges of the options.
@@ -51,8 +52,14 @@ class Analysis:
 
 
 def read_input(spark: SparkSession, path: str, options: Options) -> tuple[DataFrame, DataFrame | None]:
-    """A ZIP, or a directory (or single file) with its nested archives."""
-    if path.lower().endswith(".zip"):
+    """A ZIP, known by its first bytes, a solution or project (its directory's sources), or a directory or
+    single file with its nested archives."""
+    directory_ = files.qualified(spark, path)[1]
+    if not directory_ and path.lower().endswith((".sln", ".slnx", *projects.PROJECT_SUFFIXES)):
+        path, directory_ = path.rstrip("/").rpartition("/")[0] or ".", True
+        options = replace(options, source_mode=True)
+    first = None if directory_ else spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4).alias("h")).head()
+    if first and bytes(first.h) in (b"PK\x03\x04", b"PK\x05\x06"):
         raw = spark.read.format("binaryFile").load(path).select(F.lit("").alias("id"), "content")
         entries = archives.expand_zip(raw)
         broken = entries.where("status = 'invalid'").select("error").head()
@@ -78,7 +85,7 @@ def analyze_tables(rows: DataFrame, containers: DataFrame | None, options: Optio
     seen = named.withColumn("image", image(F.col("content"))).withColumn("sample", detect.signal_sample(F.col("content"))).withColumn("bundle", images.bundle_marker(F.col("content")))
     kind = classify.classify_with_image(F.col("relative_path"), F.substring("content", 1, 64), F.when(F.col("image").isNotNull(), F.struct(F.col("image.is_library").alias("is_library"), F.col("image.is_managed").alias("is_managed"))))
     found = detect.findings(detect.file_rules(F.col("relative_path"), F.col("image"), F.col("bundle"), F.col("sample")))
-    table = seen.select(
+    parsed = seen.select(
         "id",
         "relative_path",
         "file_name",
@@ -94,17 +101,22 @@ def analyze_tables(rows: DataFrame, containers: DataFrame | None, options: Optio
         F.coalesce(F.aggregate("image.types", F.lit(0), lambda n, t: n + F.size(t["methods"])), F.lit(0)).alias("method_count"),
         found.alias("found"),
         "origin",
-    ).select("*", "k.category", "k.format", F.transform("found", lambda d: d["id"]).alias("technologies")).drop("k")
+        "image",
+    )
+    # Every binary is parsed once; all tables below are made of what was written.
+    parsed = stored(parsed, "parsed")
+    table = parsed.drop("image").select("*", "k.category", "k.format", F.transform("found", lambda d: d["id"]).alias("technologies")).drop("k")
     detections = table.select("id", F.posexplode("found").alias("ord", "d")).select(F.col("id").alias("file"), "ord", "d.*")
     merged = detect.merge(detections, ["file"], "ord")
     everything = detections.select(F.lit(0).alias("run"), "id", "name", "category", "confidence", "evidence", F.struct(F.lit(0).alias("a"), F.col("file").alias("f"), F.col("ord").alias("o")).alias("place"))
     package = detect.package_detections(table.withColumn("run", F.lit(0)), ["run"]).select("run", "id", "name", "category", "confidence", "evidence", F.struct(F.lit(1).alias("a"), F.lit("").alias("f"), F.col("ord").alias("o")).alias("place"))
     both = everything.unionByName(package).withColumn("ord", F.xxhash64("place") * 0 + F.col("place.a") * 1_000_000 + F.col("place.o"))
     whole = detect.merge(both, ["run"], "ord").drop("run").orderBy(F.desc("confidence"), F.upper("name"))
-    described = seen.select("id", "image")
+    described = parsed.select("id", "image")
     refs = images.references_table(described)
     dependencies = nearest_candidate(refs, table.select("id", "file_name", "assembly_name", "relative_path", "origin")).withColumnRenamed("resolved", "resolved_inside_package").orderBy(F.upper("source"), "kind", F.upper("target"))
-    declared = projects.declared(named)
+    declared = stored(projects.declared(named), "declared")
+    named = named.drop("content")
     values = projects.property_values(declared)
     sources = projects.components(named, values)
     binaries = table.where(F.col("category").isin("executable", "library")).select("id", F.col("file_name").alias("name"), F.when(F.col("is_managed"), "managed-assembly").otherwise("native-binary").alias("kind"))

@@ -1,11 +1,15 @@
 """File inventory: paths, contents, digests, pruning and sidecars.
 
 ``scan`` reads through Spark's binaryFile source, so any store that Spark can list will do; one row a
-file, with its content as bytes.  Everything after it takes tables.
+file, with its content as bytes.  Everything after it takes tables.  Symbolic links exist in local
+folders only; those are walked without following links, and what lies behind one is left out.
 """
 
 from __future__ import annotations
 
+import os
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ from ..functions.text import fold
 #: Directories that hold no sources of their own.
 EXCLUDED_DIRECTORIES = [".git", ".svn", ".hg", ".vs", ".idea", "bin", "obj", "node_modules", ".venv", "venv", "artifacts"]
 #: Default bounds of one input.
-MAX_FILES, MAX_TOTAL_BYTES, MAX_FILE_BYTES = 25_000, 20 << 30, 4 << 30
+MAX_FILES, MAX_TOTAL_BYTES, MAX_FILE_BYTES, MAX_ENTRIES = 25_000, 20 << 30, 4 << 30, 100_000
 
 
 def origin(kind: str, container: Column | None = None, entry: Column | None = None, depth: Column | None = None) -> Column:
@@ -23,36 +27,101 @@ def origin(kind: str, container: Column | None = None, entry: Column | None = No
     return F.struct(F.lit(kind).alias("kind"), (container if container is not None else none).alias("container"), (entry if entry is not None else none).alias("entry"), (depth if depth is not None else F.lit(0)).cast("int").alias("depth"))
 
 
-def _empty_files(spark: SparkSession, base: str) -> DataFrame:
-    """Paths of files without content, which Spark's file sources pass over.  They are listed on the
-    driver; an input has at most some ten thousand files."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(base)
-    found, files = [], root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+def qualified(spark: SparkSession, root: str) -> tuple[str, bool]:
+    """The root as Spark names it in its files' paths, and whether it is a directory."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = store.makeQualified(path)
+    return full.toString().rstrip("/"), store.getFileStatus(full).isDirectory()
+
+
+def _local_folder(base: str) -> str | None:
+    return unquote(urlparse(base).path) if base.startswith("file:") and "%" in base else base.removeprefix("file://").removeprefix("file:") if base.startswith("file:") else None
+
+
+def _walk(folder: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """Relative paths of empty files, and (path, warning) of links and of what can't be read, of a local folder."""
+    empty, warned, stack, seen = [], [], [""], 0
+    while stack:
+        inside = stack.pop()
+        try:
+            entries = sorted(os.scandir(os.path.join(folder, inside)), key=lambda e: e.name)
+        except OSError:
+            warned.append((inside, "the directory can't be read"))
+            continue
+        for entry in entries:
+            seen += 1
+            if seen > MAX_ENTRIES:
+                raise ValueError(f"the input has more than {MAX_ENTRIES} entries")
+            path = f"{inside}/{entry.name}" if inside else entry.name
+            if entry.is_symlink():
+                warned.append((path, "a link is not followed"))
+            elif entry.is_dir(follow_symlinks=False):
+                stack.append(path)
+            elif entry.stat(follow_symlinks=False).st_size == 0:
+                empty.append(path)
+    return empty, warned
+
+
+def _listed(spark: SparkSession, base: str, directory_: bool) -> tuple[list[str], list[tuple[str, str]]]:
+    """As ``_walk``; Spark's file sources pass over files without content, so those are listed on the driver."""
+    if not directory_:
+        return [], []
+    if (folder := _local_folder(base)) is not None and os.path.isdir(folder):
+        return _walk(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    empty, seen, files = [], 0, path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
     while files.hasNext():
+        seen += 1
+        if seen > MAX_ENTRIES:
+            raise ValueError(f"the input has more than {MAX_ENTRIES} entries")
         status = files.next()
         if status.getLen() == 0:
-            found.append((status.getPath().toString(),))
-    return spark.createDataFrame(found, "path string")
+            empty.append(status.getPath().toString()[len(base) + 1 :])
+    return empty, []
+
+
+def _raw(spark: SparkSession, root: str) -> tuple[DataFrame, list[str], list[tuple[str, str]]]:
+    """relative_path, length, content of files with content; paths of empty files; warnings."""
+    base, directory_ = qualified(spark, root)
+    empty, warned = _listed(spark, base, directory_)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "length", "content")
+    # What follows the root itself, wherever else its name recurs, is the logical path.
+    path = F.when(F.startswith("path", F.lit(base + "/")), F.substring("path", len(base) + 2, 1 << 30)).otherwise(F.substring_index("path", "/", -1))
+    named = raw.withColumn("relative_path", path)
+    if links := [p for p, w in warned if "link" in w]:
+        behind = F.exists(F.array(*(F.lit(p) for p in links)), lambda p: (F.col("relative_path") == p) | F.startswith("relative_path", F.concat(p, F.lit("/"))))
+        named = named.where(~behind)
+    return named, empty, warned
 
 
 def scan(spark: SparkSession, root: str, source_mode: bool = False, excluded: list[str] | None = None, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Id, relative_path, file_name, size, content, origin of the files below ``root``.
 
     The size bound reaches the file listing; in source mode files below excluded directories go.
+    ``scan_warnings`` names what is left out.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(F.col("length") <= max_file_bytes).select("path", "length", "content")
-    raw = raw.unionByName(_empty_files(spark, base).select("path", F.lit(0).cast("long").alias("length"), F.lit(bytearray()).alias("content")))
-    # Paths come as URIs; what follows the root's own last name is the logical path.
-    tail = base.rsplit("/", 1)[-1]
-    inside = F.contains("path", F.lit(f"/{tail}/"))
-    path = F.when(inside, F.substring_index("path", f"/{tail}/", -1)).otherwise(F.substring_index("path", "/", -1))
-    out = raw.select(path.alias("relative_path"), F.col("length").alias("size"), "content")
+    named, empty, _ = _raw(spark, root)
+    none = spark.createDataFrame([(p,) for p in empty], "relative_path string").select("relative_path", F.lit(0).cast("long").alias("size"), F.lit(bytearray()).alias("content"))
+    out = named.where(F.col("length") <= max_file_bytes).select("relative_path", F.col("length").alias("size"), "content").unionByName(none)
     if source_mode:
         out = out.where(~has_excluded_directory(F.col("relative_path"), excluded or EXCLUDED_DIRECTORIES))
     return out.select(F.col("relative_path").alias("id"), "relative_path", file_name(F.col("relative_path")).alias("file_name"), "size", "content", origin("directory").alias("origin"))
 
 
+def scan_warnings(spark: SparkSession, root: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """File, warning of links, of directories that can't be read and of files above the size bound."""
+    named, _, warned = _raw(spark, root)
+    large = named.where(F.col("length") > max_file_bytes).select(F.col("relative_path").alias("file"), F.lit("the file is too large").alias("warning"))
+    return spark.createDataFrame(warned, "file string, warning string").unionByName(large)
+
+
+def source_text(content: Column, most: int = 1 << 20) -> Column:
+    """The text of a source file of at most ``most`` bytes that is UTF-8 throughout, without its mark; else null."""
+    plain = F.when(F.startswith(content, F.lit(bytearray(b"\xef\xbb\xbf"))), F.substring(content, 4, F.lit(most))).otherwise(content)
+    return F.when(F.octet_length(content) <= most, F.try_validate_utf8(plain.cast("string")))
+
+
 def digests(files: DataFrame) -> DataFrame:
     """Adds sha256, the SHA-256 of the content in hexadecimal."""
     return files.withColumn("sha256", F.sha2("content", 256))

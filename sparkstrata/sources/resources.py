@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.lazy import arrow_function
+from ..operators.resolve import interval_lookup
 
 TABLE = "struct<status:string,error:string,truncated:boolean,entries:array<struct<ord:int,name:string,type:string,position:int,data:binary>>>"
 RECORDS = "struct<status:string,error:string,reader_version:string,updater_version:string,writer_version:string,truncated:boolean,records:array<struct<ord:int,type:int,name:string,start:int,payload_start:int,stop:int>>,strings:array<struct<id:int,value:string>>,types:array<struct<id:int,assembly:int,name:string>>,attributes:array<struct<id:int,owner:int,name:string>>,assemblies:array<struct<id:int,name:string>>>"
@@ -242,16 +243,17 @@ def deferred_ranges(keys: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def direct_children_agree(ranges: DataFrame, children: DataFrame) -> DataFrame:
-    """Per section, whether its ranges' starts are, in order, the starts of the owner's children
-    (section, start)."""
-    a = ranges.groupBy("section").agg(F.sort_array(F.collect_list(F.col("low").cast("long"))).alias("lows"))
+    """Per section, whether its ranges' starts, in the order of their keys, are the starts of the owner's
+    children (section, start) in the order in which they stand."""
+    a = ranges.groupBy("section").agg(F.sort_array(F.collect_list(F.struct("key_ord", F.col("low").cast("long").alias("low")))).alias("keys"))
     b = children.groupBy("section").agg(F.sort_array(F.collect_list(F.col("start").cast("long"))).alias("starts"))
-    return a.join(b, "section", "left").select("section", F.coalesce(F.col("lows") == F.col("starts"), F.lit(False)).alias("ok"))
+    return a.join(b, "section", "left").select("section", F.coalesce(F.col("keys.low") == F.col("starts"), F.lit(False)).alias("ok"))
 
 
-def link_local_values(references: DataFrame, ranges: DataFrame, local: DataFrame) -> DataFrame:
+def link_local_values(references: DataFrame, ranges: DataFrame, local: DataFrame, width: int = 4096) -> DataFrame:
     """References (section, offset, local_id) to the value of their own range's key: half-open
-    ranges, ids local to the key; a missing id leaves a null value and ``complete`` false."""
-    inside = references.join(ranges.where("ok"), "section").where((F.col("offset") >= F.col("low")) & (F.col("offset") < F.col("high")))
+    ranges, found by bins of ``width`` bytes, ids local to the key; a missing id leaves a null value and
+    ``complete`` false."""
+    inside = interval_lookup(references, ranges.where("ok"), ["section"], "offset", width=width)
     linked = inside.join(local, ["section", "key_ord", "local_id"], "left")
     return linked.select("section", "key_ord", "offset", "local_id", "value", F.col("value").isNotNull().alias("complete"))

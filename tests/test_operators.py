@@ -112,17 +112,38 @@ def test_merge_takes_the_first_of_the_most_confident(spark):
     assert (r.id, r.name, r.category, r.confidence, r.evidence) == ("Go", "B", "c2", 0.9, ["b", "x"])
 
 
-def test_graphs(spark):
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_graphs(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", few)
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6)], "src long, dst long")
-    assert sorted(r.node for r in graph.cyclic_nodes(edges, 10).collect()) == [1, 2, 3]
-    assert {(r.src, r.dst) for r in graph.acyclic_edges(edges, 10).where("cyclic").collect()} == {(1, 2), (2, 3), (3, 1)}
+    assert sorted(r.node for r in graph.cyclic_nodes(edges).collect()) == [1, 2, 3]
+    assert {(r.src, r.dst) for r in graph.acyclic_edges(edges).where("cyclic").collect()} == {(1, 2), (2, 3), (3, 1)}
     nodes = spark.createDataFrame([(i, i == 6) for i in range(1, 7)], "node long, incomplete boolean")
-    assert {r.node for r in graph.incomplete_closure(nodes, edges, 10).where("incomplete").collect()} == {5, 6}
+    assert {r.node for r in graph.incomplete_closure(nodes, edges).where("incomplete").collect()} == {5, 6}
     line = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "d")], "src string, dst string")
-    layers = {r.node: r.layer for r in graph.dependency_layers(spark.createDataFrame([(x,) for x in "abcd"], "node string"), line, 10).collect()}
+    layers = {r.node: r.layer for r in graph.dependency_layers(spark.createDataFrame([(x,) for x in "abcd"], "node string"), line).collect()}
     assert layers == {"a": 2, "b": 1, "c": 0, "d": None}
     flags = spark.createDataFrame([(1, None, False), (2, 1, False), (3, 2, True), (4, 1, False)], "id int, parent int, unsafe boolean")
-    assert {r.id for r in graph.descendants_flag(flags, "unsafe", 9).where("in_tree").collect()} == {1, 2, 3}
+    assert {r.id for r in graph.descendants_flag(flags, "unsafe").where("in_tree").collect()} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_graphs_have_no_bound_on_hops(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", few)
+    ring = [(i, (i + 1) % 20) for i in range(20)]
+    edges = spark.createDataFrame(ring + [(30, 3), (3, 40), (41, 42), (42, 41), (40, 41)], "src long, dst long")
+    assert {r.node for r in graph.cyclic_nodes(edges).collect()} == {*range(20), 41, 42}
+    assert {(r.src, r.dst) for r in graph.acyclic_edges(edges).where("not cyclic").collect()} == {(30, 3), (3, 40), (40, 41)}
+    loops = {r.node: r.loop for r in graph.strong_components(edges).collect()}
+    assert len({loops[i] for i in range(20)}) == 1 and loops[0] != loops[41] == loops[42]
+    nodes = spark.createDataFrame([(i, i == 42) for i in [*range(20), 30, 40, 41, 42, 50]], "node long, incomplete boolean")
+    assert {r.node for r in graph.incomplete_closure(nodes, edges).where("incomplete").collect()} == {*range(20), 30, 40, 41, 42}
+
+
+def test_a_thousand_chained_projects(spark):
+    edges = spark.range(999).selectExpr("id as src", "id + 1 as dst")
+    layers = {r.node: r.layer for r in graph.dependency_layers(spark.range(1000).withColumnRenamed("id", "node"), edges).collect()}
+    assert layers == {i: 999 - i for i in range(1000)} and graph.cyclic_nodes(edges).count() == 0
 
 
 def test_links(spark):
@@ -134,10 +155,18 @@ def test_links(spark):
 
 def test_owner_chain(spark):
     items = spark.createDataFrame([(1, None, True), (2, 1, True), (3, 2, True), (4, 9, True), (5, 6, True), (6, 5, True), (7, None, False), (8, 7, True)], "id int, parent int, ok boolean")
-    got = {r.id: r.complete for r in graph.owner_chain(items, 16).collect()}
+    got = {r.id: r.complete for r in graph.owner_chain(items).collect()}
     assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False, 7: False, 8: False}
 
 
+def test_long_and_many_owner_chains(spark):
+    chain = spark.range(3000).selectExpr("id", "case when id > 0 then id - 1 end as parent", "id <> 5 as ok")
+    got = {r.id: (r.root, r.depth, r.complete) for r in graph.owner_chain(chain).collect()}
+    assert got == {i: (0, i, i < 5) for i in range(3000)}
+    tree = spark.range(1, 300_001).selectExpr("id", "case when id > 1 then floor(id / 2) end as parent", "true as ok")
+    assert graph.owner_chain(tree).agg(F.sum("depth"), F.count_if(F.col("complete") & (F.col("root") == 1))).first() == (sum(i.bit_length() - 1 for i in range(1, 300_001)), 300_000)
+
+
 def test_validation(spark):
     ranges = spark.createDataFrame([("a", 0, 10), ("a", 0, 10), ("a", 10, 5), ("a", 12, 9), ("b", 0, 1), ("b", 3, 0)], "k string, at int, size int")
     assert [(r.low, r.high) for r in validate.overlapping_intervals(ranges, ["k"], "at", "size").collect()] == [(12, 21)]

@@ -46,11 +46,21 @@ def test_analysis_of_a_directory(spark, tmp_path):
     assert len(doc["files"]) == 9 and doc["summary"]["executables"] == 1 and doc["schemaVersion"] == analysis.SCHEMA_VERSION
 
 
+def test_a_project_file_stands_for_its_sources(spark, tmp_path):
+    for p in ("app/App.csproj", "app/Main.cs", "app/bin/old.dll"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"<Project/>")
+    a = analysis.analyze(spark, str(tmp_path / "app" / "App.csproj"), analysis.Options(inventory_only=True))
+    assert {r.id for r in a.files.collect()} == {"App.csproj", "Main.cs"}
+
+
 def test_analysis_of_a_zip(spark, tmp_path):
     contents = package(tmp_path / "in")
     (tmp_path / "p.zip").write_bytes(zip_bytes(contents))
     a = analysis.analyze(spark, str(tmp_path / "p.zip"), analysis.Options(inventory_only=True))
     assert a.files.count() == 9 and a.calls.count() == 0
+    (tmp_path / "misnamed.bin").write_bytes(zip_bytes(contents))
+    assert analysis.analyze(spark, str(tmp_path / "misnamed.bin"), analysis.Options(inventory_only=True)).files.count() == a.files.count()
     (tmp_path / "bad.zip").write_bytes(zip_bytes({"../x": b""}))
     with pytest.raises(ValueError, match="refused"):
         analysis.analyze(spark, str(tmp_path / "bad.zip"))

@@ -94,6 +94,28 @@ def test_scan_and_pruning(spark, tmp_path):
     assert files.scan(spark, str(tmp_path)).count() == 4 and files.digests(files.scan(spark, str(tmp_path))).where("length(sha256) = 64").count() == 4
 
 
+def test_ids_are_relative_to_the_root_itself(spark, tmp_path):
+    root = tmp_path / "pkg"
+    for p in ("a.txt", "sub/pkg/a.txt", "sub/pkg/empty", "x [1]%20y/é.txt"):
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_bytes(b"" if p.endswith("empty") else p.encode())
+    (tmp_path / "outside").mkdir()
+    (tmp_path / "outside" / "b.txt").write_bytes(b"b")
+    (root / "link").symlink_to(tmp_path / "outside")
+    (root / "one.txt").symlink_to(root / "a.txt")
+    got = {r.id: (r.size, bytes(r.content).decode()) for r in files.scan(spark, str(root)).collect()}
+    assert got == {p: (len(p.encode()), p) for p in ("a.txt", "sub/pkg/a.txt", "x [1]%20y/é.txt")} | {"sub/pkg/empty": (0, "")}
+    assert {(r.file, r.warning) for r in files.scan_warnings(spark, str(root), max_file_bytes=10).collect()} == {("link", "a link is not followed"), ("one.txt", "a link is not followed"), ("sub/pkg/a.txt", "the file is too large"), ("x [1]%20y/é.txt", "the file is too large")}
+    assert [r.id for r in files.scan(spark, str(root / "a.txt")).collect()] == ["a.txt"]
+
+
+def test_source_text_is_strict(spark):
+    rows = [(1, b"plain"), (2, b"\xef\xbb\xbfmarked"), (3, b"\xff"), (4, "é".encode()), (5, b"x" * 99), (6, None)]
+    df = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in rows], "id int, content binary")
+    got = {r.id: r.t for r in df.select("id", files.source_text(F.col("content"), 20).alias("t")).collect()}
+    assert got == {1: "plain", 2: "marked", 3: None, 4: "é", 5: None, 6: None}
+
+
 def test_sidecars(spark):
     f = frame(spark, {"app.asar.unpacked/m.node": b"12345", "APP.asar.unpacked/n.node": b"1", "other.asar.unpacked/x": b"", "App.exe": b"", "app.DLL": b"", "app.runtimeconfig.json": b"", "lone.exe": b"", "lone.dll": b""})
     entries = spark.createDataFrame([("app.asar", "m.node", 5), ("app.asar", "n.node", 9), ("app.asar", "gone", 1)], "container string, path string, size long")
@@ -310,6 +332,8 @@ def test_deferred_links(spark):
     assert [(r.low, r.high, r.ok) for r in ranges.orderBy("key_ord").collect()] == [(100, 140, True), (140, 130, True), (130, 200, False)]
     good = resources.deferred_ranges(keys.where("key_ord < 2"), sections)
     assert resources.direct_children_agree(good, spark.createDataFrame([("s", 140), ("s", 100)], "section string, start long")).first().ok
+    swapped = resources.deferred_ranges(keys.where("key_ord > 0"), sections)
+    assert not resources.direct_children_agree(swapped, spark.createDataFrame([("s", 140), ("s", 130)], "section string, start long")).first().ok
     refs = spark.createDataFrame([("s", 139, 1), ("s", 140, 1), ("s", 150, 9)], "section string, offset long, local_id int")
     local = spark.createDataFrame([("s", 0, 1, "a"), ("s", 1, 1, "b")], "section string, key_ord int, local_id int, value string")
     assert {(r.offset, r.value, r.complete) for r in resources.link_local_values(refs, good, local).collect()} == {(139, "a", True), (140, "b", True), (150, None, False)}
