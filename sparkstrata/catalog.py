@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 from .functions import paths, structure, text
 from .operators import classify, detect, graph, ordering, resolve, summary, validate
 from .plans import skeletons
-from .sources import files, native, resources
+from .sources import deferred, files, native, resources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -998,3 +998,67 @@ def source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when(k % 3 == 0, F.concat(F.lit("﻿"), head)).otherwise(head).cast("binary")
     broken = F.when(k % 4 == 1, F.concat(t, F.lit(bytearray(b"\xff")))).otherwise(t)
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(files.source_text(broken, 2000)).alias("digest"))
+
+
+@query("""
+select p_partkey, 10 as start, case p_size % 5 when 0 then 40 when 1 then 30 when 2 then 25 when 3 then 1014 end as content_end,
+  case p_size % 5 when 1 then 'the content does not end where its owner does' when 2 then 'the content ends at no element''s end' when 3 then 'the content leaves the data' when 4 then 'the size is malformed' end as error from part
+union all select p_partkey, 24, 30, case when p_size % 5 = 0 then 'sections overlap' end from part
+""")
+def deferred_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections against the stream, the element ends, their owners and each other; here, two sections in
+    two nested elements for each part."""
+    number = F.when(F.col("p_size") % 5 == 0, 25).when(F.col("p_size") % 5 == 1, 15).when(F.col("p_size") % 5 == 2, 10).when(F.col("p_size") % 5 == 3, 999)
+    laid = [(3, 0, 4, None), (37, 10, 15, number), (3, 20, 24, None), (37, 24, 29, F.lit(1)), (4, 30, 31, None), (4, 40, 41, None)]
+    row = lambda i, t, a, b, n: F.struct(F.lit(i).alias("ord"), F.lit(t).alias("type"), F.lit(a).alias("start"), F.lit(b).alias("stop"), (F.lit(None) if n is None else n).cast("int").alias("number"))
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    records = p.select("id", F.explode(F.array(*(row(i, *r) for i, r in enumerate(laid)))).alias("r")).select("id", "r.*")
+    found = deferred.sections(records, p.select("id", F.lit(41).alias("size")))
+    return found.select(F.col("id").alias("p_partkey"), F.col("section.start").alias("start"), "content_end", "error")
+
+
+def order_headers(spark: SparkSession, sf_dir: str) -> deferred.Headers:
+    """A section for each order: one or two keys, local resources, and in some what a header can't hold."""
+    k = F.col("o_orderkey")
+    laid = [(55, k % 7 == 0), (38, F.lit(True)), (55, k % 3 > 0), (55, k % 3 > 1), (39, k % 2 == 0), (55, k % 5 == 0), (50, k % 11 == 5), (3, F.lit(True)), (4, F.lit(True))]
+    row = lambda i, t, kept: F.when(kept, F.struct(F.lit(i).alias("ord"), F.lit(t).alias("type"), F.lit(i * 10).alias("start"), F.lit(i * 10 + 5).alias("stop"), F.lit(20 if t == 39 else 0).alias("number"), (k % 100).cast("int").alias("ref"), F.lit(0).alias("flags")))
+    o = read(spark, sf_dir, "orders")
+    records = o.select(k.alias("id"), F.explode(F.array_compact(F.array(*(row(i, *r) for i, r in enumerate(laid))))).alias("r")).select("id", "r.*")
+    sound = o.select(k.alias("id"), F.struct(k.alias("id"), F.lit(0).alias("start")).alias("section"), F.lit(0).alias("ord"), F.lit(0).cast("long").alias("content_start"), F.lit(100).cast("long").alias("content_end"))
+    return deferred.headers(records, sound)
+
+
+@query("""
+with o as (select o_orderkey as k from orders where o_orderkey % 7 <> 0 and o_orderkey % 11 <> 5)
+select k as id, 0 as key_ord, 'string' as kind, k % 100 as ref, 0 as position, 70 as content_start, k % 3 + case when k % 2 = 1 and k % 5 = 0 then 1 else 0 end as locals from o
+union all select k, 1, 'type', k % 100, 20, 70, case when k % 5 = 0 then 1 else 0 end from o where k % 2 = 0
+""")
+def deferred_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of headers, with the number of resources local to each."""
+    h = order_headers(spark, sf_dir)
+    local = h.local.groupBy("section", "key_ord").agg(F.count("*").alias("locals"))
+    return h.keys.join(local, ["section", "key_ord"], "left").select("id", "key_ord", "kind", "ref", "position", "content_start", F.coalesce("locals", F.lit(0)).alias("locals"))
+
+
+@query("""
+with s as (select o_orderkey as k, o_orderkey % 7 <> 0 and o_orderkey % 11 <> 5 as good from orders),
+e as (select k, case when good then 1 else 0 end as keys, case when k % 7 = 0 then 'a local resource has no key' when not good then 'a record does not belong in the header' when k % 2 = 0 then 'more than 1 keys' when k % 13 = 0 then 'the element tree is incomplete' when k % 17 = 0 then 'property values were cut' end as error from s)
+select k as id, keys, error is null as complete, error from e
+""")
+def deferred_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first error of each stream, a cap on keys, and what makes a stream incomplete."""
+    h, k = order_headers(spark, sf_dir), F.col("o_orderkey")
+    kept, over = deferred.cap_keys(h.keys, 1)
+    streams = read(spark, sf_dir, "orders").select(k.alias("id"), (k % 13 != 0).alias("tree_complete"), (k % 17 == 0).alias("values_truncated"))
+    return deferred.status(streams, kept, h.errors, over)
+
+
+@query("""
+select distinct a.o_custkey as id, a.o_orderkey as ord, 'a reference has no property scope' as error from orders a join orders b on a.o_custkey = b.o_custkey and b.o_orderkey % 4 <> 0 and a.o_orderkey * 10 + 7 >= b.o_orderkey * 10 and a.o_orderkey * 10 + 7 < b.o_orderkey * 10 + 30 where a.o_orderkey % 3 <> 0
+""")
+def unscoped_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in a value's range that lie in no property scope."""
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    at = o.select(F.col("o_custkey").alias("id"), k.alias("ord"), (k * 10 + 7).alias("offset"))
+    ranges = o.where(k % 4 != 0).select(F.col("o_custkey").alias("id"), (k * 10).alias("low"), (k * 10 + 30).alias("high"))
+    return deferred.unscoped_references(at, ranges, at.where("ord % 3 = 0"))

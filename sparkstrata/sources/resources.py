@@ -18,7 +18,7 @@ from ..functions.lazy import arrow_function
 from ..operators.resolve import interval_lookup
 
 TABLE = "struct<status:string,error:string,truncated:boolean,entries:array<struct<ord:int,name:string,type:string,position:int,data:binary>>>"
-RECORDS = "struct<status:string,error:string,reader_version:string,updater_version:string,writer_version:string,truncated:boolean,records:array<struct<ord:int,type:int,name:string,start:int,payload_start:int,stop:int>>,strings:array<struct<id:int,value:string>>,types:array<struct<id:int,assembly:int,name:string>>,attributes:array<struct<id:int,owner:int,name:string>>,assemblies:array<struct<id:int,name:string>>>"
+RECORDS = "struct<status:string,error:string,reader_version:string,updater_version:string,writer_version:string,truncated:boolean,records:array<struct<ord:int,type:int,name:string,start:int,payload_start:int,stop:int,number:int,ref:int,flags:int>>,strings:array<struct<id:int,value:string>>,types:array<struct<id:int,assembly:int,name:string>>,attributes:array<struct<id:int,owner:int,name:string>>,assemblies:array<struct<id:int,name:string>>>"
 # The resource table's magic number, versions and reader type, and bounds on it.
 MAGIC, HEADER_VERSION, TABLE_VERSION = -1091581234, 1, 2
 READER = "System.Resources.Extensions.DeserializingResourceReader,"
@@ -172,6 +172,23 @@ def _symbol(out: dict, kind: int, payload: bytes) -> None:
         out["strings"].append({"id": short(), "value": c.text(len(payload))})
 
 
+def _fields(kind: int, payload: bytes) -> dict:
+    """What deferred content needs of a record: ``number`` (a section's size, a key's value position), ``ref``
+    (an id) and ``flags``; null where the record has none or another length."""
+    out = {"number": None, "ref": None, "flags": None}
+    if kind == 37 and len(payload) == 4:
+        out["number"] = struct.unpack("<i", payload)[0]
+    elif kind == 38 and len(payload) == 8:
+        out["ref"], out["number"] = struct.unpack_from("<hi", payload)
+    elif kind in (39, 40) and len(payload) == 9:
+        out["ref"], out["flags"], out["number"] = struct.unpack_from("<hBi", payload)
+    elif kind == 50 and len(payload) == 2:
+        out["ref"] = struct.unpack("<h", payload)[0]
+    elif kind == 55 and len(payload) == 3:
+        out["flags"], out["ref"] = struct.unpack("<Bh", payload)
+    return out
+
+
 def read_records(data: bytes | None) -> dict:
     """The records of a markup stream.  Reading stops at the first bad record with what was read
     before it (``partial``); other reader versions than 0.96 are not read."""
@@ -199,7 +216,7 @@ def read_records(data: bytes | None) -> dict:
             else:
                 raise _Broken(f"record type {kind} at {start} is not supported")
             _symbol(out, kind, data[c.at : stop])
-            records.append({"ord": len(records), "type": kind, "name": record_name(kind), "start": start, "payload_start": c.at, "stop": stop})
+            records.append({"ord": len(records), "type": kind, "name": record_name(kind), "start": start, "payload_start": c.at, "stop": stop} | _fields(kind, data[c.at : stop]))
             c.at = stop
     except (_Broken, UnicodeDecodeError) as e:
         return out | {"error": str(e), "truncated": True}
