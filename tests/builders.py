@@ -49,10 +49,11 @@ class _Heap:
         return at
 
 
-def metadata_bytes(assembly: str, references: list[str], types: list[tuple[str, str, list[tuple[str, int]]]], nested: list[tuple[int, int]] = (), rich: dict[int, dict] | None = None, outside: list[tuple[str, str]] = ()) -> bytes:
+def metadata_bytes(assembly: str, references: list[str], types: list[tuple[str, str, list[tuple[str, int]]]], nested: list[tuple[int, int]] = (), rich: dict[int, dict] | None = None, outside: list[tuple[str, str]] = (), files: list[str] = (), manifest: list[tuple[int, int, str, int]] = ()) -> bytes:
     """types: (namespace, name, [(method, rva)]); nested: (child row, owner row); outside: referenced types.
     rich: by type row, flags, extends (coded), fields [(name, signature, constant or None)] and shapes, by
-    method name (flags, signature, parameter names)."""
+    method name (flags, signature, parameter names).  files: names of other files; manifest: resources as
+    (offset, flags, name, coded place)."""
     strings = _Heap()
     blobs = b"\0"
 
@@ -62,7 +63,7 @@ def metadata_bytes(assembly: str, references: list[str], types: list[tuple[str,
         blobs += bytes([len(data)]) + data
         return at
 
-    tables: dict[int, list[bytes]] = {t: [] for t in (0, 1, 2, 4, 6, 8, 11, 32, 35, 41)}
+    tables: dict[int, list[bytes]] = {t: [] for t in (0, 1, 2, 4, 6, 8, 11, 32, 35, 38, 40, 41)}
     tables[0].append(struct.pack("<HHHHH", 0, strings.add("m.dll"), 0, 0, 0))
     for space, name in outside:
         tables[1].append(struct.pack("<HHH", 0, strings.add(name), strings.add(space)))
@@ -81,6 +82,10 @@ def metadata_bytes(assembly: str, references: list[str], types: list[tuple[str,
     tables[32].append(struct.pack("<IHHHHIHHH", 0, 1, 0, 0, 0, 0, 0, strings.add(assembly), 0))
     for r in references:
         tables[35].append(struct.pack("<HHHHIHHHH", 1, 0, 0, 0, 0, 0, strings.add(r), 0, 0))
+    for name in files:
+        tables[38].append(struct.pack("<IHH", 0, strings.add(name), 0))
+    for offset, flags, name, coded in manifest:
+        tables[40].append(struct.pack("<IIHH", offset, flags, strings.add(name), coded))
     for child, owner in nested:
         tables[41].append(struct.pack("<HH", child, owner))
     present = [t for t in sorted(tables) if tables[t]]
@@ -118,9 +123,11 @@ def image_bytes(imports: list[str] = (), library: bool = False, managed: dict |
     if managed is not None:
         spec = dict(managed)
         spec["types"] = [(ns, n, [(m, rvas[b] if b is not None else 0) for m, b in ms]) for ns, n, ms in spec.get("types", [])]
+        held = spec.pop("held", b"")
         data = metadata_bytes(**spec)
         meta = put(data)
-        directories[14] = (put(struct.pack("<IHHIIII", 72, 2, 5, meta, len(data), 1, entry_token) + bytes(48)), 72)
+        place = put(held) if held else 0
+        directories[14] = (put(struct.pack("<IHHIIII", 72, 2, 5, meta, len(data), 1, entry_token) + struct.pack("<II", place, len(held)) + bytes(40)), 72)
     section += tail
     size = len(section)
     optional = struct.pack("<HBBIIIIIIIIIHHHHHHIIIIHHIIIIII", 0x10B, 0, 0, size, 0, 0, base, base, 0, 0x400000, 0x1000, 0x200, 4, 0, 0, 0, 4, 0, 0, 0x10000, raw, 0, 3, 0, 0, 0, 0, 0, 0, 16)

@@ -171,6 +171,19 @@ RICH = {
 }
 
 
+def test_manifest_resources(spark):
+    held = struct.pack("<I", 3) + b"abc\0" + struct.pack("<I", 9_999)
+    manifest = [(0, 1, "App.g.resources", 0), (0, 2, "Beside.json", (1 << 2) | 0), (0, 1, "Other.baml", (1 << 2) | 1), (8, 1, "Cut", 0), (0, 1, "Lost", (7 << 2) | 0)]
+    data = image_bytes(managed={"assembly": "A", "references": ["Ref"], "types": [("", "T", [])], "files": ["beside.bin"], "manifest": manifest, "held": held}, library=True)
+    found = images.read_image(data)["resources"]
+    assert [(r["name"], r["visibility"], r["location"], r["size"], r["content"]) for r in found[:3]] == [("App.g.resources", "public", "embedded", 3, b"abc"), ("Beside.json", "private", "file:beside.bin", None, None), ("Other.baml", "public", "assembly:Ref", None, None)]
+    assert [r["error"] for r in found] == [None, None, None, "the resource ends early", "the resource's place is unknown"]
+    inventory = images.read_image(data, with_code=False)["resources"]
+    assert inventory[0]["size"] == 3 and inventory[0]["content"] is None
+    df = spark.createDataFrame([("a", bytearray(data))], "id string, content binary").select("id", images.image()(F.col("content")).alias("image"))
+    assert [r.kind for r in images.resources_table(df).orderBy("ord").collect()] == ["resource-table", "configuration", "markup", "data", "data"]
+
+
 def test_shapes_of_types():
     r = images.read_image(image_bytes(managed=RICH, bodies=[TINY]))
     by = {t["name"]: t for t in r["types"]}
