@@ -2,10 +2,11 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkstrata.__main__ import main
 from sparkstrata.plans import analysis, report, skeletons
-from sparkstrata.sources import images
+from sparkstrata.sources import images, native
 from sparkstrata.streaming import arrivals
 
 from .builders import asar_of, image_bytes, zip_bytes
@@ -42,10 +43,33 @@ def test_analysis_of_a_directory(spark, tmp_path):
     assert a.references.where("kind = 'pe-import' and status = 'resolved'").count() == 1
     text = report.markdown(a, "Package")
     assert text.startswith("# Package") and "## Dependencies" in text and "app/App.exe" in text
+    titles = [line[3:] for line in text.splitlines() if line.startswith("## ")]
+    assert titles[-6:] == ["Archives", "Types with most methods", "Calls", "Manifest resources", "Warnings", "Limits"] and "| app/resources/app.asar | 1 | 2 | 0 | 0 | complete |" in text
     doc = json.loads(report.document(a, "Package").first().value)
     assert len(doc["files"]) == 9 and doc["summary"]["executables"] == 1 and doc["schemaVersion"] == analysis.SCHEMA_VERSION
 
 
+def test_report_of_other_tools(spark):
+    projects = spark.createDataFrame([("b", 2, 3, 4, 0, True, [], []), ("a|x", 1, 0, 0, 2, False, ["no sdk"], ["E1", "E2"])], "project string, files int, declarations int, calls int, errors int, complete boolean, notes array<string>, error_codes array<string>")
+    declared = spark.createDataFrame([("b", "B.cs", i, "method", f"M{i}") for i in range(201)], "project string, file string, line int, kind string, name string")
+    calls = spark.createDataFrame([("B.cs", 1, "M", "N", "resolved-source", "a"), ("B.cs", 2, "M", "O", "external", None)], "file string, line int, caller string, target string, status string, target_project string")
+    index, found, called = report.source_sections(report.SourceIndex(projects, declared, calls))
+    assert r"| a\|x | 1 | 0 | 0 | 2 | incomplete; no sdk; errors E1, E2 |" in index and "| b | 2 | 3 | 4 | 0 | complete |" in index
+    assert "Only the first 200 rows" in found and "| B.cs:1 | M | N | resolved in a |" in called and "| B.cs:2 | M | O | external |" in called
+    none = report.source_sections(report.SourceIndex(projects.limit(0), declared.limit(0), calls.limit(0), True))
+    assert "None." in none[0] and "cut" in none[1]
+    rows = spark.createDataFrame([(f, i, "`t`") for f in ("b", "A") for i in range(3)], "id string, ord int, text string")
+    text = report.file_sections("Rows", rows, [("N", F.col("ord")), ("T", F.col("text"))], [F.col("ord")], 2)
+    assert text.index("### `A`") < text.index("### `b`") and text.count("Only the first 2 rows") == 2 and r"| 1 | \`t\` |" in text and "| 2 |" not in text
+
+
+def test_native_sections(spark):
+    good = json.dumps({"schemaVersion": 1, "functionCount": 1, "functions": [{"name": "main", "address": "10", "signature": "int main()", "external": False}]})
+    documents = spark.createDataFrame([("a.exe", good), ("b.exe", "{")], "id string, text string").select("id", native.native_document(F.col("text")).alias("native"))
+    functions, calls, refused = report.native_sections(documents)
+    assert "### `a.exe`" in functions and "| 10 | main | int main() | false |" in functions and "None." in calls and "| b.exe |" in refused
+
+
 def test_a_project_file_stands_for_its_sources(spark, tmp_path):
     for p in ("app/App.csproj", "app/Main.cs", "app/bin/old.dll"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
