@@ -37,7 +37,7 @@ def main(arguments: list[str]) -> int:
     if not options.force and (existing := [t for t in targets if os.path.exists(t)]):
         print(f"{existing[0]} exists; use --force", file=sys.stderr)
         return 3
-    spark = SparkSession.builder.appName("sparkstrata").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.appName("sparkstrata").config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.openCostInBytes", str(1 << 18)).getOrCreate()
     try:
         a = analysis.analyze(spark, options.path, analysis.Options(inventory_only=options.inventory, source_mode=options.source))
         name = os.path.basename(options.path.rstrip("/"))

@@ -1,7 +1,7 @@
 """The analysis of a package: from its files to tables, a summary and one document.
 
 ``analyze`` composes scans, classification, detection, dependency resolution and the project graph.  What
-is parsed from files is written once; all else are lazy tables; ``document`` assembles one nested row, which is the only place where a run's rows meet.
+is parsed from files, and the graph made of it, is written once; all else are lazy tables; ``document`` assembles one nested row, which is the only place where a run's rows meet.
 """
 
 from __future__ import annotations
@@ -102,10 +102,12 @@ def analyze_tables(rows: DataFrame, containers: DataFrame | None, options: Optio
         found.alias("found"),
         "origin",
         "image",
+        F.when(projects.is_descriptor(F.col("relative_path"), F.col("file_name")), F.col("content")).alias("descriptor"),
     )
-    # Every binary is parsed once; all tables below are made of what was written.
+    # Every file is read and parsed once; all tables below are made of what was written.
     parsed = stored(parsed, "parsed")
-    table = parsed.drop("image").select("*", "k.category", "k.format", F.transform("found", lambda d: d["id"]).alias("technologies")).drop("k")
+    containers = None if containers is None else stored(containers, "archives")
+    table = parsed.drop("image", "descriptor").select("*", "k.category", "k.format", F.transform("found", lambda d: d["id"]).alias("technologies")).drop("k")
     detections = table.select("id", F.posexplode("found").alias("ord", "d")).select(F.col("id").alias("file"), "ord", "d.*")
     merged = detect.merge(detections, ["file"], "ord")
     everything = detections.select(F.lit(0).alias("run"), "id", "name", "category", "confidence", "evidence", F.struct(F.lit(0).alias("a"), F.col("file").alias("f"), F.col("ord").alias("o")).alias("place"))
@@ -114,17 +116,18 @@ def analyze_tables(rows: DataFrame, containers: DataFrame | None, options: Optio
     whole = detect.merge(both, ["run"], "ord").drop("run").orderBy(F.desc("confidence"), F.upper("name"))
     described = parsed.select("id", "image")
     refs = images.references_table(described)
-    dependencies = nearest_candidate(refs, table.select("id", "file_name", "assembly_name", "relative_path", "origin")).withColumnRenamed("resolved", "resolved_inside_package").orderBy(F.upper("source"), "kind", F.upper("target"))
-    declared = stored(projects.declared(named), "declared")
-    named = named.drop("content")
+    resolved = nearest_candidate(refs, table.select("id", "file_name", "assembly_name", "relative_path", "origin")).withColumnRenamed("resolved", "resolved_inside_package")
+    dependencies = stored(resolved, "dependencies").orderBy(F.upper("source"), "kind", F.upper("target"))
+    named = table.select("id", "relative_path", "file_name")
+    declared = stored(projects.declared(parsed.select("relative_path", "file_name", F.col("descriptor").alias("content"))), "declared")
     values = projects.property_values(declared)
-    sources = projects.components(named, values)
+    sources = stored(projects.components(named, values), "sources")
     binaries = table.where(F.col("category").isin("executable", "library")).select("id", F.col("file_name").alias("name"), F.when(F.col("is_managed"), "managed-assembly").otherwise("native-binary").alias("kind"))
     components = union_all(sources, binaries)
     edges = dependencies.withColumnRenamed("resolved_inside_package", "resolved")
     ends = complete_endpoints(components.select("id", "kind"), edges).where("kind = 'package-file'")
-    references = union_all(projects.references(declared, named), edges.select("source", "target", "kind", F.when(F.col("resolved"), "resolved").otherwise("external").alias("status"))).distinct()
-    return Analysis(table.drop("found"), containers, described, merged, whole, dependencies, images.types_table(described), images.calls_table(described), union_all(components, ends).orderBy("id"), references.orderBy("source", "target", "kind"), declared)
+    references = stored(union_all(projects.references(declared, named), edges.select("source", "target", "kind", F.when(F.col("resolved"), "resolved").otherwise("external").alias("status"))).distinct(), "references")
+    return Analysis(table.drop("found"), containers, described, merged, whole, dependencies, images.types_table(described), images.calls_table(described), stored(union_all(components, ends), "components").orderBy("id"), references.orderBy("source", "target", "kind"), declared)
 
 
 def analyze(spark: SparkSession, path: str, options: Options | None = None) -> Analysis:

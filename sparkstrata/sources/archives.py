@@ -203,14 +203,17 @@ def expand_asar(files: DataFrame) -> DataFrame:
     return files.select("id", "content").mapInArrow(_expand(asar_entries), ENTRIES)
 
 
-def expand_nested(files: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+def expand_nested(files: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame | None]:
     """(files, archives): every file with those inside ASAR archives, and archives inside those, to
     ``max_depth`` rounds; and one row for each archive: container, depth, counts, complete, error.
 
-    Rounds are unions over entries, so the plan's length is bounded by the depth.
+    Rounds are unions over entries, so the plan's length is bounded by the depth.  Without any archive, which
+    the names alone tell, there are no rounds and ``archives`` is None.
     """
     is_asar = F.lower("relative_path").endswith(".asar")
     level = files.select("id", "relative_path", "size", "content", "origin")
+    if level.where(is_asar).select("id").isEmpty():
+        return level, None
     out, archives = level, None
     for depth in range(1, max_depth + 1):
         entries = expand_asar(level.where(is_asar))

@@ -131,9 +131,14 @@ def _suffix(path: Column, *suffixes: str) -> Column:
     return F.lower(extension(path)).isin(*suffixes)
 
 
+def is_descriptor(path: Column, name: Column) -> Column:
+    """Solutions, projects and the files that projects below them share."""
+    return _suffix(path, ".sln", ".slnx", *PROJECT_SUFFIXES) | fold(name).isin("DIRECTORY.BUILD.PROPS", "DIRECTORY.PACKAGES.PROPS")
+
+
 def declared(files: DataFrame) -> DataFrame:
     """path, status, error, kind, name, value, conditional, children: every declaration of every descriptor."""
-    wanted = files.where(_suffix(F.col("relative_path"), ".sln", ".slnx", *PROJECT_SUFFIXES) | fold(F.col("file_name")).isin("DIRECTORY.BUILD.PROPS", "DIRECTORY.PACKAGES.PROPS"))
+    wanted = files.where(is_descriptor(F.col("relative_path"), F.col("file_name")))
     read = wanted.select(F.col("relative_path").alias("path"), declarations(F.col("relative_path"), F.col("content")).alias("d"))
     return read.select("path", "d.status", "d.error", F.explode_outer("d.items").alias("i")).select("path", "status", "error", "i.*")
 
