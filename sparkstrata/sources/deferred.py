@@ -101,12 +101,11 @@ def headers(records: DataFrame, sound: DataFrame) -> Headers:
         .when(local & (F.col("key_ord") < 0), "a local resource has no key")
         .when((F.col("ord") == F.col("last")) & (F.col("depth") > 0), "a key or resource does not end")
     )
-    marked = numbered.withColumn("error", error)
-    bad = marked.where("error is not null").select("id", "section", "ord", "error")
-    counted = numbered.where(key).groupBy("section").agg(F.count("*").alias("n"))
-    empty = sound.where("content_end > content_start").join(counted, "section", "left_anti").join(bad.select("section").distinct(), "section", "left_anti")
-    errors = bad.unionByName(empty.select("id", "section", F.col("ord"), F.lit("the content has no keys").alias("error")))
-    good = numbered.join(bad.select("section").distinct(), "section", "left_anti")
+    marked = numbered.withColumn("error", error).withColumn("bad", F.max(F.col("error").isNotNull()).over(whole))
+    bad, good = marked.where("error is not null").select("id", "section", "ord", "error"), marked.where(~F.col("bad"))
+    some = marked.where(key | F.col("bad")).select("section").distinct()
+    empty = sound.where("content_end > content_start").join(some, "section", "left_anti")
+    errors = bad.unionByName(empty.select("id", "section", "ord", F.lit("the content has no keys").alias("error")))
     kind = F.when(t == STRING_KEY, "string").when(t == TYPE_KEY, "type").otherwise("complex")
     keys = good.where(key).select("id", "section", "key_ord", "ord", kind.alias("kind"), "ref", F.col("number").cast("long").alias("position"), F.col("values_start").alias("content_start"), F.col("high").alias("content_end"))
     of_kind = F.when(t == VERBOSE_LOCAL, "verbose").when(F.col("flags") == 0, "string-reference").when(F.col("flags") == 1, "type-reference").when(F.col("flags") == 2, "property-reference").otherwise("unknown")
