@@ -351,3 +351,10 @@ def test_deferred_links(spark):
     local = spark.createDataFrame([("s", 0, 1, "a"), ("s", 1, 1, "b")], "section string, key_ord int, local_id int, value string")
     assert {(r.offset, r.value, r.complete) for r in resources.link_local_values(refs, good, local).collect()} == {(139, "a", True), (140, "b", True), (150, None, False)}
     assert [r.stop for r in resources.entry_ends(spark.createDataFrame([("r", 5, 90), ("r", 1, 90)], "k string, position int, limit int"), "k").orderBy("position").collect()] == [5, 90]
+
+
+def test_entries_at_one_position_go_by_their_other_columns(spark):
+    rows = [("r", 5, 90, 2), ("r", 9, 90, 4), ("r", 5, 90, 1), ("r", 5, 90, 3)]
+    for given in (rows, rows[::-1]):
+        entries = spark.createDataFrame(given, "k string, position int, limit int, id int")
+        assert {r.id: r.stop for r in resources.entry_ends(entries, "k").collect()} == {1: 5, 2: 5, 3: 9, 4: 90}
