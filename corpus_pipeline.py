@@ -104,5 +104,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = out.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         if previous is not None:
             previous.remove()
+        out.sweep()  # nor do the shuffles of finished stages add up on the disks
         previous = out
     return STAGES[-1][1](spark, docs, sf_dir)

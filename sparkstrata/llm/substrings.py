@@ -14,10 +14,11 @@ backward search and report the intervals of windows that an earlier document has
 Rows that copy the whole text of an earlier document are set apart first (on digests); their windows are
 all that text's, so only one copy is indexed and searched.
 
-An anchor with more than ``hot_rows`` segments (a passage that very many documents share) would
-make too large a shard; its segments are cut into single windows instead, equal windows are merged
-before the shuffle, keeping the smallest doc_id, and go through the same index by the window's own
-hash.  So no task holds an unbounded group, and no window is left out.
+An anchor with more than ``hot_rows`` segments (a passage that very many documents share), or with more than
+``hot_windows`` windows in them (lines repeated over and over), would make too large a shard; its segments are
+cut into single windows instead, equal windows are merged before the shuffle, and those of more than one
+document go through the same index by the window's own hash.  The places of such windows travel by the
+windows' 128-bit digests, not by their words.  So no task holds an unbounded group, and no window is left out.
 
 Defined results: null and short texts have no windows; rows that share a doc_id never remove each
 other's words, and equal ones get equal results; rows with a null doc_id are left alone and remove
@@ -45,6 +46,7 @@ WINDOW = 13
 ANCHOR_WORDS = 4
 SHARD_WORDS = 1 << 17
 HOT_ROWS = 4096
+HOT_WINDOWS = 1 << 18
 
 
 def _row_windows(doc: np.ndarray, word: np.ndarray, window: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +94,9 @@ def _originals(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _anchors(window: int, anchor_words: int, with_place: bool):
-    """mapInArrow: (doc_id, text_key, text, carried, copy) to one row a segment: anchor, doc_id[, place]; the
+    """mapInArrow: (doc_id, text_key, text, carried, copy) to one row a segment: anchor, doc_id, place; the
     place packs the ordinal and 32 bits of the text's hash.  Without it, equal anchors of a document are
-    sent once.  Copies and rows without an id are passed over here, not by a filter: with the same
+    sent once, with the number of their windows.  Copies and rows without an id are passed over here, not by a filter: with the same
     columns and rows before every use, Spark shuffles the texts once and reuses the exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +105,7 @@ def _anchors(window: int, anchor_words: int, with_place: bool):
             batch = _originals(batch)
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for base, raw, at in chunks(batch.column(2)):
-                row, anchor, ordinal, _, _ = _segments(raw, at, codes, window, anchor_words)
+                row, anchor, ordinal, _, count = _segments(raw, at, codes, window, anchor_words)
                 if with_place:
                     place = (ordinal << 32) | keys[base + row]
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[base + row]), pa.array(place)], names=["anchor", "doc_id", "place"])
@@ -112,7 +114,8 @@ def _anchors(window: int, anchor_words: int, with_place: bool):
                     new = np.ones(len(order), bool)
                     new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (row[order][1:] != row[order][:-1])
                     keep = order[new]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), pa.array(ids[base + row[keep]])], names=["anchor", "doc_id"])
+                    n = np.add.reduceat(count[order], np.flatnonzero(new)) if len(order) else count
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), pa.array(ids[base + row[keep]]), pa.array(n.astype(np.int64))], names=["anchor", "doc_id", "windows"])
 
     return run
 
@@ -126,11 +129,27 @@ def _gather(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
 
 
 SEGMENTS = "shard long, doc_id long, text_key long, start int, words binary"
+#: What _cut gives of hot segments: the different windows, or where each of them stands.
+WINDOWS, PLACES = "words binary, low long, high long", "digest binary, doc_id long, text_key long, start int"
 
 
-def _cut(window: int, anchor_words: int, hot: bool):
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def _windows_of(data: pa.Array, ids: np.ndarray) -> pa.RecordBatch:
+    """The different values of ``data`` with the smallest and the largest of their ids."""
+    coded = data.dictionary_encode()
+    which, n = coded.indices.to_numpy(), len(coded.dictionary)
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(low, which, ids)
+    np.maximum.at(high, which, ids)
+    return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(low), pa.array(high)], names=["words", "low", "high"])
+
+
+def _cut(window: int, anchor_words: int, hot: str = ""):
     """mapInArrow: (doc_id, text_key, text, carried, copy, ordinals) to the words of the segments named; hot ones
-    (ordinals below zero: -1 - ordinal) window by window."""
+    (ordinals below zero: -1 - ordinal) window by window, as WINDOWS or PLACES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = byte_codes(lower=False)
@@ -139,6 +158,13 @@ def _cut(window: int, anchor_words: int, hot: bool):
             batch = batch.filter(pa.compute.is_valid(batch.column(5)))
             if not batch.num_rows:
                 continue
+            some = batch.column(5).flatten().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(5).offsets.to_numpy()))
+            named = np.zeros(batch.num_rows, bool)
+            named[of[some < 0 if hot else some >= 0]] = True
+            if not named.any():
+                continue
+            batch = batch.filter(pa.array(named))  # only texts with such segments are cut again
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts, wanted = batch.column(2), batch.column(5)
             for base, raw, at in chunks(texts):
@@ -162,7 +188,14 @@ def _cut(window: int, anchor_words: int, hot: bool):
                 low, high = start[word], end[word + n + window - 2]
                 data = _gather(raw, low, high)
                 if hot:  # windows are merged by their bytes, so white space is made one space
-                    data = pa.array([b" ".join(x.split()) for x in data.to_pylist()], pa.binary())
+                    coded = data.dictionary_encode()
+                    distinct, which = [b" ".join(x.split()) for x in coded.dictionary.to_pylist()], coded.indices
+                    if hot == WINDOWS:
+                        yield _windows_of(pa.array(distinct, pa.binary()).take(which), ids[base + of])
+                    else:
+                        digest = pa.array([_digest(x) for x in distinct], pa.binary()).take(which)
+                        yield pa.RecordBatch.from_arrays([digest, pa.array(ids[base + of]), pa.array(keys[base + of]), pa.array(a.astype(np.int32))], names=["digest", "doc_id", "text_key", "start"])
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[base + of]), pa.array(keys[base + of]), pa.array(a.astype(np.int32)), data], names=["shard", "doc_id", "text_key", "start", "words"])
 
     return run
@@ -236,14 +269,15 @@ def _search(window: int, shard_words: int):
 
 
 def _search_windows(window: int, shard_words: int):
-    """mapInArrow over (shard, words, doc_id) of distinct windows: words and the smallest doc_id that has them."""
+    """mapInArrow over (shard, words, doc_id) of distinct windows: their digests and the smallest doc_id that has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, 1, shard_words):
             which, (value, _, least) = _indexed(shard.column(1), shard.column(2).to_numpy(), window)
             order = np.empty(len(value), np.int64)
             order[value] = np.arange(len(value))
-            yield pa.RecordBatch.from_arrays([shard.column(1), pa.array(least[order[which]])], names=["words", "earliest"])
+            digest = pa.array([_digest(x) for x in shard.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([digest, pa.array(least[order[which]])], names=["digest", "earliest"])
 
     return run
 
@@ -256,22 +290,25 @@ def _copies(keyed: DataFrame) -> DataFrame:
     return ids.join(first, "digest").where("doc_id > first").select("doc_id", "text_key").distinct().withColumn("copy", F.lit(True))
 
 
-def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS, shard_words: int = SHARD_WORDS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS, shard_words: int = SHARD_WORDS, hot_rows: int = HOT_ROWS, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """doc_id, text_key, spans (array of struct(start, stop) in words, that may overlap) of the rows
     of ``keyed`` (doc_id, text_key, text, carried, copy) that have words to remove.  Rows marked as copies of a
     whole earlier text are neither indexed nor streamed: every window of theirs is that text's."""
     places = keyed.mapInArrow(_anchors(window, anchor_words, True), "anchor long, doc_id long, place long")
-    shared = keyed.mapInArrow(_anchors(window, anchor_words, False), "anchor long, doc_id long").groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows")).where("low < high").select("anchor", (F.col("rows") > hot_rows).alias("hot"))
+    anchors = keyed.mapInArrow(_anchors(window, anchor_words, False), "anchor long, doc_id long, windows long").groupBy("anchor")
+    shared = anchors.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows"), F.sum("windows").alias("windows")).where("low < high")
+    shared = shared.select("anchor", ((F.col("rows") > hot_rows) | (F.col("windows") > hot_windows)).alias("hot"))
     ordinal = F.shiftright("place", 32).cast("int")
     named = places.join(shared, "anchor").select("doc_id", F.col("place").bitwiseAND(0xFFFFFFFF).alias("text_key"), F.when(F.col("hot"), -1 - ordinal).otherwise(ordinal).alias("o"))
     wanted = named.groupBy("doc_id", "text_key").agg(F.collect_list("o").alias("ordinals"))
     texts = keyed.join(wanted, ["doc_id", "text_key"], "left")
-    cold = texts.mapInArrow(_cut(window, anchor_words, False), SEGMENTS)
+    cold = texts.mapInArrow(_cut(window, anchor_words), SEGMENTS)
     cold = cold.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(window, shard_words), "doc_id long, text_key long, start int, stop int")
-    hot = texts.mapInArrow(_cut(window, anchor_words, True), SEGMENTS).select("doc_id", "text_key", "start", "words")
-    merged = hot.groupBy("words").agg(F.min("doc_id").alias("doc_id")).select(F.xxhash64("words").alias("shard"), "words", "doc_id")
-    found = merged.sortWithinPartitions("shard").mapInArrow(_search_windows(window, shard_words), "words binary, earliest long")
-    hot = hot.join(found, "words").where("earliest < doc_id").select("doc_id", "text_key", "start", (F.col("start") + window).alias("stop"))
+    merged = texts.mapInArrow(_cut(window, anchor_words, WINDOWS), WINDOWS).groupBy("words").agg(F.min("low").alias("doc_id"), F.max("high").alias("high")).where("doc_id < high")
+    merged = merged.select(F.xxhash64("words").alias("shard"), "words", "doc_id")
+    found = merged.sortWithinPartitions("shard").mapInArrow(_search_windows(window, shard_words), "digest binary, earliest long")
+    hot = texts.mapInArrow(_cut(window, anchor_words, PLACES), PLACES).join(found, "digest")
+    hot = hot.where("earliest < doc_id").select("doc_id", "text_key", "start", (F.col("start") + window).alias("stop"))
     return cold.unionByName(hot).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
@@ -320,11 +357,11 @@ def remove_repeats(documents: DataFrame, **parameters) -> DataFrame:
     A cut takes the white space after its words too; n_chars, if there, is counted again."""
     window = parameters.get("window", WINDOW)
 
-    def cut(texts: pd.Series, marks: pd.Series, copies: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, starts: pd.Series, stops: pd.Series, copies: pd.Series) -> pd.Series:
         word = re.compile(rb"[^\x20\x09-\x0d]+")
         out = []
-        for text, found, copy in zip(texts, marks, copies, strict=True):
-            if text is None or (not copy and (found is None or not len(found))):
+        for text, first, last, copy in zip(texts, starts, stops, copies, strict=True):
+            if text is None or (not copy and (first is None or not len(first))):
                 out.append(text)
                 continue
             raw = text.encode()
@@ -333,21 +370,20 @@ def remove_repeats(documents: DataFrame, **parameters) -> DataFrame:
                 keep = [len(begins) < window] * len(begins)
             else:
                 edge = np.zeros(len(begins) + 1, np.int64)
-                for s in found:
-                    edge[min(s["start"], len(begins))] += 1
-                    edge[min(s["stop"], len(begins))] -= 1
+                np.add.at(edge, np.minimum(first, len(begins)), 1)
+                np.add.at(edge, np.minimum(last, len(begins)), -1)
                 keep = np.cumsum(edge[:-1]) == 0
-            stops = [*begins[1:], len(raw)]
+            ends = [*begins[1:], len(raw)]
             lead = raw[: begins[0]] if begins else raw
-            out.append((lead + b"".join(raw[a:b] for a, b, k in zip(begins, stops, keep, strict=True) if k)).decode())
+            out.append((lead + b"".join(raw[a:b] for a, b, k in zip(begins, ends, keep, strict=True) if k)).decode())
         return pd.Series(out, dtype=object)
 
-    cut.__annotations__ = {"texts": pd.Series, "marks": pd.Series, "copies": pd.Series, "return": pd.Series}
+    cut.__annotations__ = {"texts": pd.Series, "starts": pd.Series, "stops": pd.Series, "copies": pd.Series, "return": pd.Series}
     # The struct travels whole through every use of the texts, so that all share one exchange.
     keyed = _keyed(documents, [c for c in documents.columns if c != "text"])
     joined = keyed.join(repeated_spans(keyed, **parameters), ["doc_id", "text_key"], "left")
     copy = F.coalesce("copy", F.lit(False))
     touched = copy | F.col("spans").isNotNull()
-    made = joined.select("carried", F.when(touched, F.pandas_udf(cut, "string")("text", "spans", copy)).otherwise(F.col("text")).alias("text"), touched.alias("touched"))
+    made = joined.select("carried", F.when(touched, F.pandas_udf(cut, "string")("text", "spans.start", "spans.stop", copy)).otherwise(F.col("text")).alias("text"), touched.alias("touched"))
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("touched"), F.length("text").cast("long")).otherwise(F.col("carried.n_chars")) if "n_chars" in documents.columns else None}
     return made.select(*((changed[c] if c in changed else F.col(f"carried.`{c}`")).alias(c) for c in documents.columns))

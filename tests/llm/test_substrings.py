@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from sparkstrata.llm import substrings
 from sparkstrata.llm.fmindex import FMIndex, WaveletMatrix
 from sparkstrata.llm.substrings import remove_repeats, removal_digests
 
@@ -111,3 +112,22 @@ def test_backward_search_counts_occurrences():
     for e, a, b, n in zip(last, low, high, length, strict=True):
         pattern = text[e - n + 1 : e + 1]
         assert b - a == sum(text[i : i + n] == pattern for i in range(len(text)))
+
+
+def test_an_anchor_of_long_segments_is_cut_into_windows(spark, tmp_path, monkeypatch):
+    """Few documents that repeat one line over and over: no shard holds all their words."""
+    line = " ".join(f"line{i}" for i in range(20))
+    docs = [(i, f"head{i} " * 30 + f"{line} " * (490 + i)) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plain, sizes = substrings._indexed, str(tmp_path / "sizes")
+
+    def watched(words, ids, window):
+        with open(sizes, "a") as f:
+            f.write(f"{sum(len(w.split()) for w in words.to_pylist())}\n")
+        return plain(words, ids, window)
+
+    monkeypatch.setattr(substrings, "_indexed", watched)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in removal_digests(df, window=50).collect()}
+    assert got == {i: (n, n - len(k)) for i, k, n in kept_words(docs, 50)}
+    with open(sizes) as f:
+        assert 0 < max(map(int, f)) < 30_000  # of 303,000 words
