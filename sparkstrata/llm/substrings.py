@@ -15,10 +15,13 @@ Rows that copy the whole text of an earlier document are set apart first (on dig
 all that text's, so only one copy is indexed and searched.
 
 An anchor with more than ``hot_rows`` segments (a passage that very many documents share), or with more than
-``hot_windows`` windows in them (lines repeated over and over), would make too large a shard; its segments are
-cut into single windows instead, equal windows are merged before the shuffle, and those of more than one
-document go through the same index by the window's own hash.  The places of such windows travel by the
-windows' 128-bit digests, not by their words.  So no task holds an unbounded group, and no window is left out.
+``hot_windows`` windows in them (lines repeated over and over), would make too large a shard.  Its segments are
+cut into pieces of at most ``piece`` windows instead, and equal pieces are merged before the shuffle; only the
+different ones are cut further, into their different windows, of which those of pieces with different first
+documents go through the same index by the window's own hash.  Every document after the first with a piece loses
+the piece whole, and the first loses the windows found earlier still, so that the documents of a group send one row
+a piece, by its 128-bit digest, and not one a window.  So no task holds an unbounded group, and no window is
+left out.
 
 Defined results: null and short texts have no windows; rows that share a doc_id never remove each
 other's words, and equal ones get equal results; rows with a null doc_id are left alone and remove
@@ -47,6 +50,7 @@ ANCHOR_WORDS = 4
 SHARD_WORDS = 1 << 17
 HOT_ROWS = 4096
 HOT_WINDOWS = 1 << 18
+PIECE_WINDOWS = 256
 
 
 def _row_windows(doc: np.ndarray, word: np.ndarray, window: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,15 +133,21 @@ def _gather(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
 
 
 SEGMENTS = "shard long, doc_id long, text_key long, start int, words binary"
-#: What _cut gives of hot segments: the different windows, or where each of them stands.
-WINDOWS, PLACES = "words binary, low long, high long", "digest binary, doc_id long, text_key long, start int"
+#: What _cut gives of hot segments: the different pieces, or where each of them stands.
+PIECES, PLACES = "words binary, low long, high long", "piece binary, doc_id long, text_key long, start int, windows int"
+#: What _windows gives of the different pieces: their windows, or the starts of each within its piece.
+WINDOWS, STARTS = "words binary, low long, high long", "digest binary, piece binary, low long, starts array<int>"
 
 
 def _digest(words: bytes) -> bytes:
-    return hashlib.blake2b(words, digest_size=16).digest()
+    return hashlib.sha256(words).digest()[:16]
 
 
-def _windows_of(data: pa.Array, ids: np.ndarray) -> pa.RecordBatch:
+def _digests(words: pa.Array) -> pa.Array:
+    return pa.array([_digest(x) for x in words.to_pylist()], pa.binary())
+
+
+def _distinct(data: pa.Array, ids: np.ndarray) -> pa.RecordBatch:
     """The different values of ``data`` with the smallest and the largest of their ids."""
     coded = data.dictionary_encode()
     which, n = coded.indices.to_numpy(), len(coded.dictionary)
@@ -147,9 +157,9 @@ def _windows_of(data: pa.Array, ids: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(low), pa.array(high)], names=["words", "low", "high"])
 
 
-def _cut(window: int, anchor_words: int, hot: str = ""):
+def _cut(window: int, anchor_words: int, hot: str = "", piece: int = PIECE_WINDOWS):
     """mapInArrow: (doc_id, text_key, text, carried, copy, ordinals) to the words of the segments named; hot ones
-    (ordinals below zero: -1 - ordinal) window by window, as WINDOWS or PLACES."""
+    (ordinals below zero: -1 - ordinal) in pieces of at most ``piece`` windows, as PIECES or PLACES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = byte_codes(lower=False)
@@ -181,26 +191,55 @@ def _cut(window: int, anchor_words: int, hot: str = ""):
                 s = edge[of] + (-1 - some if hot else some)
                 a, n = first[s], count[s]
                 shard = anchor[s].view(np.int64)
-                if hot:  # every window by itself
-                    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    a, of, shard, n = np.repeat(a, n) + within, np.repeat(of, n), np.repeat(shard, n), np.ones(n.sum(), np.int64)
+                if hot:
+                    parts = -(-n // piece)
+                    within = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * piece
+                    a, of, n = np.repeat(a, parts) + within, np.repeat(of, parts), np.minimum(np.repeat(n, parts) - within, piece)
                 word = np.searchsorted(doc, of) + a
                 low, high = start[word], end[word + n + window - 2]
                 data = _gather(raw, low, high)
-                if hot:  # windows are merged by their bytes, so white space is made one space
+                if hot:  # pieces are merged by their bytes, so white space is made one space
                     coded = data.dictionary_encode()
-                    distinct, which = [b" ".join(x.split()) for x in coded.dictionary.to_pylist()], coded.indices
-                    if hot == WINDOWS:
-                        yield _windows_of(pa.array(distinct, pa.binary()).take(which), ids[base + of])
+                    distinct, which = pa.array([b" ".join(x.split()) for x in coded.dictionary.to_pylist()], pa.binary()), coded.indices
+                    if hot == PIECES:
+                        yield _distinct(distinct.take(which), ids[base + of])
                     else:
-                        digest = pa.array([_digest(x) for x in distinct], pa.binary()).take(which)
-                        yield pa.RecordBatch.from_arrays([digest, pa.array(ids[base + of]), pa.array(keys[base + of]), pa.array(a.astype(np.int32))], names=["digest", "doc_id", "text_key", "start"])
+                        yield pa.RecordBatch.from_arrays([_digests(distinct).take(which), pa.array(ids[base + of]), pa.array(keys[base + of]), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names=["piece", "doc_id", "text_key", "start", "windows"])
                     continue
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[base + of]), pa.array(keys[base + of]), pa.array(a.astype(np.int32)), data], names=["shard", "doc_id", "text_key", "start", "words"])
 
     return run
 
 
+def _windows(window: int, give: str):
+    """mapInArrow over the different pieces (words, low, high) of hot segments: their windows, as WINDOWS, with the
+    first document of each piece for low and high; or, as STARTS, where each different window stands in its piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = batch.column(1).to_numpy()
+            for base, raw, at in chunks(batch.column(0)):
+                start, end, piece = spans(raw, at)
+                word = np.flatnonzero(piece[: len(piece) - window + 1] == piece[window - 1 :])
+                of = piece[word]
+                data = _gather(raw, start[word], end[word + window - 1])
+                if give == WINDOWS:
+                    yield _distinct(data, first[base + of])
+                    continue
+                coded = data.dictionary_encode()
+                which = coded.indices.to_numpy()
+                order = np.lexsort((which, of))
+                new = np.ones(len(order), bool)
+                new[1:] = (which[order][1:] != which[order][:-1]) | (of[order][1:] != of[order][:-1])
+                at_piece, edge = of[order][new], np.append(np.flatnonzero(new), len(order))
+                starts = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array((word - np.searchsorted(piece, of))[order].astype(np.int32)))
+                digest = _digests(coded.dictionary).take(pa.array(which[order][new]))
+                owner = _digests(batch.column(0).slice(base, len(at) - 1)).take(pa.array(at_piece))
+                yield pa.RecordBatch.from_arrays([digest, owner, pa.array(first[base + at_piece]), starts], names=["digest", "piece", "low", "starts"])
+
+    return run
+
+
 def _shards(batches: Iterator[pa.RecordBatch], column: int, shard_words: int) -> Iterator[pa.RecordBatch]:
     """The stream, sorted by its first column, in runs of about ``shard_words`` words that never part equal keys."""
     held: list[pa.RecordBatch] = []
@@ -276,8 +315,7 @@ def _search_windows(window: int, shard_words: int):
             which, (value, _, least) = _indexed(shard.column(1), shard.column(2).to_numpy(), window)
             order = np.empty(len(value), np.int64)
             order[value] = np.arange(len(value))
-            digest = pa.array([_digest(x) for x in shard.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([digest, pa.array(least[order[which]])], names=["digest", "earliest"])
+            yield pa.RecordBatch.from_arrays([_digests(shard.column(1)), pa.array(least[order[which]])], names=["digest", "earliest"])
 
     return run
 
@@ -290,7 +328,7 @@ def _copies(keyed: DataFrame) -> DataFrame:
     return ids.join(first, "digest").where("doc_id > first").select("doc_id", "text_key").distinct().withColumn("copy", F.lit(True))
 
 
-def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS, shard_words: int = SHARD_WORDS, hot_rows: int = HOT_ROWS, hot_windows: int = HOT_WINDOWS) -> DataFrame:
+def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS, shard_words: int = SHARD_WORDS, hot_rows: int = HOT_ROWS, hot_windows: int = HOT_WINDOWS, piece: int = PIECE_WINDOWS) -> DataFrame:
     """doc_id, text_key, spans (array of struct(start, stop) in words, that may overlap) of the rows
     of ``keyed`` (doc_id, text_key, text, carried, copy) that have words to remove.  Rows marked as copies of a
     whole earlier text are neither indexed nor streamed: every window of theirs is that text's."""
@@ -304,12 +342,19 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor_words: int = A
     texts = keyed.join(wanted, ["doc_id", "text_key"], "left")
     cold = texts.mapInArrow(_cut(window, anchor_words), SEGMENTS)
     cold = cold.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(window, shard_words), "doc_id long, text_key long, start int, stop int")
-    merged = texts.mapInArrow(_cut(window, anchor_words, WINDOWS), WINDOWS).groupBy("words").agg(F.min("low").alias("doc_id"), F.max("high").alias("high")).where("doc_id < high")
+    cold = cold.select("doc_id", "text_key", F.array(F.struct("start", "stop")).alias("spans"))
+    pieces = texts.mapInArrow(_cut(window, anchor_words, PIECES, piece), PIECES).groupBy("words").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    merged = pieces.mapInArrow(_windows(window, WINDOWS), WINDOWS).groupBy("words").agg(F.min("low").alias("doc_id"), F.max("high").alias("high")).where("doc_id < high")
     merged = merged.select(F.xxhash64("words").alias("shard"), "words", "doc_id")
     found = merged.sortWithinPartitions("shard").mapInArrow(_search_windows(window, shard_words), "digest binary, earliest long")
-    hot = texts.mapInArrow(_cut(window, anchor_words, PLACES), PLACES).join(found, "digest")
-    hot = hot.where("earliest < doc_id").select("doc_id", "text_key", "start", (F.col("start") + window).alias("stop"))
-    return cold.unionByName(hot).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    earlier = pieces.mapInArrow(_windows(window, STARTS), STARTS).join(found, "digest").where("earliest < low")
+    earlier = earlier.groupBy("piece").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    known = pieces.select(F.substring(F.unhex(F.sha2("words", 256)), 1, 16).alias("piece"), "low", "high").join(earlier, "piece", "left").where("low < high or starts is not null")
+    hot = texts.mapInArrow(_cut(window, anchor_words, PLACES, piece), PLACES).join(known, "piece").where("doc_id > low or starts is not null")
+    whole = F.array(F.struct("start", (F.col("start") + F.col("windows") + (window - 1)).alias("stop")))
+    some = F.transform("starts", lambda at: F.struct((F.col("start") + at).alias("start"), (F.col("start") + at + window).alias("stop")))
+    hot = hot.select("doc_id", "text_key", F.when(F.col("doc_id") > F.col("low"), whole).otherwise(some).alias("spans"))
+    return cold.unionByName(hot).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _keyed(documents: DataFrame, carry: list[str]) -> DataFrame:

@@ -131,3 +131,42 @@ def test_an_anchor_of_long_segments_is_cut_into_windows(spark, tmp_path, monkeyp
     assert got == {i: (n, n - len(k)) for i, k, n in kept_words(docs, 50)}
     with open(sizes) as f:
         assert 0 < max(map(int, f)) < 30_000  # of 303,000 words
+
+
+@pytest.mark.parametrize(("window", "piece"), [(13, 1), (13, 7), (50, 256)])
+def test_a_hot_group_sends_pieces_not_windows(spark, tmp_path, monkeypatch, window, piece):
+    """Documents that share lines over and over, with words of their own here and there."""
+    rng = random.Random(5)
+    line = [f"line{i}" for i in range(20)]
+    docs = []
+    for i in range(40):
+        words = [f"head{i}"] * 15 + line * (100 + i)
+        for _ in range(3):
+            words[rng.randrange(15, len(words))] = f"own{rng.randrange(40)}"
+        docs.append((i, " ".join(words)))
+    rng.shuffle(docs)
+    made, plain = str(tmp_path / "made"), {name: getattr(substrings, name) for name in ("_cut", "_windows") if hasattr(substrings, name)}
+
+    def watched(name):
+        def outer(*args):
+            run = plain[name](*args)
+
+            def counted(batches):
+                for batch in run(batches):
+                    with open(made, "a") as f:
+                        f.write(f"{batch.num_rows}\n")
+                    yield batch
+
+            return counted
+
+        return outer
+
+    for name in plain:
+        monkeypatch.setattr(substrings, name, watched(name))
+    parameters = {"hot_windows": 1000, "window": window} | ({"piece": piece} if hasattr(substrings, "_windows") else {})
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in removal_digests(spark.createDataFrame(docs, "doc_id long, text string"), **parameters).collect()}
+    assert got == {i: (n, n - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, k, n in kept_words(docs, window)}
+    if window == 50:
+        with open(made) as f:
+            total = sum(map(int, f))
+        assert 0 < total < 20_000  # a row for each of the windows made 97,981
