@@ -240,6 +240,13 @@ def _windows(window: int, give: str):
     return run
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over the different pieces: their digests, low and high.  Not a column expression: Spark would push the
+    join's filter on it below the aggregate that makes the pieces, and shuffle them once more."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([_digests(batch.column(0)), batch.column(1), batch.column(2)], names=["piece", "low", "high"])
+
+
 def _shards(batches: Iterator[pa.RecordBatch], column: int, shard_words: int) -> Iterator[pa.RecordBatch]:
     """The stream, sorted by its first column, in runs of about ``shard_words`` words that never part equal keys."""
     held: list[pa.RecordBatch] = []
@@ -349,7 +356,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor_words: int = A
     found = merged.sortWithinPartitions("shard").mapInArrow(_search_windows(window, shard_words), "digest binary, earliest long")
     earlier = pieces.mapInArrow(_windows(window, STARTS), STARTS).join(found, "digest").where("earliest < low")
     earlier = earlier.groupBy("piece").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    known = pieces.select(F.substring(F.unhex(F.sha2("words", 256)), 1, 16).alias("piece"), "low", "high").join(earlier, "piece", "left").where("low < high or starts is not null")
+    known = pieces.mapInArrow(_named, "piece binary, low long, high long").join(earlier, "piece", "left").where("low < high or starts is not null")
     hot = texts.mapInArrow(_cut(window, anchor_words, PLACES, piece), PLACES).join(known, "piece").where("doc_id > low or starts is not null")
     whole = F.array(F.struct("start", (F.col("start") + F.col("windows") + (window - 1)).alias("stop")))
     some = F.transform("starts", lambda at: F.struct((F.col("start") + at).alias("start"), (F.col("start") + at + window).alias("stop")))
